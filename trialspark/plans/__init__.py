@@ -6,7 +6,7 @@ import importlib
 
 from trialspark.plans.registry import ORACLES, QUERIES
 
-AREAS: list[str] = ["trials"]
+AREAS: list[str] = ["trials", "windows"]
 
 
 def load() -> None:
