@@ -9,6 +9,16 @@ from trialspark.constants import TASK_TYPES, WEIGHT_SCHEMES, TYPE_WEIGHTS
 
 _TYPES = "[" + ", ".join(f"'{t}'" for t in TASK_TYPES) + "]"
 
+_WHITE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{_WHITE}'), lambda w: w <> '')"
+
+
+def _cut(words: str, start: int, length: int) -> str:
+    return f"array_to_string({words}[{start}:{start + length - 1}], ' ')"
+
 
 def _values(rows: list[tuple], names: str) -> str:
     body = ", ".join(
@@ -52,4 +62,34 @@ SELECT doc_id, source, lang || '/' || source || '/doc_' || doc_id || '.md' AS re
   lang AS section, n_chars, CASE WHEN n_chars < 800 THEN 'required' WHEN n_chars < 2500 THEN 'recommended' ELSE 'reference' END AS tier,
   CAST(doc_id % 5 AS BIGINT) AS priority, CAST(length(text) // 4 AS BIGINT) AS token_count, 'doc_' || doc_id AS stem
 FROM documents""",
+    "case_words": f"""
+SELECT r.conv_id * 1000 + r.turn AS case_id, r.conv_id, r.turn, u.text AS question, r.text AS answer_text,
+  {words_sql("u.text")} AS qw, {words_sql("r.text")} AS aw
+FROM conversations r JOIN conversations u ON u.conv_id = r.conv_id AND u.turn = r.turn - 1
+WHERE r.role = 'assistant' AND u.role = 'user'""",
+    "cases": f"""
+SELECT case_id, conv_id, turn, ({_TYPES})[case_id % 11 + 1] AS task_type, question,
+  answer_text || (CASE WHEN case_id % 2 = 0 THEN ' See ./docs/Guide_' || (case_id % 3) || '.md, lib/auth.py.' ELSE '' END)
+    || ([' The answer cannot be determined.', ' It''s unclear.', ' This may not be accurate.', ' It could mean first reading.',
+         ' First run_tests then read_file and deploy_app.', '', '']::VARCHAR[])[case_id % 7 + 1] AS response,
+  {_cut("qw", 1, 6)} AS expected_answer,
+  [CASE WHEN case_id % 5 = 0 THEN {_cut("aw", 3, 2)} ELSE {_cut("qw", 7, 2)} END] AS answer_aliases,
+  ['docs/guide_' || (case_id % 4) || '.md', 'src/auth.py'] AS expected_files,
+  [{_cut("qw", 1, 5)}, {_cut("qw", 6, 5)}, {_cut("aw", 1, 4)}] AS reasoning_chain,
+  CASE WHEN case_id % 3 = 0 THEN [{_cut("qw", 1, 3)}, {_cut("qw", 4, 3)}, {_cut("aw", 2, 3)}, {_cut("aw", 9, 5)}] ELSE [] END AS question_decomposition,
+  MAP {{'src/auth.py': {_cut("aw", 1, 3)}, 'docs/x_' || (case_id % 3) || '.md': {_cut("qw", 1, 4)}}} AS files,
+  [{_cut("aw", 2, 1)}, 'test_login'] AS fail_to_pass,
+  CASE WHEN case_id % 2 = 0 THEN ['read_file', 'run_tests'] ELSE ['run_tests', 'search'] END AS expected_tools,
+  [{_cut("qw", 1, 2)}, {_cut("aw", 2, 3)}, '', {_cut("qw", 3, 4)}] AS sub_answers,
+  [{{'label': 'first_reading', 'answer': {_cut("qw", 1, 5)}}}, {{'label': 'other_reading', 'answer': {_cut("aw", 5, 5)}}}] AS interpretations,
+  CASE WHEN case_id % 3 = 0 THEN 'other_reading' ELSE 'first_reading' END AS expected_interpretation,
+  CASE WHEN case_id % 4 = 0 THEN {_cut("aw", 4, 3)} ELSE {_cut("qw", 2, 6)} END AS expected_resolution,
+  20 + case_id % 50 AS token_budget
+FROM case_words""",
+    "gold": f"""
+SELECT l.doc_id AS example_id, ({_TYPES})[l.doc_id % 11 + 1] AS task_type, (quality * 6 + n_chars % 5) / 10 AS human_score
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+    "judge_scores": """
+SELECT l.doc_id AS example_id, 'judge_' || j AS judge_model, (quality * 5 + (n_chars + j * toxic) % 5 + (l.doc_id * j) % 3) / 12 AS score, j AS seq
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id, (SELECT unnest([0, 1, 2]) AS j)""",
 }

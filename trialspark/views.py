@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.constants import TASK_TYPES, TYPE_WEIGHTS, WEIGHT_SCHEMES
+from trialspark.functions.text import words as text_words
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -109,3 +110,90 @@ def type_weights(spark: SparkSession) -> DataFrame:
 def weight_schemes(spark: SparkSession) -> DataFrame:
     rows = [(s, t, w) for s, ws in WEIGHT_SCHEMES.items() for t, w in ws.items()]
     return spark.createDataFrame(rows, "scheme string, task_type string, weight double")
+
+
+def cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistant turns as responses, with expectations cut from the turn and the question before it."""
+    conv = table(spark, sf, "conversations")
+    reply = conv.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer_text"))
+    asked = conv.where("role = 'user'").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question")
+    )
+    cut = lambda words_, start, n: F.array_join(F.slice(words_, start, n), " ")
+    base = reply.join(asked, ["conv_id", "turn"]).withColumns(
+        {
+            "case_id": F.col("conv_id") * 1000 + F.col("turn"),
+            "qw": text_words(F.col("question")),
+            "aw": text_words(F.col("answer_text")),
+        }
+    )
+    i, qw, aw = F.col("case_id"), F.col("qw"), F.col("aw")
+    number = lambda c: c.cast("string")
+    see = F.concat(F.lit(" See ./docs/Guide_"), number(i % 3), F.lit(".md, lib/auth.py."))
+    endings = [
+        " The answer cannot be determined.",
+        " It's unclear.",
+        " This may not be accurate.",
+        " It could mean first reading.",
+        " First run_tests then read_file and deploy_app.",
+        "",
+        "",
+    ]
+    some = lambda *values: F.array(*[F.lit(x) for x in values])
+    return base.select(
+        "case_id",
+        "conv_id",
+        "turn",
+        pick(TASK_TYPES, i % 11).alias("task_type"),
+        "question",
+        F.concat("answer_text", F.when(i % 2 == 0, see).otherwise(""), pick(endings, i % 7)).alias("response"),
+        cut(qw, 1, 6).alias("expected_answer"),
+        F.array(F.when(i % 5 == 0, cut(aw, 3, 2)).otherwise(cut(qw, 7, 2))).alias("answer_aliases"),
+        F.array(F.concat(F.lit("docs/guide_"), number(i % 4), F.lit(".md")), F.lit("src/auth.py")).alias("expected_files"),
+        F.array(cut(qw, 1, 5), cut(qw, 6, 5), cut(aw, 1, 4)).alias("reasoning_chain"),
+        F.when(i % 3 == 0, F.array(cut(qw, 1, 3), cut(qw, 4, 3), cut(aw, 2, 3), cut(aw, 9, 5)))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("question_decomposition"),
+        F.create_map(
+            F.lit("src/auth.py"), cut(aw, 1, 3), F.concat(F.lit("docs/x_"), number(i % 3), F.lit(".md")), cut(qw, 1, 4)
+        ).alias("files"),
+        F.array(cut(aw, 2, 1), F.lit("test_login")).alias("fail_to_pass"),
+        F.when(i % 2 == 0, some("read_file", "run_tests")).otherwise(some("run_tests", "search")).alias("expected_tools"),
+        F.array(cut(qw, 1, 2), cut(aw, 2, 3), F.lit(""), cut(qw, 3, 4)).alias("sub_answers"),
+        F.array(
+            F.struct(F.lit("first_reading").alias("label"), cut(qw, 1, 5).alias("answer")),
+            F.struct(F.lit("other_reading").alias("label"), cut(aw, 5, 5).alias("answer")),
+        ).alias("interpretations"),
+        F.when(i % 3 == 0, "other_reading").otherwise("first_reading").alias("expected_interpretation"),
+        F.when(i % 4 == 0, cut(aw, 4, 3)).otherwise(cut(qw, 2, 6)).alias("expected_resolution"),
+        (20 + i % 50).alias("token_budget"),
+        F.concat_ws("\n", cut(aw, 1, 1), cut(qw, 1, 1), F.lit("[")).alias("test"),
+        F.array(cut(qw, 2, 1)).alias("forbidden_patterns"),
+    )
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    chars = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return table(spark, sf, "labels").join(chars, "doc_id")
+
+
+def gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents as human-scored examples."""
+    return _labelled(spark, sf).select(
+        F.col("doc_id").alias("example_id"),
+        pick(TASK_TYPES, F.col("doc_id") % 11).alias("task_type"),
+        ((F.col("quality") * 6 + F.col("n_chars") % 5) / 10).alias("human_score"),
+    )
+
+
+def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Three judges' scores per labelled document."""
+    rows = _labelled(spark, sf).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    j, d = F.col("j"), F.col("doc_id")
+    raw = F.col("quality") * 5 + (F.col("n_chars") + j * F.col("toxic")) % 5 + (d * j) % 3
+    return rows.select(
+        d.alias("example_id"),
+        F.concat(F.lit("judge_"), j.cast("string")).alias("judge_model"),
+        (raw / 12).alias("score"),
+        j.cast("long").alias("seq"),
+    )
