@@ -6,7 +6,7 @@ import importlib
 
 from trialspark.plans.registry import ORACLES, QUERIES
 
-AREAS: list[str] = ["trials", "windows", "text", "statistics"]
+AREAS: list[str] = ["trials", "windows", "text", "statistics", "doe"]
 
 
 def load() -> None:
