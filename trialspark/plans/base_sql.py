@@ -92,4 +92,17 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "judge_scores": """
 SELECT l.doc_id AS example_id, 'judge_' || j AS judge_model, (quality * 5 + (n_chars + j * toxic) % 5 + (l.doc_id * j) % 3) / 12 AS score, j AS seq
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id, (SELECT unnest([0, 1, 2]) AS j)""",
+    "local_models": """
+SELECT 'model_' || p_partkey AS id, p_name AS name, CAST(p_size * 1000 AS BIGINT) AS context_length, p_retailprice / 1000 AS prompt_price, p_retailprice / 500 AS completion_price,
+  p_type AS modality, p_brand AS tokenizer, ([['tools'], ['tools', 'json'], ['json', 'vision', 'tools']])[p_size % 3 + 1] AS supported_params,
+  p_partkey % 90 AS first_seen, 100 AS last_seen, CASE WHEN p_partkey % 23 = 0 THEN 150 END AS removed_at
+FROM part WHERE p_partkey % 11 <> 0""",
+    "remote_models": """
+SELECT 'model_' || p_partkey AS id, p_name || CASE WHEN p_partkey % 6 = 0 THEN ' v2' ELSE '' END AS name, CAST(p_size * 1000 AS BIGINT) AS context_length,
+  CASE WHEN p_partkey % 7 = 0 THEN p_retailprice / 900 ELSE p_retailprice / 1000 END AS prompt_price,
+  CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 8 = 0 THEN 0.0 ELSE p_retailprice / 500 END AS completion_price, p_type AS modality, p_brand AS tokenizer
+FROM part WHERE p_partkey % 10 <> 0""",
+    "provider_costs": """
+SELECT trial_id, CASE WHEN trial_id % 4 = 0 THEN coalesce(cost, 0) WHEN trial_id % 4 = 1 THEN coalesce(cost, 0) + 0.005 WHEN trial_id % 4 = 2 THEN coalesce(cost, 0) * 1.2 + 0.02 ELSE coalesce(cost, 0) * 1.005 END AS provider_cost,
+  CAST(prompt_tokens * (1 + trial_id % 3) // 2 AS BIGINT) AS prompt_tokens, completion_tokens FROM trials WHERE trial_id % 5 <> 0""",
 }

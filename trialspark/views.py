@@ -197,3 +197,51 @@ def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
         (raw / 12).alias("score"),
         j.cast("long").alias("seq"),
     )
+
+
+def local_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog snapshot before a sync."""
+    k, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    lists = [["tools"], ["tools", "json"], ["json", "vision", "tools"]]
+    params = F.element_at(F.array(*[F.array(*[F.lit(x) for x in p]) for p in lists]), (size % 3 + 1).cast("int"))
+    return table(spark, sf, "part").where(k % 11 != 0).select(
+        F.concat(F.lit("model_"), k.cast("string")).alias("id"),
+        F.col("p_name").alias("name"),
+        (size * 1000).alias("context_length"),
+        (price / 1000).alias("prompt_price"),
+        (price / 500).alias("completion_price"),
+        F.col("p_type").alias("modality"),
+        F.col("p_brand").alias("tokenizer"),
+        params.alias("supported_params"),
+        (k % 90).alias("first_seen"),
+        F.lit(100).cast("long").alias("last_seen"),
+        F.when(k % 23 == 0, F.lit(150).cast("long")).alias("removed_at"),
+    )
+
+
+def remote_models_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Provider listing with nested text prices, as it arrives."""
+    k, price = F.col("p_partkey"), F.col("p_retailprice")
+    prompt = F.when(k % 7 == 0, price / 900).otherwise(price / 1000)
+    completion = F.when(k % 9 == 0, F.lit(None)).when(k % 8 == 0, F.lit("")).otherwise((price / 500).cast("string"))
+    return table(spark, sf, "part").where(k % 10 != 0).select(
+        F.concat(F.lit("model_"), k.cast("string")).alias("id"),
+        F.concat("p_name", F.when(k % 6 == 0, " v2").otherwise("")).alias("name"),
+        (F.col("p_size") * 1000).alias("context_length"),
+        F.struct(prompt.cast("string").alias("prompt"), completion.alias("completion")).alias("pricing"),
+        F.col("p_type").alias("modality"),
+        F.col("p_brand").alias("tokenizer"),
+    )
+
+
+def provider_costs(spark: SparkSession, sf: str) -> DataFrame:
+    i, cost = F.col("trial_id"), F.coalesce(F.col("cost"), F.lit(0.0))
+    billed = (
+        F.when(i % 4 == 0, cost).when(i % 4 == 1, cost + 0.005).when(i % 4 == 2, cost * 1.2 + 0.02).otherwise(cost * 1.005)
+    )
+    return trials(spark, sf).where(i % 5 != 0).select(
+        "trial_id",
+        billed.alias("provider_cost"),
+        F.floor(F.col("prompt_tokens") * (1 + i % 3) / 2).cast("long").alias("prompt_tokens"),
+        "completion_tokens",
+    )
