@@ -58,10 +58,19 @@ SELECT run_id, CASE CAST(substr(run_id, 5) AS INT) % 3 WHEN 0 THEN 'completed' W
   'chain_' || (CAST(substr(run_id, 5) AS INT) % 2) AS chain_id
 FROM trials GROUP BY run_id""",
     "docs": """
-SELECT doc_id, source, lang || '/' || source || '/doc_' || doc_id || '.md' AS rel_path, text AS content,
-  lang AS section, n_chars, CASE WHEN n_chars < 800 THEN 'required' WHEN n_chars < 2500 THEN 'recommended' ELSE 'reference' END AS tier,
-  CAST(doc_id % 5 AS BIGINT) AS priority, CAST(length(text) // 4 AS BIGINT) AS token_count, 'doc_' || doc_id AS stem
-FROM documents""",
+SELECT *, CAST(length(content) // 4 AS BIGINT) AS token_count, sha256(content) AS content_hash,
+  section || '/' || source || '/' || CASE WHEN doc_id % 2 = 0 THEN doc_id || '/' ELSE '' END || stem || '.md' AS rel_path,
+  CASE WHEN doc_id % 7 = 0 THEN 'Summary of ' || stem END AS summary
+FROM (SELECT doc_id, source, lang AS section, n_chars, CAST(doc_id % 5 AS BIGINT) AS priority,
+  CASE WHEN n_chars < 800 THEN 'required' WHEN n_chars < 2500 THEN 'recommended' ELSE 'reference' END AS tier,
+  CASE WHEN doc_id % 10 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 365 AS INT) END AS last_modified,
+  CASE WHEN doc_id % 2 = 0 THEN coalesce(nullif(lower(regexp_extract(text, '([A-Za-z]{4,})', 1)), ''), 'word') ELSE 'doc_' || doc_id END AS stem,
+  CASE WHEN doc_id % 3 = 0 THEN '# Title ' || doc_id || chr(10) || chr(10) ELSE '' END ||
+  CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), chr(10) || chr(10) || '## Part ') WHEN 1 THEN replace(text, chr(10), chr(10) || 'def fn_x(a):' || chr(10))
+    WHEN 2 THEN replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10) || chr(10) || '#Note ') || '<!-- hidden' || chr(10) || 'note -->' ELSE text END ||
+  CASE doc_id % 5 WHEN 0 THEN chr(10) || '```python' || chr(10) || 'x = 1' || chr(10) || '```' WHEN 1 THEN ' since version 2.' || (doc_id % 7) || ' legacy'
+    WHEN 2 THEN ' see v1.4.2 | end' ELSE '' END AS content
+FROM documents)""",
     "case_words": f"""
 SELECT r.conv_id * 1000 + r.turn AS case_id, r.conv_id, r.turn, u.text AS question, r.text AS answer_text,
   {words_sql("u.text")} AS qw, {words_sql("r.text")} AS aw

@@ -85,20 +85,43 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("n_chars")
-    return table(spark, sf, "documents").select(
+    """Documents as Markdown files of one corpus per source, with headings, code and comments mixed in."""
+    i, n, text = F.col("doc_id"), F.col("n_chars"), F.col("text")
+    word = F.lower(F.regexp_extract(text, "([A-Za-z]{4,})", 1))
+    number = i.cast("string")
+    body = (
+        F.when(i % 4 == 0, F.replace(text, F.lit("\n"), F.lit("\n\n## Part ")))
+        .when(i % 4 == 1, F.replace(text, F.lit("\n"), F.lit("\ndef fn_x(a):\n")))
+        .when(i % 4 == 2, F.concat(F.replace(text, F.lit(". "), F.lit(".  \n\n\n\n#Note ")), F.lit("<!-- hidden\nnote -->")))
+        .otherwise(text)
+    )
+    tail = (
+        F.when(i % 5 == 0, "\n```python\nx = 1\n```")
+        .when(i % 5 == 1, F.concat(F.lit(" since version 2."), (i % 7).cast("string"), F.lit(" legacy")))
+        .when(i % 5 == 2, " see v1.4.2 | end")
+        .otherwise("")
+    )
+    title = F.when(i % 3 == 0, F.concat(F.lit("# Title "), number, F.lit("\n\n"))).otherwise("")
+    stem = F.when(i % 2 == 0, F.coalesce(F.nullif(word, F.lit("")), F.lit("word"))).otherwise(F.concat(F.lit("doc_"), number))
+    base = table(spark, sf, "documents").select(
         "doc_id",
         "source",
-        F.concat("lang", F.lit("/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias(
-            "rel_path"
-        ),
-        F.col("text").alias("content"),
         F.col("lang").alias("section"),
         "n_chars",
+        (i % 5).alias("priority"),
         F.when(n < 800, "required").when(n < 2500, "recommended").otherwise("reference").alias("tier"),
-        (F.col("doc_id") % 5).alias("priority"),
-        F.floor(F.length("text") / 4).cast("long").alias("token_count"),
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("stem"),
+        F.when(i % 10 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int"))).alias("last_modified"),
+        stem.alias("stem"),
+        F.concat(title, body, tail).alias("content"),
+    )
+    folder = F.when(i % 2 == 0, F.concat(number, F.lit("/"))).otherwise("")
+    return base.withColumns(
+        {
+            "token_count": F.floor(F.length("content") / 4).cast("long"),
+            "content_hash": F.sha2("content", 256),
+            "rel_path": F.concat("section", F.lit("/"), "source", F.lit("/"), folder, "stem", F.lit(".md")),
+            "summary": F.when(i % 7 == 0, F.concat(F.lit("Summary of "), "stem")),
+        }
     )
 
 
