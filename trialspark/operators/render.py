@@ -531,7 +531,7 @@ def _components(spread: DataFrame) -> DataFrame:
 
 # ---- tiered index targets and directory listings -------------------------
 def _tier_text(values: dict[str, str]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), "tier")
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("tier"))
 
 
 def tiered_index(docs: DataFrame, target: str, tiers: dict[str, str] | None = None, instruction: str = INSTRUCTION) -> DataFrame:

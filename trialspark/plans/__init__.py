@@ -6,7 +6,7 @@ import importlib
 
 from trialspark.plans.registry import ORACLES, QUERIES
 
-AREAS: list[str] = ["trials", "windows", "text", "statistics", "doe", "catalog", "corpus", "render"]
+AREAS: list[str] = ["trials", "windows", "text", "statistics", "doe", "catalog", "corpus", "render", "sources"]
 
 
 def load() -> None:
