@@ -205,10 +205,15 @@ def register_scorer(task_type: str, fn: Callable[[Callable[[str], Column]], Colu
     SCORERS[task_type] = fn
 
 
-def score_all(task_type: Column) -> Column:
-    """Dispatch by type in one expression; Python-backed scorers see only rows of their own type."""
+def score_all(task_type: Column, only: list[str] | None = None) -> Column:
+    """Dispatch by type in one expression; Python-backed scorers see only rows of their own type.
+
+    An unknown type scores 0; ``only`` limits the dispatch to types known to occur.
+    """
     out = F.lit(0.0)
     for name, fn in SCORERS.items():
+        if only is not None and name not in only:
+            continue
         if name in _PYTHON_TYPES:
             lookup = lambda c, n=name: F.when(task_type == n, F.col(c))
         else:

@@ -17,15 +17,29 @@ def exact_cost() -> Column:
     return cost0().cast(MONEY)
 
 
-def cost_anomalies(trials: DataFrame, multiplier: float = ANOMALY_MULTIPLIER) -> DataFrame:
-    """Trials costing more than ``multiplier`` times the mean of the model's earlier trials."""
+def totals_by_model(trials: DataFrame) -> DataFrame:
+    """What later trials need to know of earlier ones: count and cost per model."""
     known = trials.where(F.col("cost").isNotNull())
-    seen = running_totals(
-        known, ["model"], ["ts_us", "trial_id"], {"_n": F.lit(1).cast("long"), "_sum": exact_cost()}
-    )
-    before = (F.col("_sum") - exact_cost()).cast("double") / (F.col("_n") - 1)
+    return known.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(exact_cost()).cast(MONEY).alias("spent"))
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame | None) -> DataFrame:
+    """Put one row per model with the totals of everything before ahead of ``rows``."""
+    rows = rows.withColumns({"_k": F.lit(1).cast("long"), "_c": exact_cost()})
+    if carry is None:
+        return rows
+    none = lambda f: F.lit(None).cast(f.dataType)
+    have = {"model": F.col("model"), "_k": F.col("n"), "_c": F.col("spent").cast(MONEY), "ts_us": F.lit(-1), "trial_id": F.lit(-1)}
+    return rows.unionByName(carry.select(*[have.get(f.name, none(f)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
+
+
+def cost_anomalies(trials: DataFrame, multiplier: float = ANOMALY_MULTIPLIER, carry: DataFrame | None = None) -> DataFrame:
+    """Trials costing more than ``multiplier`` times the mean of the model's earlier trials."""
+    known = _with_carry(trials.where(F.col("cost").isNotNull()), carry)
+    seen = running_totals(known, ["model"], ["ts_us", "trial_id"], {"_n": F.col("_k"), "_sum": F.col("_c")})
+    before = (F.col("_sum") - F.col("_c")).cast("double") / (F.col("_n") - F.col("_k"))
     return (
-        seen.where(F.col("_n") > 1)
+        seen.where((F.col("_n") > F.col("_k")) & (F.col("trial_id") >= 0))
         .withColumn("earlier_mean", before)
         .where((F.col("earlier_mean") > 0) & (F.col("cost") > multiplier * F.col("earlier_mean")))
         .select("trial_id", "model", "cost", "earlier_mean", (F.col("cost") / F.col("earlier_mean")).alias("multiplier"))
@@ -57,13 +71,14 @@ def burn_rate(trials: DataFrame, threshold_per_minute: float, window_s: int = BU
     )
 
 
-def budget_exceeded(trials: DataFrame, budgets: dict[str, float], keys: list[str]) -> DataFrame:
+def budget_exceeded(trials: DataFrame, budgets: dict[str, float], keys: list[str], carry: DataFrame | None = None) -> DataFrame:
     """Every trial at which the cumulative cost of its key is above the key's budget."""
     key = F.col(keys[0]) if keys else F.lit("*")
     budget = F.element_at(F.create_map(*[F.lit(x) for kv in budgets.items() for x in kv]), key)
-    seen = running_totals(trials, keys, ["ts_us", "trial_id"], {"_spent": exact_cost()})
+    seen = running_totals(_with_carry(trials, carry), keys, ["ts_us", "trial_id"], {"_spent": F.col("_c")})
     return (
-        seen.withColumn("spent", F.col("_spent").cast("double"))
+        seen.where(F.col("trial_id") >= 0)
+        .withColumn("spent", F.col("_spent").cast("double"))
         .withColumn("budget", budget)
         .where(F.col("spent") > F.col("budget"))
         .select("trial_id", *keys, "spent", "budget")

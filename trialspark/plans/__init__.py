@@ -6,7 +6,19 @@ import importlib
 
 from trialspark.plans.registry import ORACLES, QUERIES
 
-AREAS: list[str] = ["trials", "windows", "text", "statistics", "doe", "catalog", "corpus", "render", "sources"]
+AREAS: list[str] = [
+    "trials",
+    "windows",
+    "text",
+    "statistics",
+    "doe",
+    "catalog",
+    "corpus",
+    "render",
+    "sources",
+    "streams",
+    "extension",
+]
 
 
 def load() -> None:

@@ -1 +1 @@
-
+"""Structured Streaming jobs over trial events."""

@@ -23,7 +23,11 @@ def micros(ts: Column) -> Column:
 
 
 def trials(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    return trials_from(table(spark, sf, "events"))
+
+
+def trials_from(e: DataFrame) -> DataFrame:
+    """Trial rows from an events table or stream."""
     user, event, value = F.col("user_id"), F.col("event_id"), F.col("value")
     prompt = F.floor(value * 10).cast("long")
     completion = F.floor(value).cast("long")
