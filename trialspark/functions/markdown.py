@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,9 +36,29 @@ def _first(array: Column) -> Column:
     return F.coalesce(F.get(array, F.lit(0)), F.lit(""))
 
 
+HEAD = 400
+
+
+def _head_first(content: Column, of: Callable[[Column], Column], enough: Callable[[Column], Column], head: Column) -> Column:
+    """``of(content)``, read off the start of the text where that already settles it.
+
+    Only a shortcut: wherever the start does not decide the result, the whole
+    text is processed, so the value is always that of the whole text.
+    """
+    short = of(head)
+    return F.when((F.length(content) > HEAD) & enough(short), short).otherwise(of(content))
+
+
 def brief_summary(content: Column, n: int = 80) -> Column:
-    bare = F.transform(lines(content), lambda x: unhash(strip(x)))
-    return F.left(_first(F.filter(bare, lambda x: x != "")), F.lit(n))
+    """First line that is not empty without heading marks, cut to ``n`` characters."""
+
+    def first(text: Column) -> Column:
+        bare = F.transform(lines(text), lambda x: unhash(strip(x)))
+        return F.left(_first(F.filter(bare, lambda x: x != "")), F.lit(n))
+
+    # complete lines only: the last one may have been cut
+    head = F.regexp_replace(F.left(content, F.lit(HEAD)), r"[^\n]*$", "")
+    return _head_first(content, first, lambda x: x != "", head)
 
 
 def summarise(content: Column) -> Column:
@@ -46,7 +67,9 @@ def summarise(content: Column) -> Column:
 
 
 def content_summary(content: Column, n: int = 100) -> Column:
-    flat = strip(unhash(strip(F.regexp_replace(content, WHITE, " "))))
+    """The text on one line, cut to ``n`` characters."""
+    flatten = lambda text: strip(unhash(strip(F.regexp_replace(text, WHITE, " "))))
+    flat = _head_first(content, flatten, lambda x: F.length(x) > n, F.left(content, F.lit(HEAD)))
     cut = F.regexp_replace(F.left(flat, F.lit(n)), f"{WHITE}$", "")
     return F.when(F.length(flat) > n, F.concat(cut, F.lit("..."))).otherwise(flat)
 

@@ -20,6 +20,7 @@ from trialspark.functions import markdown as md
 from trialspark.operators import corpus
 from trialspark.operators.monitor import top_per_group
 from trialspark.operators.ordered import ordinals, running
+from trialspark.session import frozen, scratch_path
 
 KEY = ("a", "b", "c", "k", "path", "seq")
 PIECE = "struct<a:string,b:string,c:string,k:int,path:string,seq:int,text:string>"
@@ -122,7 +123,6 @@ def _union(*frames: DataFrame) -> DataFrame:
 
 
 # ---- baselines, structure, metadata, format ------------------------------
-register_variant("no-index", 0, lambda: F.array().cast(f"array<{PIECE}>"))
 register_variant("no-docs", 0, _one("\n- ", "$p", " (tier: ", "$tier", ", section: ", "$section", ")"))
 register_variant("structure-flat", 1, _one("\n- ", "$p", " (", "$tier", "): ", "$brief_own"))
 
@@ -191,6 +191,8 @@ def _cells(*cols: str) -> list[Column]:
     return [md.escape_pipe(F.col(c).cast("string")) for c in cols]
 
 
+register_variant("no-index", 0, None, _title(""))
+
 _COLUMNS = ("rel_path", "section", "tier", "tokens", "first_own")
 register_variant(
     "format-pipe-delimited",
@@ -471,15 +473,23 @@ def pieces(docs: DataFrame, names: Sequence[str]) -> DataFrame:
 def pages(parts: DataFrame, keys: Sequence[str] = ("source", "variant"), page_chars: int = 1_000_000) -> DataFrame:
     """Fold pieces into pages of about ``page_chars`` characters, in order.
 
-    The first piece of a text loses the blank lines it would start with.
+    Pieces are written once; only their keys and lengths are put in order, and
+    the texts then move to their page.  The first piece of a text loses the
+    blank lines it would start with.
     """
     keys = list(keys)
-    sized = parts.withColumn("_len", F.length("text").cast("long"))
-    placed = running(sized, keys, KEY, {"ordinal": F.lit(1).cast("long"), "_cum": F.col("_len")})
+    spark = parts.sparkSession
+    path = scratch_path(spark, "pieces")
+    sized = parts.select(*keys, *KEY, "text", F.length("text").cast("long").alias("_len")).withColumn("_id", F.monotonically_increasing_id())
+    sized.write.parquet(path)
+    stored = spark.read.schema(sized.schema).parquet(path)
+    totals = {"ordinal": F.lit(1).cast("long"), "_cum": F.col("_len")}
+    slim = running(stored.select(*keys, *KEY, "_len", "_id"), keys, KEY, totals)
+    page = F.floor((F.col("_cum") - F.col("_len")) / page_chars).alias("page")
+    placed = stored.select(*keys, "_id", "text").join(slim.select("_id", "ordinal", page), "_id")
     text = F.when(F.col("ordinal") == 1, F.regexp_replace("text", "^\n+", "")).otherwise(F.col("text"))
-    page = F.floor((F.col("_cum") - F.col("_len")) / page_chars)
     return (
-        placed.select(*keys, page.alias("page"), "ordinal", text.alias("text"))
+        placed.select(*keys, "page", "ordinal", text.alias("text"))
         .groupBy(*keys, "page")
         .agg(
             F.count(F.lit(1)).alias("pieces"),
@@ -622,8 +632,6 @@ def length_matched(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataF
     Every round takes the longest prefix that fits for all corpora at once and
     drops what can no longer fit, so no corpus is folded in one task.
     """
-    from trialspark.session import frozen
-
     left = docs.join(targets, "source").select(
         "source", "rel_path", F.coalesce("token_count", F.lit(0)).alias("tokens"), shuffle_key(seed).alias("_o"), F.col("target_tokens").alias("_rem")
     )

@@ -57,6 +57,7 @@ def at(key):
 
 
 at("idx01")
+rendered("no-index", "SELECT DISTINCT source, '' AS content FROM docs", prep=False)
 rendered("no-docs", flat(f"'- ' || {P} || ' (tier: ' || tier || ', section: ' || section || ')'"))
 at("idx04")
 rendered("structure-flat", flat(f"'- ' || {P} || ' (' || tier || '): ' || bo"))

@@ -91,8 +91,12 @@ def task_duplicates(tasks: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], prefix: str, limit: int | None = None) -> DataFrame:
-    """Adds ``n`` (0-based place in ``order``) and ``new_id`` = prefix plus the padded place."""
-    out = ordinals(df, [], order, "n").withColumn("n", F.col("n") - 1)
+    """Adds ``n`` (0-based place in ``order``) and ``new_id`` = prefix plus the padded place.
+
+    Only the order columns are numbered; the rows themselves move once, to meet their number.
+    """
+    placed = ordinals(df.select(*order), [], order, "n").withColumn("n", F.col("n") - 1)
+    out = df.join(placed, order)
     if limit is not None:
         out = out.where(F.col("n") < limit)
     text = F.col("n").cast("string")

@@ -9,8 +9,20 @@ from trialspark.constants import TASK_TYPES, TYPE_WEIGHTS, WEIGHT_SCHEMES
 from trialspark.functions.text import words as text_words
 
 
+TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One of the driver tables; texts that come in too few splits are spread over the cores.
+
+    Work on texts is heavy per row, so a table read as one split would keep one
+    core busy.  A table with at least as many splits as cores is left alone.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def pick(values: list[str], index: Column) -> Column:
