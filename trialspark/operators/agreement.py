@@ -88,6 +88,8 @@ def collapse(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks, weighted over the collapsed grid; degenerate input gives 0."""
+    if not keys:
+        return spearman(df.withColumn("_all", F.lit(1)), ["_all"], a, b).drop("_all")
     keys = list(keys)
     cells = collapse(df, keys, a, b)
     rx, ry = _avg_ranks(cells, keys, "x", "rx"), _avg_ranks(cells, keys, "y", "ry")
@@ -116,6 +118,8 @@ def kendall(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     above it and walked in x order with running counts of zeros and ones seen
     so far: each point meets counts, never other points.
     """
+    if not keys:
+        return kendall(df.withColumn("_all", F.lit(1)), ["_all"], a, b).drop("_all")
     keys = list(keys)
     cells = collapse(df, keys, a, b)
     margin_x = cells.groupBy(*keys, "x").agg(F.sum("n").alias("n"))
@@ -149,11 +153,7 @@ def kendall(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     n2 = F.col("n") * (F.col("n") - 1) / 2.0
     tx = margin_x.groupBy(*keys).agg(F.sum(n2).alias("_tx"), F.sum("n").alias("n"))
     ty = margin_y.groupBy(*keys).agg(F.sum(n2).alias("_ty"))
-    if keys:
-        full = score.join(tx, keys).join(ty, keys)
-    else:
-        one = lambda d: d.select(F.struct("*")).scalar()
-        full = score.withColumns({"_a": one(tx), "_b": one(ty)}).select("_s", "_a.*", "_b.*")
+    full = score.join(tx, keys).join(ty, keys)
     total = F.col("n") * (F.col("n") - 1) / 2.0
     base = F.sqrt((total - F.col("_tx")) * (total - F.col("_ty")))
     return full.select(*keys, "n", F.when(base > 0, F.col("_s") / base).otherwise(0.0).alias("tau"))
@@ -175,7 +175,7 @@ def calibrate(joined: DataFrame, human: str, judge: str, kappa_min=KAPPA_PASS, r
 
 
 def panel_validate(panel: DataFrame, routine: DataFrame, threshold: float = RHO_PASS) -> DataFrame:
-    both = panel_routine_join(panel, routine).withColumn("_k", F.lit(1))
-    return spearman(both, ["_k"], "aggregate", "score").drop("_k").withColumn("passed", F.col("rho") >= threshold)
+    both = panel_routine_join(panel, routine)
+    return spearman(both, [], "aggregate", "score").withColumn("passed", F.col("rho") >= threshold)
 
 

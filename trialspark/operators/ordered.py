@@ -116,6 +116,8 @@ def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Linear-interpolated quantiles per key from value counts, never from raw lists."""
+    if not keys:
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
     cum = running_totals(value_counts(df, keys, value), keys, [value], {"cum": F.col("n")})
     totals = cum.groupBy(*keys).agg(F.sum("n").alias("_total"))
     placed = cum.join(totals, list(keys))
