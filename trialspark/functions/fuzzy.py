@@ -85,11 +85,16 @@ def partial_hit(needle: str, hay: str, cutoff: float) -> bool:
 
 
 @F.pandas_udf(T.DoubleType())
-def token_set_ratio_udf(expected: pd.Series, response: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if a is None or b is None else token_set_ratio(a, b) for a, b in zip(expected, response)],
-        dtype="float64",
-    )
+def close_match_udf(expected: pd.Series, response: pd.Series) -> pd.Series:
+    """.9 or .7 for word sets at least 85 or 70 similar, NULL below that and for NULL input."""
+
+    def score(a, b):
+        if a is None or b is None:
+            return None
+        similar = token_set_ratio(a, b)
+        return 0.9 if similar >= 85.0 else 0.7 if similar >= 70.0 else None
+
+    return pd.Series([score(a, b) for a, b in zip(expected, response)], dtype="float64")
 
 
 def pattern_found(pattern: str, text: str) -> bool:

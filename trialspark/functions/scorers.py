@@ -15,7 +15,7 @@ from trialspark.functions.fixed_text import (
     HEDGES,
     TOOL_NAMES,
 )
-from trialspark.functions.text import extract_keywords, hits, keyword_coverage, ratio
+from trialspark.functions.text import extract_keywords, hits, keyword_coverage, let, ratio
 
 
 def _low(c: Column) -> Column:
@@ -28,40 +28,55 @@ def _size(a: Column) -> Column:
 
 def score_retrieval(response: Column, expected_files: Column) -> Column:
     """F-beta (2) of mentioned against expected paths; an equal file name elsewhere counts half."""
-    got = F.array_distinct(F.transform(text.mentioned_paths(response), text.normalize_path))
-    want = F.array_distinct(F.transform(expected_files, text.normalize_path))
-    exact = F.array_intersect(want, got)
-    rest_names = F.transform(F.array_except(got, exact), text.base_name)
-    near = F.filter(F.array_except(want, exact), lambda p: F.array_contains(rest_names, text.base_name(p)))
-    true = F.size(exact) + 0.5 * F.size(near)
-    precision, recall = true / F.size(got), true / F.size(want)
-    fbeta = 5.0 * precision * recall / (4.0 * precision + recall)
-    return (
-        F.when((_size(want) == 0) & (F.size(got) == 0), 1.0)
-        .when((_size(want) == 0) | (F.size(got) == 0) | (true == 0), 0.0)
-        .otherwise(F.least(fbeta, F.lit(1.0)))
-    )
+    paths = lambda a: F.array_distinct(F.transform(a, text.normalize_path))
+    both = F.struct(paths(text.mentioned_paths(response)).alias("got"), paths(expected_files).alias("want"))
+
+    def compare(s: Column) -> Column:
+        got, want, exact = s["got"], s["want"], F.array_intersect(s["want"], s["got"])
+        rest_names = F.transform(F.array_except(got, exact), text.base_name)
+        near = let(
+            rest_names,
+            lambda names: F.size(F.filter(F.array_except(want, exact), lambda p: F.array_contains(names, text.base_name(p)))),
+        )
+        true = F.size(exact) + 0.5 * near
+        return F.struct(true.alias("true"), F.size(got).alias("got"), _size(want).alias("want"))
+
+    def fbeta(c: Column) -> Column:
+        precision, recall = c["true"] / c["got"], c["true"] / c["want"]
+        score = 5.0 * precision * recall / (4.0 * precision + recall)
+        return (
+            F.when((c["want"] == 0) & (c["got"] == 0), 1.0)
+            .when((c["want"] == 0) | (c["got"] == 0) | (c["true"] == 0), 0.0)
+            .otherwise(F.least(score, F.lit(1.0)))
+        )
+
+    return let(both, lambda s: let(compare(s), fbeta))
 
 
 def contained(response: Column, answer: Column, aliases: Column) -> Column:
-    low = _low(response)
-    return F.contains(low, _low(answer)) | F.exists(aliases, lambda a: F.contains(low, _low(a)))
+    return let(
+        _low(response), lambda low: F.contains(low, _low(answer)) | F.exists(aliases, lambda a: F.contains(low, _low(a)))
+    )
 
 
 def score_answer(response: Column, answer: Column, aliases: Column) -> Column:
     """1 for the answer or an alias, else the share of its keywords (the robustness score)."""
+    share = let(_low(response), lambda low: let(extract_keywords(answer), lambda k: keyword_coverage(k, low)))
     return (
         F.when(F.coalesce(answer, F.lit("")) == "", 0.0)
         .when(contained(response, answer, aliases), 1.0)
-        .otherwise(keyword_coverage(extract_keywords(answer), _low(response)))
+        .otherwise(share)
     )
 
 
 def score_fact(response: Column, answer: Column, aliases: Column) -> Column:
     """As :func:`score_answer` with a fuzzy layer that only sees rows the exact layers missed."""
-    missed = (F.coalesce(answer, F.lit("")) != "") & ~contained(response, answer, aliases)
-    fuzz = fuzzy.token_set_ratio_udf(F.when(missed, answer), F.when(missed, response))
-    return F.when(fuzz >= 85.0, 0.9).when(fuzz >= 70.0, 0.7).otherwise(score_answer(response, answer, aliases))
+    low = _low(response)
+    hit = F.contains(low, _low(answer)) | F.exists(aliases, lambda a: F.contains(low, _low(a)))
+    missed = (F.coalesce(answer, F.lit("")) != "") & ~hit
+    # the UDF gives the score of a close match and NULL otherwise, and appears once in the plan
+    close = fuzzy.close_match_udf(F.when(missed, answer), F.when(missed, response))
+    return F.coalesce(close, score_answer(response, answer, aliases))
 
 
 def score_code(response: Column, test: Column, forbidden: Column) -> Column:
@@ -70,28 +85,31 @@ def score_code(response: Column, test: Column, forbidden: Column) -> Column:
 
 def tool_usage(response: Column, tools: Column) -> Column:
     """.5 coverage + .3 order of first mention + .2 share of mentioned tools that were expected."""
-    low = _low(response)
-    names = F.filter(F.transform(tools, _low), lambda n: n != "")
-    found = F.filter(names, lambda n: F.contains(low, n))
-    places = F.transform(found, lambda n: F.position(n, low))
-    mentioned = F.array_distinct(
-        F.regexp_extract_all(low, F.lit(r"\b(" + "|".join(TOOL_NAMES) + r")\b"), F.lit(1))
-    )
-    ordered = F.when(places == F.array_sort(places), 1.0).otherwise(0.0)
-    precision = F.when(
-        F.size(mentioned) > 0, 1.0 - F.size(F.array_except(mentioned, names)) / F.size(mentioned)
-    ).otherwise(1.0)
-    return F.when(F.size(found) == 0, 0.0).otherwise(
-        0.5 * F.size(found) / F.size(names) + 0.3 * ordered + 0.2 * precision
-    )
+    known = F.lit(r"\b(" + "|".join(TOOL_NAMES) + r")\b")
+
+    def judge(low: Column) -> Column:
+        names = F.filter(F.transform(tools, _low), lambda n: n != "")
+        found = F.filter(names, lambda n: F.contains(low, n))
+        places = F.transform(found, lambda n: F.position(n, low))
+        ordered = F.when(places == F.array_sort(places), 1.0).otherwise(0.0)
+        precision = let(
+            F.array_distinct(F.regexp_extract_all(low, known, F.lit(1))),
+            lambda m: F.when(F.size(m) > 0, 1.0 - F.size(F.array_except(m, names)) / F.size(m)).otherwise(1.0),
+        )
+        return F.when(F.size(found) == 0, 0.0).otherwise(
+            0.5 * F.size(found) / F.size(names) + 0.3 * ordered + 0.2 * precision
+        )
+
+    return let(_low(response), judge)
 
 
 def score_agentic(response: Column, files: Column, fail_to_pass: Column, tools: Column) -> Column:
     """Weighted mean of the parts whose expectations are given; .5 when none is."""
-    low = _low(response)
     paths, notes = F.map_keys(files), F.map_values(files)
     keywords = F.flatten(F.transform(notes, extract_keywords))
-    share = lambda wanted: ratio(hits(wanted, low), F.size(wanted))
+    share = lambda wanted: let(
+        _low(response), lambda low: let(wanted, lambda w: ratio(hits(w, low), F.size(w)))
+    )
     has_files, has_tests, has_tools = _size(paths) > 0, _size(fail_to_pass) > 0, _size(tools) > 0
     parts = [
         (has_files, 0.4, share(paths)),
@@ -106,26 +124,23 @@ def score_agentic(response: Column, files: Column, fail_to_pass: Column, tools:
 
 def score_multi_hop(response: Column, chain: Column, decomposition: Column) -> Column:
     """Mean keyword coverage over steps, a step below .30 counting nothing; short keywords match whole words."""
-    low = _low(response)
-    whole_words = text.word_set(response)
     steps = F.when(_size(chain) < _size(decomposition), decomposition).otherwise(chain)
-    short_hit = lambda w: F.when(
-        w.rlike(r"^[\p{L}\p{N}_]+$"), F.array_contains(whole_words, w)
-    ).otherwise(
-        F.regexp_like(
-            low,
-            F.concat(
-                F.lit(r"(?U)\b"), F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b")
-            ),
-        )
-    )
-    present = lambda w: F.when(F.length(w) <= 4, short_hit(_low(w))).otherwise(
-        F.contains(low, _low(w))
-    )
     keyword_lists = F.filter(F.transform(steps, extract_keywords), lambda k: F.size(k) > 0)
-    covered = F.transform(keyword_lists, lambda k: F.size(F.filter(k, present)) / F.size(k))
-    counted = F.aggregate(covered, F.lit(0.0), lambda a, c: a + F.when(c >= 0.30, c).otherwise(0.0))
-    return F.when(_size(keyword_lists) == 0, 1.0).otherwise(counted / F.size(keyword_lists))
+
+    def in_words(low: Column, words: Column, w: Column) -> Column:
+        bounded = F.concat(F.lit(r"(?U)\b"), F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
+        return F.when(w.rlike(r"^[\p{L}\p{N}_]+$"), F.array_contains(words, w)).otherwise(F.regexp_like(low, bounded))
+
+    def mean(r: Column) -> Column:
+        present = lambda w: F.when(
+            F.length(w) <= 4, in_words(r["low"], r["words"], _low(w))
+        ).otherwise(F.contains(r["low"], _low(w)))
+        covered = F.transform(r["k"], lambda k: F.size(F.filter(k, present)) / F.size(k))
+        counted = F.aggregate(covered, F.lit(0.0), lambda a, c: a + F.when(c >= 0.30, c).otherwise(0.0))
+        return F.when(_size(r["k"]) == 0, 1.0).otherwise(counted / F.size(r["k"]))
+
+    row = F.struct(_low(response).alias("low"), text.word_set(response).alias("words"), keyword_lists.alias("k"))
+    return let(row, mean)
 
 
 def score_negative(response: Column) -> Column:
@@ -160,7 +175,10 @@ def score_disambiguation(response: Column, interpretations: Column, expected: Co
     mine = F.filter(interpretations, lambda i: i["label"] == expected)
     keywords = extract_keywords(F.get(mine, F.lit(0))["answer"])
     bonus = F.when(text.any_phrase(low, AMBIGUITY), 0.1).otherwise(0.0)
-    answer = F.when(_size(keywords) > 0, F.least(F.lit(1.0), keyword_coverage(keywords, low) + bonus)).otherwise(0.0)
+    scored = lambda k, x: F.when(
+        _size(k) > 0, F.least(F.lit(1.0), keyword_coverage(k, x) + bonus)
+    ).otherwise(0.0)
+    answer = let(low, lambda x: let(keywords, lambda k: scored(k, x)))
     label = _low(expected)
     named = F.contains(low, label) | F.contains(low, F.replace(label, F.lit("_"), F.lit(" ")))
     return F.when((F.coalesce(expected, F.lit("")) == "") | (_size(mine) == 0), 0.0).otherwise(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once per row, however often and deep ``fn`` uses it.
+
+    Inside array lambdas an outer expression is evaluated again for every
+    element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole`` as a double, 0 where there is nothing to divide by."""
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))

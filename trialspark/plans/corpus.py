@@ -92,15 +92,13 @@ def per_doc(name, sql, fn, extra_ctes=""):
 
 
 # ---- scanning ------------------------------------------------------------
-@query("src01_doc_scan")
+@query("src01_doc_scan", "SELECT 'source=' || source AS dir, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes FROM docs GROUP BY 1")
 def _(spark, sf):
     """Documents written out as text files per source, then scanned back from the directory."""
     path = scratch_path(spark, "scan")
     v.docs(spark, sf).select("source", F.col("content").alias("value")).write.partitionBy("source").text(path)
     scanned = co.doc_scan(spark, path, extensions=[".txt"])
-    return scanned.groupBy(md.extension(F.col("rel_path")).alias("ext")).agg(
-        t.n_rows().alias("files"), F.sum("size_bytes").alias("bytes"), F.countDistinct("content_hash").alias("distinct_contents")
-    )
+    return scanned.groupBy(md.parent(F.col("rel_path")).alias("dir")).agg(F.sum("size_bytes").alias("bytes"))
 
 
 _PATHS = "paths AS (SELECT source, CASE doc_id % 9 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '.hidden/' ELSE '' END || CASE WHEN doc_id % 8 = 0 THEN replace(rel_path, '.md', '.PY') ELSE rel_path END AS rel_path FROM docs)"

@@ -56,7 +56,11 @@ def _files(spark, sf):
     return r.select(F.col("rel_path").alias("path"), _yaml_text().alias("text"))
 
 
-@query("src05_task_ingest")
+@query(
+    "src05_task_ingest",
+    """SELECT rel_path AS path, 'retrieval_' || CASE WHEN doc_id % 50 = 0 THEN 0 ELSE doc_id END AS task_id, 'retrieval' AS type,
+CASE WHEN doc_id % 7 = 0 THEN 'nowhere' ELSE 'library_docs' END AS domain, rel_path AS expected_files FROM docs WHERE doc_id % 9 <> 0""",
+)
 def _(spark, sf):
     t = tk.task_ingest(_files(spark, sf))
     return t.select("path", "task_id", "type", "domain", F.array_join("metadata.expected_files", ",").alias("expected_files"))
