@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from trialspark import views as v
+from trialspark.functions import scorers as sc
 from trialspark.operators import monitor
 from trialspark.operators import render as rd
 from trialspark.operators import trials as t
@@ -155,6 +156,14 @@ def test_perturbation_changes_one_place(spark):
         assert abs(len(r.question) - len(r.original_question)) <= 1
 
 
+def test_dispatch_equals_single_scorers(spark):
+    cases = v.cases(spark, SF)
+    every = {r.case_id: (r.task_type, r.x) for r in cases.select("case_id", "task_type", sc.score_all(F.col("task_type")).alias("x")).collect()}
+    for kind, fn in sc.SCORERS.items():
+        for r in cases.where(F.col("task_type") == kind).select("case_id", fn(F.col).alias("x")).collect():
+            assert every[r.case_id] == (kind, pytest.approx(r.x)), kind
+
+
 def test_every_query_is_registered_with_a_callable():
     queries, oracles = entry_module.queries(), entry_module.oracle_sql()
     assert len(queries) > 240

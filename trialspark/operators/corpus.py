@@ -145,18 +145,13 @@ def mentions(docs: DataFrame, whole_word: bool) -> DataFrame:
     text = docs.select("source", "rel_path", low.alias("_low")).withColumn("_lens", lengths)
     wanted = stems.select("source", "_gram").distinct()
     grams = text.select("source", "rel_path", F.explode(runs).alias("_gram")).join(wanted, ["source", "_gram"], "left_semi")
-    candidates = (
-        grams.join(stems, ["source", "_gram"])
-        .groupBy("source", "rel_path")
-        .agg(F.collect_list(F.struct("stem", "stem_path")).alias("_c"))
-    )
+    candidates = grams.join(stems, ["source", "_gram"]).select("source", "rel_path", "stem", "stem_path")
+    # the text meets its candidates at its own key and is tested there, never copied per candidate
+    holds = F.contains(F.col("_low"), F.lower("stem"))
     if whole_word:
-        quoted = lambda s: F.concat(F.lit(r"(?U)\b\Q"), F.lower(s), F.lit(r"\E\b"))
-        holds = lambda c: F.contains(F.col("_low"), F.lower(c["stem"])) & F.regexp_like("_low", quoted(c["stem"]))
-    else:
-        holds = lambda c: F.contains(F.col("_low"), F.lower(c["stem"]))
-    tested = candidates.join(docs.select("source", "rel_path", low.alias("_low")), ["source", "rel_path"])
-    return tested.select("source", "rel_path", F.inline(F.filter("_c", holds)))
+        holds = holds & F.regexp_like("_low", F.concat(F.lit(r"(?U)\b\Q"), F.lower("stem"), F.lit(r"\E\b")))
+    tested = candidates.join(docs.select("source", "rel_path", low.alias("_low")), ["source", "rel_path"]).where(holds)
+    return tested.select("source", "rel_path", "stem", "stem_path")
 
 
 def section_peers(docs: DataFrame, n: int) -> DataFrame:

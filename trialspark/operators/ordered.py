@@ -50,8 +50,8 @@ def running(
 ) -> DataFrame:
     """Add running ``how`` (sum, max or min) of ``values`` per key along ``order``.
 
-    ``order`` must be unique within a key.  ``reverse`` runs from the end,
-    ``exclusive`` leaves the current row out.
+    ``order`` must be unique within a key and keys must not be NULL.
+    ``reverse`` runs from the end, ``exclusive`` leaves the current row out.
     """
     keys, order = list(keys), list(order)
     agg, combine = _COMBINE[how]

@@ -36,13 +36,21 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def group_pairs(stats: DataFrame, family: Sequence[str], name: str) -> DataFrame:
-    """Unordered pairs of reduced group rows inside a family, columns suffixed _a and _b."""
+    """Unordered pairs of reduced group rows inside a family, columns suffixed _a and _b.
+
+    ``stats`` has one row per registered group, so a family is a short array
+    and its pairs are unfolded from it without any join.
+    """
     family = list(family)
-    if not family:
-        stats, family = stats.withColumn("_family", F.lit(1)), ["_family"]
-    rest = [c for c in stats.columns if c not in family]
-    side = lambda tag: stats.select(*family, *[F.col(c).alias(f"{c}_{tag}") for c in rest])
-    return side("a").join(side("b"), family).where(F.col(f"{name}_a") < F.col(f"{name}_b")).drop("_family")
+    rest = [name, *[c for c in stats.columns if c not in (*family, name)]]
+    arrays = stats.groupBy(*family).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("_g"))
+    later = lambda i: F.slice("_g", i + 2, F.size("_g"))
+    pairs = F.flatten(
+        F.transform("_g", lambda x, i: F.transform(later(i), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    )
+    return arrays.select(*family, F.explode(pairs).alias("_p")).select(
+        *family, *[F.col(f"_p.{side}.{c}").alias(f"{c}_{tag}") for side, tag in (("x", "a"), ("y", "b")) for c in rest]
+    )
 
 
 # ---- paired tests --------------------------------------------------------
