@@ -58,6 +58,14 @@ def running(
     tmp = {f"_v_{name}": expr for name, expr in values.items()}
     sliced = range_slices(df.withColumns(tmp), keys + order, parts)
     direction = F.desc if reverse else F.asc
+    frame = (Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+    in_order = [direction(c) for c in order]
+    if sliced.rdd.getNumPartitions() == 1:
+        # all rows fitted one slice: nothing to carry
+        whole = Window.partitionBy(*keys).orderBy(*in_order).rowsBetween(*frame)
+        start = F.lit(0) if how == "sum" else F.lit(None)
+        out = sliced.withColumns({n: combine(start, agg(f"_v_{n}").over(whole)) for n in values})
+        return out.drop(SLICE, *tmp)
     earlier = (
         Window.partitionBy(*keys)
         .orderBy(direction(SLICE))
@@ -68,11 +76,7 @@ def running(
         .agg(*[agg(c).alias(c) for c in tmp])
         .select(*keys, SLICE, *[agg(c).over(earlier).alias(f"_c{c}") for c in tmp])
     )
-    inside = (
-        Window.partitionBy(*keys, SLICE)
-        .orderBy(*[direction(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    )
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*in_order).rowsBetween(*frame)
     out = sliced.join(carry, [*keys, SLICE]).withColumns(
         {n: combine(F.col(f"_c_v_{n}"), agg(f"_v_{n}").over(inside)) for n in values}
     )
