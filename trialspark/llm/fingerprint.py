@@ -17,34 +17,37 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import columns
 
-SAMPLES = 32
+SAMPLES = 16
 EMPTY = "ffffff"
 
 
-def term_weights(text: Column) -> Column:
-    """An array of (term hash, count) of a text, by runs in the sorted term hashes."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+def terms_of(text: Column) -> Column:
+    """The sorted hashes of a text's terms, with repeats."""
+    spaced = F.lower(text)
+    for space in "\t\n\r\f":
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    hashes = F.transform(F.split(spaced, " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
-def run_ends(terms: Column) -> Column:
-    """(term, index behind its last place) of a sorted array."""
-    last = F.transform(terms, lambda x, i: F.when((i == F.size(terms) - 1) | (F.get(terms, i + 1) != x), F.struct(x.alias("term"), (i + 1).alias("upto"))))
-    return F.filter(last, lambda s: s.isNotNull())
+def run_starts(terms: Column) -> Column:
+    """The places (from 0) where a new hash begins in the sorted array."""
+    places = F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1))
+    return F.filter(places, lambda i: ~F.get(terms, i).eqNullSafe(F.get(terms, i - 1)))
 
 
-def sample(term: Column, weight: Column, k: int) -> Column:
-    """a (39 bits, smaller is better) above 24 bits that name the winner; the minimum over a text's terms is its sample."""
-    h = F.xxhash64(term, F.lit(k))
+def sample(term: Column, log_weight: Column, k: int) -> Column:
+    """a (39 bits, smaller is better) above 24 bits that name the winner; the minimum over a text's terms is its sample.
+
+    ln a lies between -96 and 32 for any weight a text can have."""
+    h = F.xxhash64(term.bitwiseXOR(F.lit((k + 1) * 0x1E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF)))
     bits = lambda at, n: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1)) + 0.5) * (1.0 / (1 << n))
     r = -F.log(bits(0, 13) * bits(13, 13))
     log_c = F.log(-F.log(bits(26, 13) * bits(39, 13)))
-    b = bits(52, 12)
-    t = F.floor(F.log(weight) / r + b)
-    log_a = log_c - r * (t - b + 1)
-    rank = F.least(F.lit(127.99), F.greatest(F.lit(0.0), log_a + 96.0)) * float(1 << 32)
-    name = F.xxhash64(h, t).bitwiseAND(F.lit((1 << 24) - 1))
-    return F.shiftleft(rank.cast("long"), 24).bitwiseOR(name)
+    t = F.floor(log_weight / r + bits(52, 12))
+    log_a = log_c - r * (t - bits(52, 12) + 1)
+    name = h.bitwiseXOR(t * F.lit(0x5851F42D)).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.shiftleft(((log_a + 96.0) * float(1 << 32)).cast("long"), 24).bitwiseOR(name)
 
 
 def hex_of(samples: list[Column]) -> Column:
@@ -63,13 +66,14 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str, samples: int) -> DataFrame:
     """``keys, fingerprint``: a text's terms are exploded and reduced to minima at once; rows that are already
     clustered by some of ``keys`` are not shuffled again. ``keys`` must tell the rows apart."""
-    arrays = texts.select(*keys, term_weights(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    ends = arrays.select(*keys, run_ends(F.col("terms")).alias("ends"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    arrays = texts.select(*keys, terms_of(text).alias("terms"))
+    runs = arrays.select(*keys, "terms", run_starts(F.col("terms")).alias("starts"))
     pairs = F.transform(
-        "ends", lambda e, i: F.struct(e["term"].alias("term"), (e["upto"] - F.when(i == 0, 0).otherwise(F.get("ends", i - 1)["upto"])).cast("double").alias("weight"))
+        "starts", lambda at, i: F.struct(F.get("terms", at).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("terms")) - at).cast("double").alias("weight"))
     )
-    rows = ends.select(*keys, F.explode_outer(pairs).alias("p")).select(*keys, F.col("p.term").alias("term"), F.col("p.weight").alias("weight"))
-    mins = rows.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(samples)])
+    rows = runs.select(*keys, F.explode_outer(pairs).alias("p")).select(*keys, F.col("p.term").alias("term"), F.log("p.weight").alias("log_weight"))
+    mins = rows.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("log_weight"), k)).alias(f"s{k}") for k in range(samples)])
     return mins.select(*keys, hex_of([F.col(f"s{k}") for k in range(samples)]).alias("fingerprint"))
 
 
