@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import columns
 
-SAMPLES = 16
+SAMPLES = 32
 EMPTY = "ffffff"
 
 

@@ -75,7 +75,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM d)
 SELECT page_id, payload_bytes,
-  list_aggregate(list_transform(range(0, 8), i -> list_aggregate(list_transform([15, 10, 5, 0], s ->
+  list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, i * 5 + 1, 5))::INTEGER >> s) % 32 + 1)::INTEGER, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
