@@ -128,51 +128,6 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang).select("lang", "rank", "pieces")
 
 
-def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 7) -> None:
-        """Adam on shuffled batches."""
-        rng = np.random.default_rng(seed)
-        params = [self.embed, *self.filters, *self.bias, self.out, self.out_bias]
-        m1, m2, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
-                xb, yb = x[order[at : at + batch]], y[order[at : at + batch]]
-                n = len(xb)
-                logp, h, held = self.forward(xb, keep=True)
-                dz = np.exp(logp)
-                dz[np.arange(n), yb] -= 1
-                dz /= n
-                dh = (dz @ self.out.T) * (h > 0)
-                de = np.zeros((256, EMBED), np.float32)
-                grads_f, grads_b = [], []
-                for k, w in enumerate(WIDTHS):
-                    d = dh[:, k * FILTERS : (k + 1) * FILTERS]
-                    c, top = held[k]
-                    picked = c[np.arange(n)[:, None], top]  # n, filters, w*d
-                    grads_f.append(np.einsum("nf,nfw->wf", d, picked))
-                    grads_b.append(d.sum(0))
-                    back = (d[:, :, None] * self.filters[k].T[None]).reshape(n, FILTERS, w, EMBED)
-                    at_bytes = xb[np.arange(n)[:, None, None], top[:, :, None] + np.arange(w)]
-                    np.add.at(de, at_bytes.ravel(), back.reshape(-1, EMBED))
-                de[0] = 0
-                grads = [de, *grads_f, *grads_b, h.T @ dz, dz.sum(0)]
-                t += 1
-                for p, g, a, b in zip(params, grads, m1, m2):
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-
-    def window_log_probs(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
-        return np.concatenate([self.forward(x[at : at + batch]) for at in range(0, len(x), batch)])
-
-
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> DataFrame:
-    """The ``per_lang`` texts of each language with the smallest id hashes; ranks are cut before the shuffle."""
-    rows = columns(docs, id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "text")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang).select("lang", "text", "rank")
-
-
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, windows_per_text: int = WINDOWS_PER_TEXT) -> ByteCnn | None:
     """Fit on the bounded sample of ``docs`` (rows that may be learned from); None if there is none."""
     sample = training_sample(docs, id_col, text_col, lang_col, per_lang, windows_per_text)
