@@ -28,6 +28,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -159,7 +160,7 @@ def blocks(docs: DataFrame, buckets: int, words: int) -> DataFrame:
         bounds = np.array([(b << 56) // buckets for b in range(1, buckets)], dtype=np.uint64)
 
         def step(batch: pa.RecordBatch):
-            sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float)))
+            sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(float)))
             at = 0
             while at < batch.num_rows:
                 base = sizes[at - 1] if at else 0
