@@ -263,7 +263,7 @@ def run_state(log: DataFrame) -> DataFrame:
         F.count_if(of("create")).alias("creates"),
     )
     error = F.col("_final.error")
-    merged = F.when(error.isNull(), F.col("_config")).otherwise(F.map_concat("_config", F.create_map(F.lit("error"), error)))
+    merged = F.when(error.isNull(), F.col("_config")).otherwise(F.map_concat(F.map_filter("_config", lambda k, _: k != "error"), F.create_map(F.lit("error"), error)))
     return agg.select(
         "run_id",
         F.coalesce("_final.event", F.lit("active")).alias("status"),

@@ -37,15 +37,15 @@ def sn_ratios(trials: DataFrame, family: Sequence[str] = (), kind: str = "larger
 
 
 def scores_to_design(trials: DataFrame, design: DataFrame) -> DataFrame:
-    """Factor levels attached to every trial; a design has at most 81 runs, so it is broadcast."""
-    return trials.join(F.broadcast(design), trials["oa_row_id"] == design["run_id"]).drop(design["run_id"])
+    """Factor levels attached to every trial; Spark broadcasts the design if it is small."""
+    return trials.join(design, trials["oa_row_id"] == design["run_id"]).drop(design["run_id"])
 
 
 def main_effects(sn: DataFrame, design: DataFrame, levels: DataFrame, family: Sequence[str] = ()) -> DataFrame:
     """Mean S/N per factor level; a level no run uses gets 0. ``levels``: factor, level, level_pos."""
     fam = list(family)
     used = (
-        sn.join(F.broadcast(design), "run_id")
+        sn.join(design, "run_id")
         .groupBy(*fam, "factor", "level")
         .agg(F.avg("sn").alias("mean_sn"), F.count(F.lit(1)).alias("runs"))
     )
@@ -199,7 +199,7 @@ def effect_signs(spark, design: list[tuple]) -> DataFrame:
 def factorial_effects(responses: DataFrame, signs: DataFrame, family: Sequence[str] = ()) -> DataFrame:
     """Effect = 2/n * sum(sign * y); ``responses`` holds one y per run (and family)."""
     return (
-        responses.join(F.broadcast(signs), "run_id")
+        responses.join(signs, "run_id")
         .groupBy(*family, "effect", "is_main")
         .agg((F.sum(F.col("sign") * F.col("y")) * 2.0 / F.count(F.lit(1))).alias("estimate"))
     )
@@ -249,7 +249,9 @@ def parse_combination(name: Column) -> Column:
     """'a=x+b=y' as a map, any other name as {combination: name}."""
     trimmed = F.transform(F.split(name, r"\+"), lambda p: F.split(p, "=", 2))
     entries = F.transform(trimmed, lambda p: F.struct(F.trim(p[0]).alias("k"), F.trim(p[1]).alias("v")))
-    return F.when(name.rlike(r"^[^+=]*=[^+]*(\+[^+=]*=[^+]*)*$"), F.map_from_entries(entries)).otherwise(
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"])
+    last = F.filter(entries, lambda e, i: ~later(e, i))  # a factor named twice keeps its last level
+    return F.when(name.rlike(r"^[^+=]*=[^+]*(\+[^+=]*=[^+]*)*$"), F.map_from_entries(last)).otherwise(
         F.create_map(F.lit("combination"), name)
     )
 

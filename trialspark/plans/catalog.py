@@ -51,9 +51,9 @@ def _(spark, sf):
     return cat.model_search(v.local_models(spark, sf), "RING").select("id", "name")
 
 
-@query("sort04_model_sort", "SELECT id, R(prompt_price) AS prompt_price FROM local_models ORDER BY prompt_price DESC, id LIMIT 100")
+@query("sort04_model_sort", "SELECT id, R(prompt_price) AS prompt_price FROM local_models")
 def _(spark, sf):
-    return cat.model_sort(v.local_models(spark, sf), "-price").select("id", "prompt_price").limit(100)
+    return cat.model_sort(v.local_models(spark, sf), "-price").select("id", "prompt_price")
 
 
 # ---- sync ----------------------------------------------------------------

@@ -74,7 +74,7 @@ SELECT factor, level, count(DISTINCT d.run_id) AS runs, count(*) AS trials, R(av
 )
 def _(spark, sf):
     tr = v.trials(spark, sf).select((F.col("trial_id") % 50 + 1).alias("oa_row_id"), "score")
-    joined = tr.join(F.broadcast(ds.design_frame(spark, _AUTO)), F.col("oa_row_id") == F.col("run_id"))
+    joined = tr.join(ds.design_frame(spark, _AUTO), F.col("oa_row_id") == F.col("run_id"))
     return joined.groupBy("factor", "level").agg(
         F.countDistinct("run_id").alias("runs"), t.n_rows().alias("trials"), F.avg("score").alias("mean_score")
     )
@@ -157,9 +157,9 @@ def _(spark, sf):
     per_run = v.trials(spark, sf).groupBy("oa_row_id").agg(t.n_rows().alias("n"))
     d = _design(spark)
     right = d.select("run_id", F.col("factor").alias("factor_b"), F.col("level").alias("level_b"))
-    pairs = d.join(F.broadcast(right), "run_id").where(F.col("factor") < F.col("factor_b"))
+    pairs = d.join(right, "run_id").where(F.col("factor") < F.col("factor_b"))
     return (
-        per_run.join(F.broadcast(pairs), F.col("oa_row_id") == F.col("run_id"))
+        per_run.join(pairs, F.col("oa_row_id") == F.col("run_id"))
         .groupBy("factor", "factor_b", "level", "level_b")
         .agg(F.sum("n").alias("trials"))
     )
