@@ -56,7 +56,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-ORACLE_SQL = None  # a network, a forest and a Viterbi search are beyond SQL; tests/llm compares with plain Python
+ORACLE_SQL = None  # a network, a forest and a Viterbi search are beyond SQL; tests/llm test the stages
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
