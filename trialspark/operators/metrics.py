@@ -10,21 +10,21 @@ from trialspark.functions import text as tx
 
 
 def faithfulness(responses: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """Share of a response's non-stop words (repeats count) found in the source documents.
+    """Share of a response's non-stop words (repeats count) found in the sources of that response.
 
-    Responses are cut to (response, word, count) before the equi-join on the
-    word, so neither a long response nor a common word is gathered in one place.
-    ``sources`` has a ``text`` column.
+    Responses are cut to (response, word, count) before the equi-join on
+    response and word, so neither a long response nor a common word is gathered
+    in one place. ``sources`` has the ``key`` and ``text`` columns; a response
+    without sources has 0.
     """
     ascii_words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
     kept = F.filter(ascii_words(F.col("response")), lambda w: ~w.isin(fx.FAITHFULNESS_STOPWORDS))
     tokens = (
         responses.select(key, F.explode(kept).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     )
-    known = sources.select(F.explode(F.array_distinct(ascii_words(F.col("text")))).alias("word")).distinct()
-    # a third of all words may be one word: count words once per distinct word before joining
+    known = sources.select(key, F.explode(F.array_distinct(ascii_words(F.col("text")))).alias("word")).distinct()
     share = (
-        tokens.join(known.withColumn("known", F.lit(1)), "word", "left")
+        tokens.join(known.withColumn("known", F.lit(1)), [key, "word"], "left")
         .groupBy(key)
         .agg((F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("faithfulness"))
     )

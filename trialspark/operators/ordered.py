@@ -60,12 +60,6 @@ def running(
     direction = F.desc if reverse else F.asc
     frame = (Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     in_order = [direction(c) for c in order]
-    if sliced.rdd.getNumPartitions() == 1:
-        # all rows fitted one slice: nothing to carry
-        whole = Window.partitionBy(*keys).orderBy(*in_order).rowsBetween(*frame)
-        start = F.lit(0) if how == "sum" else F.lit(None)
-        out = sliced.withColumns({n: combine(start, agg(f"_v_{n}").over(whole)) for n in values})
-        return out.drop(SLICE, *tmp)
     earlier = (
         Window.partitionBy(*keys)
         .orderBy(direction(SLICE))

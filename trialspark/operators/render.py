@@ -617,13 +617,27 @@ def dir_listing(index: DataFrame, marker: str, title: str, root: str, expanded:
 
 
 def oracle_texts(relevant: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pieces per task: the relevant documents in listed order.
+    """Pieces per text: the relevant documents of a task in listed order, or a whole corpus by path.
 
-    Tasks without references share their corpus text instead of a copy of it.
+    Tasks without references share one text of their corpus instead of copies of it;
+    :func:`oracle_text_ids` says which text a task reads.
     """
-    listed = relevant.where(~F.col("whole_corpus")).join(docs.select("source", "rel_path", "content"), ["source", "rel_path"])
+    slim = docs.select("source", "rel_path", "content")
     text = join("\n\n## ", "$rel_path", "\n", "$content")
-    return listed.select("task_id", F.inline(F.array(piece(text, seq=F.col("pos"), path=F.col("rel_path")))))
+    listed = relevant.where(~F.col("whole_corpus")).join(slim, ["source", "rel_path"])
+    shared = slim.join(relevant.where("whole_corpus").select("source").distinct(), "source", "left_semi")
+    return listed.select(F.col("task_id").alias("text_id"), F.inline(F.array(piece(text, seq=F.col("pos"), path=F.col("rel_path"))))).unionByName(
+        shared.select(corpus_text_id().alias("text_id"), F.inline(F.array(piece(text, seq=F.lit(0), path=F.col("rel_path")))))
+    )
+
+
+def corpus_text_id() -> Column:
+    return F.concat(F.lit("corpus/"), "source")
+
+
+def oracle_text_ids(relevant: DataFrame) -> DataFrame:
+    """One row per task: the id of the text it reads."""
+    return relevant.select("task_id", F.when(F.col("whole_corpus"), corpus_text_id()).otherwise(F.col("task_id")).alias("text_id")).distinct()
 
 
 def length_matched(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:

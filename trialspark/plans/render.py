@@ -282,13 +282,17 @@ def _(spark, sf):
 # ---- per-task texts ------------------------------------------------------
 @query(
     "idx02_oracle",
-    f"""WITH {_RELEVANT} SELECT rel.task_id, CAST(0 AS BIGINT) AS page, string_agg('## ' || d.rel_path || chr(10) || content, chr(10) || chr(10) ORDER BY pos) AS content
-FROM rel JOIN docs d ON d.source = rel.source AND d.rel_path = rel.rel_path GROUP BY 1""",
+    f"""WITH {_RELEVANT}, whole AS (SELECT DISTINCT source FROM rel WHERE rel_path IS NULL)
+SELECT rel.task_id AS text_id, CAST(NULL AS VARCHAR) AS task_id, CAST(0 AS BIGINT) AS page, string_agg('## ' || d.rel_path || chr(10) || content, chr(10) || chr(10) ORDER BY pos) AS content
+FROM rel JOIN docs d ON d.source = rel.source AND d.rel_path = rel.rel_path GROUP BY 1
+UNION ALL SELECT 'corpus/' || d.source, NULL, 0, string_agg('## ' || d.rel_path || chr(10) || content, chr(10) || chr(10) ORDER BY d.rel_path) FROM docs d JOIN whole USING (source) GROUP BY d.source
+UNION ALL SELECT DISTINCT CASE WHEN rel_path IS NULL THEN 'corpus/' || source ELSE task_id END, task_id, NULL::BIGINT, NULL FROM rel""",
 )
 def _(spark, sf):
     d = v.docs(spark, sf)
-    parts = rd.oracle_texts(co.relevant_docs(doc_tasks(spark, sf), d), d)
-    return rd.pages(parts, ["task_id"], PAGE).drop("pieces")
+    relevant = co.relevant_docs(doc_tasks(spark, sf), d)
+    texts = rd.pages(rd.oracle_texts(relevant, d), ["text_id"], PAGE).drop("pieces")
+    return texts.unionByName(rd.oracle_text_ids(relevant), allowMissingColumns=True)
 
 
 @query("idx03_length_matched_random")

@@ -14,15 +14,15 @@ from trialspark.sources import tasks as tk
 
 
 def raw(spark, sf):
-    """Documents with their first line as the question; ``seq`` is the input order."""
+    """Documents with their first line as a title ``q``; ``seq`` is the input order."""
     d = v.docs(spark, sf)
     return d.select(
         F.col("doc_id").alias("seq"), "doc_id", "stem", "section", "source", "content", "rel_path",
-        brief_summary(F.col("content")).alias("q"), F.left("content", F.lit(400)).alias("body"),
+        brief_summary(F.col("content")).alias("q"),
     )
 
 
-_RAW = f"raw AS (SELECT doc_id, stem, section, source, content, rel_path, {BRIEF} AS q, content[1:400] AS body FROM docs)"
+_RAW = f"raw AS (SELECT doc_id, stem, section, source, content, rel_path, {BRIEF} AS q FROM docs)"
 
 
 def num(prefix, where="true", order="doc_id"):
@@ -96,7 +96,7 @@ def _ambig(spark, sf):
     none = F.array().cast("array<string>")
     pairs = F.array(pair(F.concat(F.lit("is it "), "stem"), F.array("section", "stem")), pair(F.lit("or not"), none))
     return raw(spark, sf).select(
-        "seq", F.concat(F.lit("r"), (i % 300).cast("string")).alias("id"), F.col("q").alias("question"),
+        "seq", F.concat(F.lit("r"), F.floor(i / 3).cast("string")).alias("id"), F.col("q").alias("question"),
         F.when(i % 4 != 0, pairs).otherwise(F.array().cast(pairs_type())).alias("qaPairs"),
     )
 
@@ -116,7 +116,7 @@ def _(spark, sf):
 
 @query(
     "src12_conv_ambigqa_docs",
-    f"""WITH {_RAW}, l AS (SELECT doc_id % 300 AS r, max(doc_id) AS doc_id FROM raw GROUP BY 1), d AS (SELECT 'ambigqa/r' || r || '.md' AS rel_path,
+    f"""WITH {_RAW}, l AS (SELECT doc_id // 3 AS r, max(doc_id) AS doc_id FROM raw GROUP BY 1), d AS (SELECT 'ambigqa/r' || r || '.md' AS rel_path,
 '# ' || q || chr(10) || CASE WHEN raw.doc_id % 4 <> 0 THEN chr(10) || '- is it ' || stem || ': ' || section || ', ' || stem || chr(10) || '- or not: ' ELSE '' END AS content FROM l JOIN raw ON raw.doc_id = l.doc_id)
 SELECT rel_path, content, {tokens('content')} AS token_count FROM d""",
 )
@@ -153,7 +153,7 @@ def _(spark, sf):
 def _titled(spark, sf):
     """Two linked documents per row, one without a title; every third row has none."""
     doc = lambda t, x: F.struct(t.alias("title"), x.alias("text"))
-    pair = F.array(doc(F.concat_ws(".", "section", "stem"), F.col("body")), doc(F.lit(""), F.lit("untitled")))
+    pair = F.array(doc(F.concat_ws(".", "section", "stem"), F.col("content")), doc(F.lit(""), F.lit("untitled")))
     none = F.array().cast("array<struct<title:string,text:string>>")
     return raw(spark, sf).select(
         "seq", F.col("q").alias("prompt"), F.when(F.col("doc_id") % 3 == 0, none).otherwise(pair).alias("docs"),
@@ -163,7 +163,7 @@ def _titled(spark, sf):
 
 @query(
     "src14_conv_code_rag",
-    f"WITH {_RAW}, {num('coderagbench_retrieval_', 'doc_id % 3 <> 0')} SELECT task_id, q AS question, 'library-docs/' || section || '/' || stem || '.md' AS expected_files, body[1:200] AS evidence_passage FROM numbered",
+    f"WITH {_RAW}, {num('coderagbench_retrieval_', 'doc_id % 3 <> 0')} SELECT task_id, q AS question, 'library-docs/' || section || '/' || stem || '.md' AS expected_files, content[1:200] AS evidence_passage FROM numbered",
 )
 def _(spark, sf):
     t = cv.code_rag_tasks(_titled(spark, sf))
@@ -193,7 +193,7 @@ def _(spark, sf):
 
 @query(
     "src15_conv_ds1000_docs",
-    f"WITH {_RAW}, f AS (SELECT section || '.' || stem AS t, section, arg_min(body, doc_id) AS content FROM raw WHERE doc_id % 3 <> 0 GROUP BY ALL) SELECT 'ds1000/' || replace(t, '.', '/') || '.md' AS rel_path, content, section, t AS summary FROM f",
+    f"WITH {_RAW}, f AS (SELECT section || '.' || stem AS t, section, arg_min(content, doc_id) AS content FROM raw WHERE doc_id % 3 <> 0 GROUP BY ALL) SELECT 'ds1000/' || replace(t, '.', '/') || '.md' AS rel_path, content, section, t AS summary FROM f",
 )
 def _(spark, sf):
     return cv.ds1000_docs(_titled(spark, sf)).select("rel_path", "content", "section", "summary")
@@ -207,13 +207,13 @@ def _notes(spark, sf):
 
 @query(
     "src16_conv_techqa",
-    f"""WITH {_RAW}, qa AS (SELECT doc_id, q, doc_id * 3 % 500 AS doc, doc_id % 40 AS s, CASE WHEN doc_id % 5 = 0 THEN 100000000 ELSE doc_id % 40 + 20 END AS e FROM raw WHERE doc_id % 3 <> 0),
+    f"""WITH {_RAW}, qa AS (SELECT doc_id, q, doc_id - doc_id % 2 AS doc, doc_id % 40 AS s, CASE WHEN doc_id % 5 = 0 THEN 100000000 ELSE doc_id % 40 + 20 END AS e FROM raw WHERE doc_id % 3 <> 0),
 k AS (SELECT qa.*, n.stem, n.content FROM qa JOIN raw n ON n.doc_id = qa.doc AND n.doc_id % 2 = 0),
 {num('ibmtechqa_fact_extraction_').replace('FROM raw', 'FROM k')} SELECT task_id, 'About ' || doc || ': ' || q AS question, 'n' || doc AS source_location, CASE WHEN s < e AND e <= length(content) THEN substr(content, s + 1, e - s) ELSE stem END AS expected_answer FROM numbered""",
 )
 def _(spark, sf):
     i = F.col("doc_id")
-    doc = (i * 3 % 500).cast("string")
+    doc = (i - i % 2).cast("string")
     qa = raw(spark, sf).select(
         "seq", F.when(i % 3 != 0, "Y").otherwise("N").alias("ANSWERABLE"), F.concat(F.lit("n"), doc).alias("DOCUMENT"),
         (i % 40).cast("int").alias("START_OFFSET"), F.when(i % 5 == 0, 100000000).otherwise(i % 40 + 20).cast("int").alias("END_OFFSET"),
@@ -230,13 +230,13 @@ def _(spark, sf):
 
 def _evidence(spark, sf):
     e = lambda s, f: F.struct(s.alias("source"), f.alias("fact"))
-    paper = F.concat(F.lit("paper_"), (F.col("doc_id") % 12).cast("string"))
-    return raw(spark, sf).select("seq", F.col("q").alias("query"), F.array(e(paper, F.col("q")), e(F.lit("x"), F.lit("")), e(F.lit("other"), F.col("stem"))).alias("evidence_list"))
+    paper = F.concat(F.lit("paper_"), F.floor(F.col("doc_id") / 12).cast("string"))
+    return raw(spark, sf).select("seq", F.col("q").alias("query"), F.array(e(paper, F.col("content")), e(F.lit("x"), F.lit("")), e(F.lit("other"), F.col("stem"))).alias("evidence_list"))
 
 
 @query(
     "src17_conv_multihop",
-    f"WITH {_RAW}, {num('multihoprag_multi_hop_')} SELECT task_id, CASE WHEN q <> '' THEN q || '|' ELSE '' END || stem AS chain, CASE WHEN q <> '' THEN 'Evidence from paper_' || (doc_id % 12) || ': ' || q || '|' ELSE '' END || 'Evidence from other: ' || stem AS steps FROM numbered",
+    f"WITH {_RAW}, {num('multihoprag_multi_hop_')} SELECT task_id, CASE WHEN content <> '' THEN content || '|' ELSE '' END || stem AS chain, CASE WHEN content <> '' THEN 'Evidence from paper_' || (doc_id // 12) || ': ' || content || '|' ELSE '' END || 'Evidence from other: ' || stem AS steps FROM numbered",
 )
 def _(spark, sf):
     t = cv.multihop_tasks(_evidence(spark, sf))
@@ -245,7 +245,7 @@ def _(spark, sf):
 
 @query(
     "src17_conv_multihop_docs",
-    f"""WITH {_RAW}, f AS (SELECT 'paper_' || (doc_id % 12) AS s, q AS fact, doc_id FROM raw WHERE q <> '' UNION ALL SELECT 'other', stem, doc_id FROM raw)
+    f"""WITH {_RAW}, f AS (SELECT 'paper_' || (doc_id // 12) AS s, content AS fact, doc_id FROM raw WHERE content <> '' UNION ALL SELECT 'other', stem, doc_id FROM raw)
 SELECT 'news/' || s || '.md' AS rel_path, CAST(0 AS BIGINT) AS page, string_agg(fact, chr(10) || chr(10) ORDER BY doc_id) AS content, arg_min({tokens('fact')}, doc_id) AS token_count, arg_min(fact[1:100], doc_id) AS summary FROM f GROUP BY 1, 2""",
 )
 def _(spark, sf):
@@ -256,7 +256,7 @@ def _repliqa(spark, sf):
     i = F.col("doc_id")
     return raw(spark, sf).select(
         "seq", F.col("q").alias("question"), F.when(i % 2 == 0, "UNANSWERABLE").otherwise(F.col("stem")).alias("answer"),
-        F.concat(F.lit("p"), (i % 400).cast("string")).alias("document_id"), F.col("section").alias("document_topic"),
+        F.concat(F.lit("p"), F.floor(i / 3).cast("string")).alias("document_id"), F.col("section").alias("document_topic"),
         F.col("rel_path").alias("document_path"), F.col("content").alias("document_extracted"),
     )
 
@@ -271,7 +271,7 @@ def _(spark, sf):
 
 @query(
     "src18_conv_repliqa_docs",
-    f"""WITH l AS (SELECT doc_id % 400 AS r, min(doc_id) AS doc_id FROM docs GROUP BY 1) SELECT 'repliqa/' || section || '/p' || r || '.md' AS rel_path, {tokens('content')} AS token_count,
+    f"""WITH l AS (SELECT doc_id // 3 AS r, min(doc_id) AS doc_id FROM docs GROUP BY 1) SELECT 'repliqa/' || section || '/p' || r || '.md' AS rel_path, {tokens('content')} AS token_count,
 CASE WHEN contains(content[1:100], '.') THEN string_split(content[1:100], '.')[1] || '.' ELSE content[1:100] END AS summary FROM l JOIN docs USING (doc_id)""",
 )
 def _(spark, sf):
@@ -281,8 +281,8 @@ def _(spark, sf):
 def _swe(spark, sf):
     i = F.col("doc_id")
     return raw(spark, sf).select(
-        "seq", F.concat(F.lit("inst-"), i.cast("string")).alias("instance_id"), F.concat_ws("/", "section", "source").alias("repo"), F.col("q").alias("problem_statement"),
-        F.when(i % 4 == 0, "").otherwise(F.col("body")).alias("hints_text"),
+        "seq", F.concat(F.lit("inst-"), i.cast("string")).alias("instance_id"), F.concat_ws("/", "section", "source").alias("repo"), F.col("content").alias("problem_statement"),
+        F.when(i % 4 == 0, "").otherwise(F.col("content")).alias("hints_text"),
         F.when(i % 5 == 0, "[oops").otherwise(F.concat(F.lit('["test_'), "stem", F.lit('", "test_b"]'))).alias("FAIL_TO_PASS"), F.lit("[]").alias("PASS_TO_PASS"),
     )
 
@@ -290,7 +290,7 @@ def _swe(spark, sf):
 @query(
     "src19_conv_swe_bench",
     f"""WITH {_RAW}, {num('swebench_agentic_')} SELECT task_id, section || '/' || source || '/docs/README.md=Repository documentation for ' || section || '/' || source ||
-CASE WHEN doc_id % 4 <> 0 THEN '|' || section || '/' || source || '/hints.md=' || body[1:200] ELSE '' END AS files, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'test_' || stem || ',test_b' END AS fail_to_pass, 'swe-bench,agentic,' || section AS tags FROM numbered""",
+CASE WHEN doc_id % 4 <> 0 THEN '|' || section || '/' || source || '/hints.md=' || content[1:200] ELSE '' END AS files, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'test_' || stem || ',test_b' END AS fail_to_pass, 'swe-bench,agentic,' || section AS tags FROM numbered""",
 )
 def _(spark, sf):
     t = cv.swe_tasks(_swe(spark, sf))
@@ -302,7 +302,7 @@ def _(spark, sf):
 
 @query(
     "src19_conv_swe_bench_docs",
-    f"WITH {_RAW} SELECT 'swe-bench/inst-' || doc_id || '.md' AS rel_path, '# inst-' || doc_id || chr(10) || chr(10) || 'Repository: ' || section || '/' || source || chr(10) || chr(10) || q AS content, section, q[1:100] AS summary FROM raw",
+    f"WITH {_RAW} SELECT 'swe-bench/inst-' || doc_id || '.md' AS rel_path, '# inst-' || doc_id || chr(10) || chr(10) || 'Repository: ' || section || '/' || source || chr(10) || chr(10) || content AS content, section, content[1:100] AS summary FROM raw",
 )
 def _(spark, sf):
     return cv.swe_docs(_swe(spark, sf)).select("rel_path", "content", "section", "summary")
@@ -310,13 +310,13 @@ def _(spark, sf):
 
 def _wiki(spark, sf):
     title = F.concat(F.lit("Article on "), "stem")
-    return raw(spark, sf).select("seq", title.alias("article_title"), F.col("q").alias("statement_1"), F.col("stem").alias("statement_2"), F.col("section").alias("section_1"), F.col("source").alias("section_2"))
+    return raw(spark, sf).select("seq", title.alias("article_title"), F.col("content").alias("statement_1"), F.col("stem").alias("statement_2"), F.col("section").alias("section_1"), F.col("source").alias("section_2"))
 
 
 @query(
     "src20_conv_wikicontradict",
-    f"""WITH {_RAW}, {num('wikicontradict_conflicting_')} SELECT task_id, 'The article ''Article on ' || stem || ''' contains contradicting claims: ''' || q || ''' vs ''' || stem || '''. Which is correct?' AS question,
-'Article on ' || stem || ' (' || section || ')=' || q || '|Article on ' || stem || ' (' || source || ')=' || stem AS sources FROM numbered""",
+    f"""WITH {_RAW}, {num('wikicontradict_conflicting_')} SELECT task_id, 'The article ''Article on ' || stem || ''' contains contradicting claims: ''' || content || ''' vs ''' || stem || '''. Which is correct?' AS question,
+'Article on ' || stem || ' (' || section || ')=' || content || '|Article on ' || stem || ' (' || source || ')=' || stem AS sources FROM numbered""",
 )
 def _(spark, sf):
     t = cv.wikicontradict_tasks(_wiki(spark, sf))
@@ -325,7 +325,7 @@ def _(spark, sf):
 
 @query(
     "src20_conv_wikicontradict_docs",
-    f"WITH {_RAW}, f AS (SELECT stem, arg_min(q, doc_id) AS q FROM raw GROUP BY 1) SELECT 'wikicontradict/Article_on_' || stem || '.md' AS rel_path, '# Article on ' || stem || chr(10) || chr(10) || q || chr(10) || chr(10) || stem AS content FROM f",
+    f"WITH {_RAW}, f AS (SELECT stem, arg_min(content, doc_id) AS q FROM raw GROUP BY 1) SELECT 'wikicontradict/Article_on_' || stem || '.md' AS rel_path, '# Article on ' || stem || chr(10) || chr(10) || q || chr(10) || chr(10) || stem AS content FROM f",
 )
 def _(spark, sf):
     return cv.wikicontradict_docs(_wiki(spark, sf)).select("rel_path", "content")
@@ -335,7 +335,7 @@ def _(spark, sf):
 def _base_tasks(spark, sf):
     i = F.lpad(F.col("doc_id").cast("string"), 9, "0")
     return raw(spark, sf).select(
-        F.concat(F.lit("fact_"), i).alias("task_id"), F.col("body").alias("question"), F.col("q").alias("expected_answer"), F.array("stem").alias("answer_aliases")
+        F.concat(F.lit("fact_"), i).alias("task_id"), F.col("content").alias("question"), F.col("content").alias("expected_answer"), F.array("stem").alias("answer_aliases")
     )
 
 
@@ -346,8 +346,8 @@ def _(spark, sf):
 
 @query(
     "src22_gen_efficiency",
-    f"""WITH {_RAW}, {num('syntheticefficiency_efficiency_')}, x AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n, greatest({tokens('q')} * 2, 10) AS ideal FROM numbered)
-SELECT task_id, body AS question, q AS expected_answer, (['tight', 'moderate', 'generous'])[n % 3 + 1] AS budget_tier, ideal AS ideal_token_usage, CAST(greatest(floor(ideal * ([0.5, 1, 2])[n % 3 + 1]), 5) AS BIGINT) AS token_budget FROM x""",
+    f"""WITH {_RAW}, {num('syntheticefficiency_efficiency_')}, x AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS n, greatest({tokens('content')} * 2, 10) AS ideal FROM numbered)
+SELECT task_id, content AS question, content AS expected_answer, (['tight', 'moderate', 'generous'])[n % 3 + 1] AS budget_tier, ideal AS ideal_token_usage, CAST(greatest(floor(ideal * ([0.5, 1, 2])[n % 3 + 1]), 5) AS BIGINT) AS token_budget FROM x""",
 )
 def _(spark, sf):
     return tk.gen_efficiency(_base_tasks(spark, sf))

@@ -207,13 +207,16 @@ _ASCII = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 @query(
     "txt17_faithfulness",
-    f"""WITH k AS (SELECT DISTINCT unnest({_ASCII.format('text')}) AS w FROM benchmark),
+    f"""WITH k AS (SELECT DISTINCT case_id, unnest({_ASCII.format('text')}) AS w FROM cases JOIN conversations USING (conv_id) WHERE role = 'user'),
 t AS (SELECT case_id, unnest(list_filter({_ASCII.format('response')}, lambda w: NOT list_contains({_list(fx.FAITHFULNESS_STOPWORDS)}, w))) AS w FROM cases),
-a AS (SELECT case_id, avg((w IN (SELECT w FROM k))::INT) AS f FROM t GROUP BY 1)
+a AS (SELECT t.case_id, avg((k.w IS NOT NULL)::INT) AS f FROM t LEFT JOIN k ON k.case_id = t.case_id AND k.w = t.w GROUP BY 1)
 SELECT case_id, R(coalesce(f, 0)) AS faithfulness FROM cases LEFT JOIN a USING (case_id)""",
 )
 def _(spark, sf):
-    return mt.faithfulness(v.cases(spark, sf), v.table(spark, sf, "benchmark"), "case_id")
+    """The sources of a response are what the user said in its conversation."""
+    cases = v.cases(spark, sf)
+    said = v.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "text")
+    return mt.faithfulness(cases, cases.select("case_id", "conv_id").join(said, "conv_id"), "case_id")
 
 
 @query(

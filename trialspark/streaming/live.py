@@ -20,7 +20,6 @@ from trialspark.constants import BURN_WINDOW_SECONDS, STALE_SECONDS
 from trialspark.operators import monitor
 from trialspark.session import scratch_path
 
-LATE = "10 minutes"
 log = logging.getLogger(__name__)
 
 
@@ -45,19 +44,33 @@ def run(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "appe
         raise q.exception()
 
 
-def to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run into parquet and read back; batches land in their own folder, so a repeat overwrites itself."""
+def to_table(df: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run into parquet and read back; batches land in their own folder, so a repeat overwrites itself.
+
+    In update mode the newest row per ``keys`` counts, so windows that are still open are in the table too.
+    A stream without a batch gives an empty table.
+    """
     schema = df.schema
+    df.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{'latest' if mode == 'complete' else 'batch=-1'}")
     if mode == "complete":
         run(df, lambda b, _i: b.write.mode("overwrite").parquet(f"{path}/latest"), mode)
         return df.sparkSession.read.schema(schema).parquet(f"{path}/latest")
     run(df, lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}"), mode)
+    if mode == "update":
+        rows = df.sparkSession.read.parquet(path)
+        values = [c for c in df.columns if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_newest"))
+        return newest.select(*keys, "_newest.*").select(*df.columns)
     return df.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
-def dedupe(events: DataFrame, key: str = "trial_id", ts: str = "ts") -> DataFrame:
-    """A replayed event counts once; rows later than the watermark are dropped and reported as a metric."""
-    return events.withWatermark(ts, LATE).dropDuplicatesWithinWatermark([key])
+def dedupe(events: DataFrame, key: str = "trial_id") -> DataFrame:
+    """A replayed event counts once, however late it comes.
+
+    No watermark, so no row is dropped for its time; the state holds the keys seen, spread over the
+    shuffle partitions. On a long stream keep it on disk (the RocksDB state store of the session).
+    """
+    return events.dropDuplicates([key])
 
 
 # ---- built-in aggregates -------------------------------------------------
@@ -70,8 +83,9 @@ def model_stats(trials: DataFrame) -> DataFrame:
 
 
 def trial_rate(trials: DataFrame, width: str = "1 minute") -> DataFrame:
+    """Trials per window, for update mode: open windows are reported, late rows change theirs. State: one count per window."""
     w = F.window("ts", width)
-    return trials.withWatermark("ts", LATE).groupBy(w).agg(F.count(F.lit(1)).alias("trials")).select(
+    return trials.groupBy(w).agg(F.count(F.lit(1)).alias("trials")).select(
         F.unix_micros("window.start").alias("start_us"), "trials"
     )
 
@@ -81,9 +95,13 @@ def run_feed(trials: DataFrame, run_id: str) -> DataFrame:
 
 
 def stale_runs(heartbeats: DataFrame, limit_s: int = STALE_SECONDS) -> DataFrame:
-    """A run goes stale when its beats stop for ``limit_s`` seconds: a closed session window."""
+    """A run goes stale when its beats stop for ``limit_s`` seconds: the end of a session window.
+
+    For complete mode: the last session of a run is reported like the others, and a late beat joins its
+    own. State: one row per session.
+    """
     gap = F.session_window("ts", f"{limit_s} seconds")
-    return heartbeats.withWatermark("ts", LATE).groupBy("run_id", gap).agg(
+    return heartbeats.groupBy("run_id", gap).agg(
         F.max("ts").alias("last"), F.count(F.lit(1)).alias("beats")
     ).select("run_id", F.unix_micros("last").alias("heartbeat_us"), "beats", F.unix_micros("session_window.end").alias("stale_us"))
 
@@ -127,6 +145,8 @@ def _alerts(trials: DataFrame, path: str, find: Callable[[DataFrame, DataFrame],
         rows.unpersist()
 
     run(trials, sink)
+    if not shape:  # no batch came
+        return find(spark.createDataFrame([], trials.schema), carried.before(0))
     return spark.read.schema(shape[0]).option("recursiveFileLookup", True).parquet(path)
 
 
@@ -152,11 +172,14 @@ def burn_alerts(trials: DataFrame, path: str, threshold: float, window_s: int =
         found = monitor.burn_rate(both, threshold, window_s).join(fresh, "trial_id", "left_semi")
         shape[:] = [found.schema]
         found.write.mode("overwrite").parquet(f"{path}/batch={i}")
-        newest = both.agg(F.max("ts_us")).scalar()
-        carried.after(i, both.where(F.col("ts_us") >= newest - window_s * 1_000_000).select(*cols))
+        newest = both.agg(F.max("ts_us").alias("newest")).first()["newest"]  # None: nothing carried, nothing new
+        since = F.lit(None if newest is None else newest - window_s * 1_000_000).cast("long")
+        carried.after(i, both.where(F.col("ts_us") >= since).select(*cols))
         both.unpersist()
 
     run(trials, sink)
+    if not shape:  # no batch came
+        return monitor.burn_rate(spark.createDataFrame([], schema), threshold, window_s)
     return spark.read.schema(shape[0]).option("recursiveFileLookup", True).parquet(path)
 
 
