@@ -63,6 +63,36 @@ def test_burn_over_micro_batches(spark, parts):
     assert got.count() > 0
 
 
+def timed(spark, parts, latest_first=False):
+    """The four files one by one; ``latest_first`` brings the newest file before the older ones."""
+    names = sorted(n for n in os.listdir(parts[0]) if n.endswith(".parquet"))
+    for k, name in enumerate(reversed(names) if latest_first else names):
+        os.utime(f"{parts[0]}/{name}", (1_000_000 + k * 60, 1_000_000 + k * 60))
+    return stream(spark, parts).withColumn("ts", F.timestamp_micros("ts_us"))
+
+
+@pytest.mark.parametrize("latest_first", [False, True])
+def test_every_row_counts_however_late(spark, parts, latest_first):
+    base = parts[1].withColumn("ts", F.timestamp_micros("ts_us"))
+    rate = live.to_table(live.trial_rate(timed(spark, parts, latest_first)), scratch_path(spark, "t"), "update", ["start_us"])
+    assert rows(rate) == rows(live.trial_rate(base))
+    stale = live.to_table(live.stale_runs(timed(spark, parts, latest_first)), scratch_path(spark, "t"), "complete")
+    assert rows(stale) == rows(live.stale_runs(base))
+    twice = timed(spark, parts, latest_first).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    once = live.to_table(live.dedupe(twice).select("trial_id"), scratch_path(spark, "t"))
+    assert rows(once) == rows(base.select("trial_id"))
+    timed(spark, parts)
+
+
+def test_stream_without_a_file(spark, parts):
+    folder = scratch_path(spark, "none")
+    os.makedirs(folder)
+    empty = live.event_stream(spark, folder, parts[1].schema)
+    assert live.anomalies(empty, scratch_path(spark, "t"), 3.0).count() == 0
+    assert live.burn_alerts(empty, scratch_path(spark, "t"), 0.1).count() == 0
+    assert live.to_table(empty.select("trial_id"), scratch_path(spark, "t")).count() == 0
+
+
 def test_anomaly_case(spark):
     data = [(i, "m", 0.02 if i < 5 else 0.08, i) for i in range(6)]
     df = spark.createDataFrame(data, "trial_id long, model string, cost double, ts_us long")

@@ -32,14 +32,11 @@ def panel_aggregate(scores: DataFrame, how: str = "mean") -> DataFrame:
         ",",
     )
     agg = scores.groupBy("example_id").agg(
-        F.avg("score").alias("aggregate"),
+        (F.median("score") if how == "median" else F.avg("score")).alias("aggregate"),
         (F.max("score") - F.min("score")).alias("spread"),
         F.count(F.lit(1)).alias("members"),
         members.alias("member_scores"),
     )
-    if how == "median":
-        med = exact_quantiles(scores, ["example_id"], "score", {"aggregate": 0.5}).drop("n")
-        agg = agg.drop("aggregate").join(med, "example_id")
     return agg
 
 

@@ -126,9 +126,10 @@ def sync_log(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def id_algebra(local: DataFrame, remote: DataFrame) -> DataFrame:
-    a, b = local.select("id"), remote.select("id")
-    tag = lambda d, name: d.select("id", F.lit(name).alias("part"))
-    return tag(b.subtract(a), "added").union(tag(a.subtract(b), "removed")).union(tag(a.intersect(b), "common"))
+    """Each id once, as added, removed or common: one shuffle for all three sets."""
+    side = lambda d, here: d.select("id", F.lit(here).alias("here"), F.lit(not here).alias("there"))
+    seen = side(local, True).union(side(remote, False)).groupBy("id").agg(F.max("here").alias("here"), F.max("there").alias("there"))
+    return seen.select("id", F.when(~F.col("here"), "added").when(~F.col("there"), "removed").otherwise("common").alias("part"))
 
 
 # ---- groups --------------------------------------------------------------

@@ -462,9 +462,12 @@ def _royston_udf(n: pd.Series, mm: pd.Series, mx: pd.Series, ss: pd.Series, m1:
 
 
 def achieved_power(df: DataFrame, family: Sequence[str], group: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """Power at the observed Cohen's f per family, and the group size needed for .80."""
+    """Power at the observed Cohen's f per family, and the group size needed for .80.
+
+    ``n_required`` stops at its bound; ``goal_reached`` says whether that size has the power.
+    """
     o = oneway(df, family, group, value).withColumn("effect", F.sqrt(F.col("ss_between") / F.col("ss_within")))
-    return o.select(
+    out = o.select(
         *family,
         "k",
         F.col("n_min").alias("n_per_group"),
@@ -472,6 +475,9 @@ def achieved_power(df: DataFrame, family: Sequence[str], group: str, value: str,
         sp.ANOVA_POWER(F.col("k"), F.col("n_min"), F.col("effect"), F.lit(alpha)).alias("power"),
         sp.NEEDED_N(F.col("k"), F.col("effect"), F.lit(alpha), F.lit(0.80)).alias("n_required"),
     )
+    size = F.coalesce(F.nanvl("n_required", F.lit(2.0)), F.lit(2.0))
+    reached = sp.ANOVA_POWER(F.col("k"), size, F.col("effect_f"), F.lit(alpha)) >= 0.80
+    return out.withColumn("goal_reached", ~F.isnan("n_required") & reached)
 
 
 def significance_stars(p: Column) -> Column:

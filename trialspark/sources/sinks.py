@@ -25,8 +25,11 @@ CATALOG_COLUMNS = ["id", "name", "prompt_price", "completion_price", "context_le
 
 
 def append_trials(trials: DataFrame, path: str) -> None:
-    """Append to the trial table, one directory per run; a hot run still gets many files."""
-    trials.write.mode("append").partitionBy("run_id").parquet(path)
+    """Append to the trial table, one directory per run.
+
+    Rows are gathered by run first, so a run gets few files; a hot run is split again by its size.
+    """
+    trials.hint("rebalance", "run_id").write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def write_report(trials: DataFrame, path: str, formats: tuple[str, ...] = ("json", "csv")) -> None:
