@@ -5,8 +5,8 @@ several widths slide over a window, each filter keeps its maximum, and one linea
 gives the languages. A text's language is the one with the highest sum of the windows' log
 probabilities, each window counting by its bytes; the score is the softmax of that mean.
 
-Learning uses a bounded sample: for each language the ``per_lang`` labelled texts whose ids have the
-smallest hashes, and at most ``windows_per_text`` windows of each. Applying covers all texts whole.
+Learning uses a bounded sample: for each language about ``per_lang`` labelled texts, those with the smallest
+hashes of each share, and at most ``windows_per_text`` windows of each. Applying covers all texts whole.
 Texts that are null or have no letter are ``und`` with score 0. Ties between languages go to the one
 first in the alphabet. With no labelled text every text is ``und``; with one language that one is given.
 """
@@ -26,7 +26,8 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 24  # of each width
 EMBED = 8
-PER_LANG = 600
+PER_LANG = 600  # rounded up to a multiple of SHARES
+SHARES = 64
 WINDOWS_PER_TEXT = 6
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -114,24 +115,24 @@ class ByteCnn:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG, windows_per_text: int = WINDOWS_PER_TEXT) -> DataFrame:
-    """``lang, rank, pieces``: windows of the ``per_lang`` texts of each language with the smallest id hashes.
+    """``lang, h, pieces``: windows of about ``per_lang`` texts of each language.
 
-    Only the windows travel. A language's texts are ranked in 64 shares by hash first, so a language with most of
-    the rows is spread and its last step sees at most 64 x ``per_lang`` rows."""
+    A language's texts fall into ``SHARES`` shares by the low bits of their hash; of each share the same number of
+    texts with the smallest hashes is taken, so a language with most of the rows is spread over the tasks and no
+    step sees all of it. Only windows travel, never texts."""
     rows = columns(docs, id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     step = F.greatest(F.lit(1), F.floor(F.length("text") / windows_per_text)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(windows_per_text - 1)), lambda i: F.substring("text", i * step + 1, F.lit(WINDOW)))
     slim = rows.select("lang", F.xxhash64("id", "text").alias("h"), F.array_distinct(pieces).alias("pieces"))
-    share = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "pieces")
-    few = slim.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= per_lang).drop("rank")
-    order = Window.partitionBy("lang").orderBy("h", "pieces")
-    return few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang).select("lang", "rank", "pieces")
+    share = Window.partitionBy("lang", F.pmod("h", F.lit(SHARES))).orderBy("h", "pieces")
+    ranked = slim.withColumn("rank", F.row_number().over(share))
+    return ranked.filter(F.col("rank") <= -(-per_lang // SHARES)).select("lang", "h", "pieces")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, windows_per_text: int = WINDOWS_PER_TEXT) -> ByteCnn | None:
     """Fit on the bounded sample of ``docs`` (rows that may be learned from); None if there is none."""
     sample = training_sample(docs, id_col, text_col, lang_col, per_lang, windows_per_text)
-    rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["rank"]))  # at most languages x per_lang short rows
+    rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["pieces"]))  # at most languages x (per_lang + SHARES) short rows
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
