@@ -34,6 +34,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def hash_number(key: Column) -> Column:
+    """A number from 0 to 2^32 - 1 drawn from ``key``: the first 32 bits of its MD5, the same in any engine."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words; an empty text has none."""
     return F.filter(F.split(text, WHITE), lambda w: w != "")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions import markdown as md
+from trialspark.functions import text as tx
 from trialspark.operators import corpus
 from trialspark.operators.monitor import top_per_group
 from trialspark.operators.ordered import ordinals, running
@@ -279,7 +280,7 @@ def edges_bands(docs: DataFrame) -> DataFrame:
 
 
 def shuffle_key(seed: int = 42) -> Column:
-    return F.lpad(F.hex(F.xxhash64(F.col("rel_path"), F.lit(seed))), 16, "0")
+    return F.md5(F.concat(F.lit(f"{seed}/"), F.col("rel_path")).cast("binary"))
 
 
 def _two_tier(ordered: DataFrame) -> DataFrame:
@@ -346,7 +347,7 @@ def _noise(count: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame
         number = F.lpad("_i", F.greatest(F.lit(3), F.length(F.col("_i").cast("string"))), F.lit("0"))
         path = F.concat(F.lit("docs/internal/generated_"), number, F.lit(".md"))
         pick = F.element_at(
-            F.array(*[F.lit(x) for x in DISTRACTORS]), (F.pmod(F.xxhash64("_i", F.lit(42)), F.lit(10)) + 1).cast("int")
+            F.array(*[F.lit(x) for x in DISTRACTORS]), (tx.hash_number(F.concat(F.lit("42/"), F.col("_i").cast("string"))) % 10 + 1).cast("int")
         )
         return _rows(extra.withColumn("_p", path), piece(F.concat(F.lit("\n- "), F.col("_p"), F.lit(": "), pick), k=1, path=F.col("_p")))
 

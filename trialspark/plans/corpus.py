@@ -359,7 +359,10 @@ def _(spark, sf):
     return rd.edges_bands(v.docs(spark, sf)).select("source", "rel_path", F.col("_band").alias("band"))
 
 
-@query("sort03_seeded_shuffle")
+@query(
+    "sort03_seeded_shuffle",
+    "SELECT source, rel_path, row_number() OVER (PARTITION BY source ORDER BY md5('42/' || rel_path), rel_path) AS pos FROM docs",
+)
 def _(spark, sf):
     d = v.docs(spark, sf).select("source", "rel_path", rd.shuffle_key().alias("k"))
     return rd.ordinals(d, ["source"], ["k", "rel_path"], "pos").drop("k")

@@ -11,6 +11,7 @@ from trialspark.operators import doe
 from trialspark.operators import monitor as m
 from trialspark.operators import stats as st
 from trialspark.operators import trials as t
+from trialspark.plans import tails
 from trialspark.plans.registry import query
 
 FACTORS = {"layout": ["flat", "two", "three"], "detail": ["path", "summary", "tokens"], "order": ["natural", "bluf", "edges"]}
@@ -219,12 +220,20 @@ def _anova_p(spark, sf):
     return doe.anova(_sn(spark, sf), _effects(spark, sf), ["run"])
 
 
-@query("stat20_anova_p")
+_ANOVA_P = f"""{_DOE}, {_ANOVA}, ap AS (SELECT per.run, factor, ss, df, dfe, (ss / df) / (sse / dfe) AS f, greatest(0, (ss - df * sse / dfe) / (sst + sse / dfe)) AS om FROM per JOIN err ON per.run = err.run),
+an AS (SELECT *, {tails.f_sf('f', 'df', 'dfe')} AS p FROM ap)"""
+
+
+@query("stat20_anova_p", f"WITH {_ANOVA_P} SELECT run, factor, R(f) AS f_ratio, df, CAST(dfe AS BIGINT) AS df_error, R(p) AS p_value FROM an")
 def _(spark, sf):
     return _anova_p(spark, sf).select("run", "factor", "f_ratio", "df", "df_error", "p_value")
 
 
-@query("top04_top_factors")
+@query(
+    "top04_top_factors",
+    f"""WITH {_ANOVA_P}, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY om DESC, factor) AS k FROM an WHERE p < 0.9)
+SELECT run, factor, R(om) AS omega_squared, R(p) AS p_value, k AS rank FROM k WHERE k <= 2""",
+)
 def _(spark, sf):
     # the trial table carries no real factor effects, so the level is loose
     return doe.significant_factors(_anova_p(spark, sf), ["run"], alpha=0.9, k=2).select("run", "factor", "omega_squared", "p_value", "rank")
@@ -239,7 +248,13 @@ def _(spark, sf):
     return doe.predict_optimal(_effects(spark, sf), ["run"])
 
 
-@query("stat21_prediction_interval")
+_MARGIN = f"""sp AS (SELECT run, count(*) - 1 AS dft, stddev_samp(sn) / sqrt(count(*)) AS se FROM sn GROUP BY 1),
+{tails.bisect('sp', 'run, dft', f"({tails.f_sf('x * x', '1', 'dft')}) > 0.05", 1000)},
+iv AS (SELECT opt.run, optimal, predicted_sn, se, predicted_sn - quantile.lo * se AS ci_low, predicted_sn + quantile.lo * se AS ci_high FROM opt JOIN sp ON opt.run = sp.run JOIN quantile ON quantile.run = opt.run)"""
+_INTERVAL = "optimal, R(predicted_sn) AS predicted_sn, R(se) AS se, R(ci_low) AS ci_low, R(ci_high) AS ci_high"
+
+
+@query("stat21_prediction_interval", f"WITH RECURSIVE {_DOE}, {_OPT}, {_MARGIN} SELECT run, {_INTERVAL} FROM iv")
 def _(spark, sf):
     return doe.prediction_interval(_sn(spark, sf), doe.predict_optimal(_effects(spark, sf), ["run"]), ["run"])
 
@@ -259,7 +274,11 @@ def _(spark, sf):
     return doe.validate_confirmation(seen, doe.predict_optimal(_effects(spark, sf), ["run"]), ["run"], interval=False)
 
 
-@query("stat23_screening")
+@query(
+    "stat23_screening",
+    f"""WITH RECURSIVE {_ANOVA_P}, {_OPT}, {_MARGIN} SELECT an.run, factor, R(ss) AS ss, R(f) AS f_ratio, R(p) AS p_value, R(om) AS omega_squared, {_INTERVAL}, p < 0.05 AS significant
+FROM an JOIN iv ON an.run = iv.run""",
+)
 def _(spark, sf):
     """Trials to S/N, effects, ANOVA and optimum in one result, a row per run and factor."""
     sn, fx = _sn(spark, sf), _effects(spark, sf)
@@ -329,17 +348,43 @@ def _(spark, sf):
     return _factorial(spark, sf)
 
 
-@query("stat27_lenth")
+@query(
+    "stat27_lenth",
+    f"""WITH RECURSIVE {_EFFECTS}, lz AS (SELECT model, count(*) AS k, list(abs(estimate)) AS rest, 0 AS round FROM ef GROUP BY 1
+UNION ALL SELECT model, k, kept, round + 1 FROM (SELECT *, list_filter(rest, lambda x: x <= 3.75 * list_aggregate(rest, 'median')) AS kept FROM lz) WHERE len(kept) NOT IN (0, len(rest)) AND round < 50),
+ps AS (SELECT model, any_value(k) AS k, arg_max(1.5 * list_aggregate(rest, 'median'), round) AS pse FROM lz GROUP BY 1),
+tl AS (SELECT model, pse, 'me' AS margin, greatest(k / 3, 1) AS dft, 0.05::DOUBLE AS tail FROM ps UNION ALL SELECT model, pse, 'sme', greatest(k / 3, 1), 1 - 0.95 ** (1 / k) FROM ps),
+{tails.bisect('tl', 'model, pse, margin, dft, tail', f"({tails.f_sf('x * x', '1', 'dft')}) > tail", 1000)},
+mg AS (SELECT model, any_value(pse) AS pse, max(lo * pse) FILTER (margin = 'me') AS me, max(lo * pse) FILTER (margin = 'sme') AS sme FROM quantile GROUP BY 1)
+SELECT ef.model, effect, is_main, R(estimate) AS estimate, R(pse) AS pse, R(me) AS me, R(sme) AS sme, abs(estimate) > me AND pse > 0 AS significant FROM ef JOIN mg ON ef.model = mg.model""",
+)
 def _(spark, sf):
     return doe.lenth(_factorial(spark, sf), ["model"])
 
 
-@query("win14_half_normal")
+@query(
+    "win14_half_normal",
+    f"""WITH RECURSIVE {_EFFECTS}, hn AS (SELECT model, effect, abs(estimate) AS size, (row_number() OVER (PARTITION BY model ORDER BY abs(estimate), effect) - 0.5 + count(*) OVER (PARTITION BY model)) / (2.0 * count(*) OVER (PARTITION BY model)) AS p FROM ef),
+{tails.bisect('hn', 'model, effect, size, p', f"{tails.norm_sf('x')} > 1 - p", 10)} SELECT model, effect, R(size) AS absolute_effect, R(lo) AS expected_quantile FROM quantile""",
+)
 def _(spark, sf):
     return doe.half_normal(_factorial(spark, sf), ["model"])
 
 
-@query("stat28_override_detect")
+_VERSUS = """cells AS (SELECT {g}, variant_name, task_id, repetition, round(avg(score), 9) AS score FROM {t} GROUP BY ALL),
+d AS (SELECT x.{g}, x.variant_name, round(x.score - y.score, 9) AS d FROM cells x JOIN best ON best.{g} = x.{g} AND best.variant_name <> x.variant_name
+  JOIN cells y ON y.{g} = best.{g} AND y.variant_name = best.variant_name AND y.task_id = x.task_id AND y.repetition = x.repetition)"""
+_COMP = """c AS (SELECT {g}, sum(weight * m) * 100 AS composite, CAST(sum(n) AS BIGINT) AS trials FROM
+(SELECT {g}, task_type, avg(score) AS m, count(*) AS n FROM {t} GROUP BY ALL) JOIN type_weights USING (task_type) GROUP BY ALL)"""
+
+
+@query(
+    "stat28_override_detect",
+    f"""WITH RECURSIVE {_COMP.format(g='run_id, variant_name', t='trials')}, best AS (SELECT * FROM c WHERE variant_name = 'v_0'), {_VERSUS.format(g='run_id', t='trials')}, {tails.signed_rank('run_id, variant_name')},
+j AS (SELECT c.run_id, c.variant_name, c.composite, best.composite AS won, c.trials >= 5 AND best.trials >= 5 AS enough, p_value AS p FROM c JOIN best ON c.run_id = best.run_id LEFT JOIN tests ON tests.run_id = c.run_id AND tests.variant_name = c.variant_name),
+o AS (SELECT run_id, any_value(won) AS won, max(CASE WHEN composite > won AND (NOT enough OR coalesce(p < 0.4, false)) THEN {{'c': composite, 'v': variant_name, 'p': CASE WHEN enough THEN p END}} END) AS b FROM j GROUP BY 1)
+SELECT run_id, R(won) AS winner_score, b IS NOT NULL AS override_detected, b.v AS best_combination, R(coalesce(b.c, won)) AS best_score, R(b.p) AS p_value FROM o""",
+)
 def _(spark, sf):
     return doe.detect_override(v.trials(spark, sf), ["run_id"], "v_0", alpha=0.4)
 
@@ -358,10 +403,6 @@ def _(spark, sf):
 
 
 # ---- selection -----------------------------------------------------------
-_COMP = """c AS (SELECT {g}, sum(weight * m) * 100 AS composite, CAST(sum(n) AS BIGINT) AS trials FROM
-(SELECT {g}, task_type, avg(score) AS m, count(*) AS n FROM {t} GROUP BY ALL) JOIN type_weights USING (task_type) GROUP BY ALL)"""
-
-
 @query("stat29_score_variants")
 def _(spark, sf):
     tr = v.trials(spark, sf)
@@ -382,12 +423,23 @@ def _(spark, sf):
     return doe.select_beam(v.trials(spark, sf), ["model"], width=2).select("model", "variant_name", "composite", "trials", "rank")
 
 
-@query("stat30_select_beam")
+def _beam_sql(g, t, columns):
+    return f"""{_COMP.format(g=f'{g}, variant_name', t=t)}, rk AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY composite DESC, variant_name) AS rank FROM c), best AS (SELECT * FROM rk WHERE rank = 1),
+{_VERSUS.format(g=g, t=t)}, {tails.signed_rank(f'{g}, variant_name')},
+bm AS (SELECT rk.{g}, rk.variant_name, composite, trials, rank, pairs, p_value, CASE WHEN pairs >= 5 AND rank > 1 THEN p_value >= 0.1 END AS parity FROM rk LEFT JOIN tests ON tests.{g} = rk.{g} AND tests.variant_name = rk.variant_name WHERE rank <= 4),
+kept AS (SELECT *, rank <= 2 OR NOT coalesce(pairs >= 5, false) OR coalesce(parity, false) AS retained FROM bm)
+SELECT {g}, variant_name, R(composite) AS composite, trials, rank, pairs, R(p_value) AS p_value, parity AS within_parity, retained{columns} FROM kept"""
+
+
+@query("stat30_select_beam", f"WITH RECURSIVE {_beam_sql('model', 'trials', '')}")
 def _(spark, sf):
     return doe.select_beam(v.trials(spark, sf), ["model"], width=2)
 
 
-@query("stat31_beam_cascade")
+@query(
+    "stat31_beam_cascade",
+    f"""WITH RECURSIVE ax AS (SELECT *, CAST(substr(variant_name, 3) AS BIGINT) % 2 AS axis FROM trials), {_beam_sql('axis', 'ax', ', retained AND axis = (SELECT max(axis) FROM kept) AS final')}""",
+)
 def _(spark, sf):
     """All axes in one job; the last axis with trials gives the final beam."""
     axis = (F.substring("variant_name", 3, 5).cast("long") % 2).alias("axis")
@@ -409,12 +461,27 @@ def _(spark, sf):
     return doe.framing_join(v.trials(spark, sf), F.col("source") == "src_0", F.col("source") == "src_1")
 
 
-@query("stat33_compare_framings")
+_FRAMINGS = f"""fr AS ({_SIDES}), {_COMP.format(g='framing, variant_name', t='fr')}, cl AS (SELECT framing, variant_name, task_id, repetition, round(avg(score), 9) AS score FROM fr GROUP BY ALL),
+d AS (SELECT x.variant_name, round(x.score - y.score, 9) AS d FROM cl x JOIN cl y ON x.framing = 'constant' AND y.framing = 'adapted' AND x.variant_name = y.variant_name AND x.task_id = y.task_id AND x.repetition = y.repetition),
+{tails.signed_rank('variant_name')},
+cf AS (SELECT a.variant_name, a.composite AS constant, a.trials AS constant_trials, b.composite AS adapted, b.trials AS adapted_trials, b.composite - a.composite AS diff, pairs, p_value, p_value < 0.05 AS significant
+FROM c a JOIN c b ON a.variant_name = b.variant_name AND a.framing = 'constant' AND b.framing = 'adapted' LEFT JOIN tests ON tests.variant_name = a.variant_name),
+bf AS (SELECT *, CASE WHEN NOT coalesce(pairs >= 5 AND significant, false) OR abs(diff) < 0.1 THEN 'no_difference' WHEN diff > 0 THEN 'adapted' ELSE 'constant' END AS better FROM cf)"""
+
+
+@query(
+    "stat33_compare_framings",
+    f"""WITH RECURSIVE {_FRAMINGS} SELECT variant_name, R(constant) AS constant, constant_trials, R(adapted) AS adapted, adapted_trials, R(diff) AS score_difference, pairs, R(p_value) AS p_value, significant, better AS better_framing FROM bf""",
+)
 def _(spark, sf):
     return doe.compare_framings(v.trials(spark, sf), F.col("source") == "src_0", F.col("source") == "src_1")
 
 
-@query("stat33_framing_report")
+@query(
+    "stat33_framing_report",
+    f"""WITH RECURSIVE {_FRAMINGS}, a AS (SELECT count(*) FILTER (better = 'constant') AS fc, count(*) FILTER (better = 'adapted') AS fa, count(*) FILTER (better = 'no_difference') AS nd, avg(diff) AS md FROM bf)
+SELECT fc AS favoring_constant, fa AS favoring_adapted, nd AS no_difference, R(md) AS mean_difference, CASE WHEN fa > fc THEN 'adapted' WHEN fc > fa THEN 'constant' ELSE 'mixed' END AS overall FROM a""",
+)
 def _(spark, sf):
     return doe.framing_report(doe.compare_framings(v.trials(spark, sf), F.col("source") == "src_0", F.col("source") == "src_1"))
 

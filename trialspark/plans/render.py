@@ -165,7 +165,7 @@ rendered(
         "CASE WHEN tier <> 'required' THEN '1' WHEN row_number() OVER (PARTITION BY source, tier ORDER BY rel_path) <= ceil(count(*) OVER (PARTITION BY source, tier) / 2) THEN '0' ELSE '2' END || rel_path"
     ),
 )
-rendered("position-random", None)
+rendered("position-random", two_tier("md5('42/' || rel_path) || rel_path"))
 at("idx16")
 _BODY = f"'## ' || {P} || {NL} || {NL} || "
 _SEP2 = f"{NL} || {NL}"
@@ -187,8 +187,14 @@ for _n in (5, 15, 50, 100, 200):
     )
 at("idx18")
 rendered("noise-0", flat(_ENTRY))
-for _n in (25, 50, 75):
-    rendered(f"noise-{_n}", None)
+_STUBS = "[" + ", ".join(f"'{x}'" for x in rd.DISTRACTORS) + "]"
+for _n, _extra in ((25, "greatest(1, n // 3)"), (50, "n"), (75, "n * 3")):
+    rendered(
+        f"noise-{_n}",
+        f"SELECT source, string_agg('- ' || path || ': ' || stub, {NL} ORDER BY path) AS content FROM (SELECT source, {P} AS path, b0 AS stub FROM prep UNION ALL FROM stubs) GROUP BY 1",
+        f"""stubs AS (SELECT source, 'docs/internal/generated_' || lpad(i::VARCHAR, greatest(3, length(i::VARCHAR))::INT, '0') || '.md' AS path, ({_STUBS})[('0x' || md5('42/' || i)[1:8])::BIGINT % 10 + 1] AS stub
+FROM (SELECT source, unnest(range(1, {_extra} + 1)) AS i FROM (SELECT source, count(*) AS n FROM docs GROUP BY 1)))""",
+    )
 
 
 @query(
@@ -295,7 +301,14 @@ def _(spark, sf):
     return texts.unionByName(rd.oracle_text_ids(relevant), allowMissingColumns=True)
 
 
-@query("idx03_length_matched_random")
+@query(
+    "idx03_length_matched_random",
+    """WITH RECURSIVE want AS (SELECT source, CAST(floor(sum(token_count) / 3) AS BIGINT) AS target FROM docs GROUP BY 1),
+o AS (SELECT source, rel_path, token_count AS tokens, row_number() OVER (PARTITION BY source ORDER BY md5('42/' || rel_path), rel_path) AS i FROM docs),
+take AS (SELECT source, target, target AS room, 0::BIGINT AS i, NULL::VARCHAR AS rel_path, NULL::BIGINT AS tokens, false AS taken FROM want
+UNION ALL SELECT t.source, target, CASE WHEN o.tokens <= room THEN room - o.tokens ELSE room END, o.i, o.rel_path, o.tokens, o.tokens <= room FROM take t JOIN o ON o.source = t.source AND o.i = t.i + 1)
+SELECT source, rel_path, tokens, target AS target_tokens FROM take WHERE taken""",
+)
 def _(spark, sf):
     d = v.docs(spark, sf)
     targets = d.groupBy("source").agg((F.sum("token_count") / 3).cast("long").alias("target_tokens"))

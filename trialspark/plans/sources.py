@@ -339,7 +339,24 @@ def _base_tasks(spark, sf):
     )
 
 
-@query("src21_gen_perturbation")
+_DRAW = "CAST(('0x' || md5('42/' || base || '/{0}')[1:8]) AS BIGINT)"
+_PERTURBED = """CASE
+WHEN kind IN ('typo', 'char_swap') THEN CASE WHEN n < 2 THEN content WHEN size > 2 THEN array_to_string(list_transform(w, lambda x, k: CASE WHEN k = i THEN x[1:sw - 1] || x[sw + 1] || x[sw] || x[sw + 2:] ELSE x END), ' ') ELSE joined END
+WHEN kind = 'char_delete' THEN CASE WHEN n = 0 THEN content WHEN size > 2 THEN array_to_string(list_transform(w, lambda x, k: CASE WHEN k = i THEN x[1:dr - 1] || x[dr + 1:] ELSE x END), ' ') ELSE joined END
+WHEN kind = 'word_swap' THEN CASE WHEN n > 2 THEN array_to_string(list_transform(w, lambda x, k: CASE WHEN k = i THEN w[j] WHEN k = j THEN w[i] ELSE x END), ' ') ELSE joined END
+WHEN n = 0 THEN content
+ELSE array_to_string(list_transform(w, lambda x, k: CASE WHEN k <> i THEN x WHEN lower(x) = x AND upper(x) <> x THEN upper(replace(x, 'ß', 'ss')) ELSE lower(x) END), ' ') END"""
+
+
+@query(
+    "src21_gen_perturbation",
+    f"""WITH {_RAW}, {num('perturbation_robustness_')},
+a AS (SELECT *, 'fact_' || lpad(doc_id::VARCHAR, 9, '0') AS base, {words_sql('content')} AS w FROM numbered),
+b AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS joined, (['typo', 'char_swap', 'char_delete', 'word_swap', 'case_change'])[(row_number() OVER (ORDER BY doc_id) - 1) % 5 + 1] AS kind, {_DRAW.format('word')} % greatest(len(w), 1) + 1 AS i FROM a),
+c AS (SELECT *, length(w[i]) AS size, (i + {_DRAW.format('other')} % greatest(n - 1, 1)) % greatest(n, 1) + 1 AS j FROM b),
+d AS (SELECT *, {_DRAW.format('swap')} % greatest(size - 1, 1) + 1 AS sw, {_DRAW.format('drop')} % greatest(size - 1, 1) + 2 AS dr FROM c)
+SELECT task_id, {_PERTURBED} AS question, kind AS perturbation_type, base AS base_task_id, content AS original_question, content AS expected_answer FROM d""",
+)
 def _(spark, sf):
     return tk.gen_perturbation(_base_tasks(spark, sf)).drop("answer_aliases")
 

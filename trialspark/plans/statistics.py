@@ -8,6 +8,7 @@ from trialspark import views as v
 from trialspark.operators import agreement as ag
 from trialspark.operators import curves as c
 from trialspark.operators import stats as st
+from trialspark.plans import tails
 from trialspark.plans.registry import query
 
 # ---- paired tests --------------------------------------------------------
@@ -50,12 +51,21 @@ def _(spark, sf):
     return _all_tests(spark, sf).drop("p_value", "significant")
 
 
-@query("stat01_wilcoxon_p")
+_TESTS = f"{_ALLP}, d AS (SELECT a, b, round(score_a - score_b, 9) AS d FROM pairs), {tails.signed_rank('a, b')}"
+_TEST_COLUMNS = "a, b, pairs, n, R(md) AS mean_difference, R(w) AS statistic, R(CASE WHEN n > 0 THEN 1 - 2 * w / (n * (n + 1) / 2) ELSE 0 END) AS effect_size, R(p_value) AS p_value"
+
+
+@query("stat01_wilcoxon_p", f"WITH RECURSIVE {_TESTS} SELECT {_TEST_COLUMNS}, p_value < 0.05 AS significant FROM tests")
 def _(spark, sf):
     return _all_tests(spark, sf)
 
 
-@query("stat32_pairwise_all")
+@query(
+    "stat32_pairwise_all",
+    f"""WITH RECURSIVE {_TESTS}, k AS (SELECT *, row_number() OVER (ORDER BY p_value, a, b) AS k, count(*) OVER () AS m FROM tests WHERE pairs >= 5),
+h AS (SELECT *, max(least(p_value * (m - k + 1), 1.0)) OVER (ORDER BY k) AS c FROM k)
+SELECT {_TEST_COLUMNS}, 'all' AS family, R(c) AS corrected_p, c < 0.05 AS significant FROM h""",
+)
 def _(spark, sf):
     tests = _all_tests(spark, sf).where(F.col("pairs") >= 5).drop("significant").withColumn("family", F.lit("all"))
     return c.holm(tests, ["family"], ["a", "b"])
@@ -140,17 +150,24 @@ def _(spark, sf):
     return st.tukey_hsd(v.trials(spark, sf), ["model"], "variant_name", "score")
 
 
+_LEVENE = f"""med AS (SELECT model, variant_name, median(score) AS md FROM trials GROUP BY ALL),
+dv AS (SELECT t.model, t.variant_name, abs(score - md) AS z FROM trials t JOIN med ON t.model = med.model AND t.variant_name = med.variant_name),
+{_ONEWAY.format(x='z', t='dv')}"""
+
+
 @query(
     "stat08_levene_w",
-    f"""WITH med AS (SELECT model, variant_name, median(score) AS md FROM trials GROUP BY ALL),
-dv AS (SELECT t.model, t.variant_name, abs(score - md) AS z FROM trials t JOIN med ON t.model = med.model AND t.variant_name = med.variant_name),
-{_ONEWAY.format(x='z', t='dv')} SELECT model, k, R((sb / (k - 1)) / (sw / (nt - k))) AS statistic FROM ow""",
+    f"""WITH {_LEVENE} SELECT model, k, R((sb / (k - 1)) / (sw / (nt - k))) AS statistic FROM ow""",
 )
 def _(spark, sf):
     return st.levene(v.trials(spark, sf), ["model"], "variant_name", "score").drop("p_value")
 
 
-@query("stat08_levene")
+@query(
+    "stat08_levene",
+    f"""WITH {_LEVENE}, f AS (SELECT model, k, (sb / (k - 1)) / (sw / (nt - k)) AS f, k - 1 AS d1, nt - k AS d2 FROM ow)
+SELECT model, k, R(f) AS statistic, R({tails.f_sf('f', 'd1', 'd2')}) AS p_value FROM f""",
+)
 def _(spark, sf):
     return st.levene(v.trials(spark, sf), ["model"], "variant_name", "score")
 

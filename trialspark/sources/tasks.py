@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialspark.constants import TASK_TYPES
-from trialspark.functions.text import words
+from trialspark.functions.text import hash_number, let, words
 from trialspark.operators.ordered import ordinals
 
 # Allowed domains and difficulties, and the shape of a task id.
@@ -115,9 +115,14 @@ def _pick(i: Column, values) -> Column:
 
 def perturb(question: Column, kind: Column, seed: Column) -> Column:
     """One hash-placed edit: swapped letters, a dropped letter, swapped words or changed case."""
-    w = words(question)
+    draws = [hash_number(F.concat(seed, F.lit(f"/{salt}"))).alias(salt) for salt in ("word", "swap", "drop", "other")]
+    return let(F.struct(words(question).alias("w"), *draws), lambda s: _edited(question, kind, s))
+
+
+def _edited(question: Column, kind: Column, drawn: Column) -> Column:
+    w = drawn["w"]
     n = F.size(w)
-    at = lambda salt, size: F.pmod(F.xxhash64(seed, F.lit(salt)), F.greatest(size, F.lit(1)))
+    at = lambda salt, size: drawn[salt] % F.greatest(size, F.lit(1))
     i = at("word", n).cast("int")
     word = F.get(w, i)
     size = F.length(word)
