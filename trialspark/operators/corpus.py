@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions import markdown as md
+from trialspark.functions import text as tx
 from trialspark.operators.monitor import top_per_group
+from trialspark.session import frozen
 
 # Documentation file types and directories never scanned.
 EXTENSIONS = [".md", ".mdx", ".rst", ".txt"]
@@ -121,19 +123,45 @@ def transform_docs(docs: DataFrame, steps: Sequence[str], state: DataFrame | Non
 
 # ---- cross-references ----------------------------------------------------
 GRAM = 5
+RUN_BITS = 1 << 22
+BYTES = 4096  # of one bitmap of bitmap_construct_agg
+
+
+def _rarest_run(stems: DataFrame) -> DataFrame:
+    """Adds ``_gram``: of the stem's runs of ``GRAM`` characters (or the whole short stem) the one in the fewest stems."""
+    low = F.lower("stem")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - GRAM + 1))
+    each = stems.select("source", "stem", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM))))).alias("_gram"))
+    shared = each.groupBy("source", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    best = each.join(shared, ["source", "_gram"]).groupBy("source", "stem").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    return stems.join(best, ["source", "stem"])
+
+
+def _bit_table(at: DataFrame):
+    """``RUN_BITS`` bits, set where ``_at`` says, as one array of bitmaps: half a megabyte whatever the input."""
+    maps = at.groupBy(F.bitmap_bucket_number(F.col("_at") + 1).alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_at") + 1)).alias("_m"))
+    return maps.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_m")))).scalar()
+
+
+def _bit(table: Column, at: Column) -> Column:
+    """Whether bit ``at`` is set: bucket, byte and bit of :func:`_bit_table`."""
+    inside = at % (BYTES * 8)
+    byte = F.conv(F.hex(F.substring(F.element_at(table, F.floor(at / (BYTES * 8)) + 1), (F.floor(inside / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.floor(byte / F.pow(F.lit(2), inside % 8)) % 2 == 1, F.lit(False))
 
 
 def mentions(docs: DataFrame, whole_word: bool) -> DataFrame:
     """(source, stem, stem_path, rel_path): documents of the same corpus whose text holds the stem.
 
-    Not a join of documents with stems: the first characters of every stem are
-    matched by equality against the distinct character runs of every text,
-    and only those candidates are then tested inside their document.
+    Not a join of documents with stems: of every stem the run of characters that
+    the fewest stems share is matched by equality against the distinct runs of
+    every text, and only those candidates are then tested inside their document.
+    A bit table of fixed size drops runs that no stem wants before they travel.
     ``stem_path`` is the last path where several share a stem; a document may
     mention its own stem, so callers drop the pairs they do not want.
     """
     stems = docs.groupBy("source", F.col("stem")).agg(F.max("rel_path").alias("stem_path"))
-    stems = stems.where(F.col("stem") != "").withColumn("_gram", F.left(F.lower("stem"), F.lit(GRAM)))
+    stems = frozen(_rarest_run(stems.where(F.col("stem") != "")))
     lengths = stems.agg(F.array_sort(F.collect_set(F.length("_gram")))).scalar()
     low = F.lower("content")
     # overlapping runs of each length that occurs among the stems' first characters
@@ -144,7 +172,10 @@ def mentions(docs: DataFrame, whole_word: bool) -> DataFrame:
     )
     text = docs.select("source", "rel_path", low.alias("_low")).withColumn("_lens", lengths)
     wanted = stems.select("source", "_gram").distinct()
-    grams = text.select("source", "rel_path", F.explode(runs).alias("_gram")).join(wanted, ["source", "_gram"], "left_semi")
+    place = lambda gram: F.pmod(F.xxhash64("source", gram), F.lit(RUN_BITS))
+    known = text.withColumn("_bits", _bit_table(wanted.select(place(F.col("_gram")).alias("_at"))))
+    listed = tx.let(runs, lambda all_runs: F.filter(all_runs, lambda g: tx.let(place(g), lambda at: _bit(F.col("_bits"), at))))
+    grams = known.select("source", "rel_path", F.explode(listed).alias("_gram")).join(wanted, ["source", "_gram"], "left_semi")
     candidates = grams.join(stems, ["source", "_gram"]).select("source", "rel_path", "stem", "stem_path")
     # the text meets its candidates at its own key and is tested there, never copied per candidate
     holds = F.contains(F.col("_low"), F.lower("stem"))

@@ -25,6 +25,7 @@ from trialspark.operators.ordered import (
     running_totals,
     value_counts,
 )
+from trialspark.session import frozen
 
 
 def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -72,29 +73,27 @@ def paired_trials(trials: DataFrame, group: str, a: str, b: str) -> DataFrame:
 def all_pairs(trials: DataFrame, group: str, family: Sequence[str] = ()) -> DataFrame:
     """Paired scores of every pair of groups; a cell holds at most one row per registered group."""
     family = list(family)
-    cells = cell_means(trials, *family, group)
-    keys = [*family, "task_id", "repetition"]
-    right = cells.select(*keys, F.col(group).alias("b"), F.col("score").alias("score_b"))
-    left = cells.select(*keys, F.col(group).alias("a"), F.col("score").alias("score_a"))
-    return left.join(right, keys).where(F.col("a") < F.col("b"))
+    pairs = group_pairs(cell_means(trials, *family, group), [*family, "task_id", "repetition"], group)
+    return pairs.withColumnsRenamed({f"{group}_a": "a", f"{group}_b": "b"})
 
 
 def wilcoxon(pairs: DataFrame, keys: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """Signed-rank test per key over ``score_a``/``score_b``.
 
-    Differences collapse to (key, |d|) with their sign counts, so ranks come
-    from running counts over distinct magnitudes.
+    Differences collapse once to (key, d) with their counts; ranks come from
+    running counts over the distinct magnitudes.
     """
     keys = list(keys)
     d = F.round(F.col("score_a") - F.col("score_b"), 9)
-    diffs = pairs.select(*keys, d.alias("d"))
+    diffs = frozen(pairs.groupBy(*keys, d.alias("d")).agg(F.count(F.lit(1)).alias("n")))
+    count_where = lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(0))
     totals = diffs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("d") == 0).alias("zeros"), F.avg("d").alias("mean_difference")
+        F.sum("n").alias("pairs"), count_where(F.col("d") == 0).alias("zeros"), (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean_difference")
     )
     mags = (
         diffs.where(F.col("d") != 0)
         .groupBy(*keys, F.abs("d").alias("mag"))
-        .agg(F.count_if(F.col("d") > 0).alias("pos"), F.count(F.lit(1)).alias("n"))
+        .agg(count_where(F.col("d") > 0).alias("pos"), F.sum("n").alias("n"))
     )
     ranked = ranked_values(None, keys, "mag", extra=mags)
     sums = ranked.groupBy(*keys).agg(
@@ -141,15 +140,16 @@ def bootstrap_ci(
     """BCa interval per key of a statistic ``finish(n, [sum f1(x), sum f2(x), ...])``.
 
     Rows collapse to value counts.  A resample is a multinomial draw over the
-    distinct values; values are hashed into slices of a few thousand, the
-    number falling into each slice is itself drawn (the same way in every
-    task, from the same seed), and a slice draws its own share.  Together that
-    is exactly one multinomial resample, yet no task holds a whole group.
+    distinct values, hashed into slices of a few thousand.  The slices are the
+    leaves of a binary tree; at each node a binomial draw, seeded by the node,
+    splits the rows between both sides.  A slice walks only the nodes above
+    it, then draws its own share.  Together that is exactly one multinomial
+    resample, and what a task holds grows with the depth of the tree only.
     """
     if n_resamples < 100:
         raise ValueError("at least 100 resamples are needed")
     keys, feats = list(keys), list(features)
-    counts = value_counts(df, keys, value).withColumnRenamed(value, "_x")
+    counts = frozen(value_counts(df, keys, value).withColumnRenamed(value, "_x"))
     key_type = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys)
     sizes = counts.groupBy(*keys).agg(
         F.sum("n").alias("_total"),
@@ -161,27 +161,29 @@ def bootstrap_ci(
         *keys, "_x", "n", F.pmod(F.xxhash64("_x"), F.col("_slices")).alias("_slice")
     )
     per_slice = cut.groupBy(*keys, "_slice").agg(F.sum("n").alias("_c"))
-    layout = per_slice.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_slice", "_c"))).alias("_layout")
-    )
+    # a slice's node at level l is its number without the last l bits
+    depth = F.length(F.bin(F.col("_slices") - 1))
+    levels = per_slice.join(sizes.select(*keys, "_slices"), keys).select(*keys, "_slice", "_c", F.explode(F.sequence(F.lit(1), depth)).alias("_level"))
+    above = levels.withColumns({"_node": F.expr("shiftright(_slice, _level)"), "_left": F.expr("shiftright(_slice, _level - 1) % 2 = 0")})
+    nodes = above.groupBy(*keys, "_level", "_node").agg(F.sum("_c").alias("_all"), F.sum(F.when(F.col("_left"), F.col("_c")).otherwise(0)).alias("_first"))
+    way = F.sort_array(F.collect_list(F.struct("_level", "_node", "_all", "_first", "_left")), asc=False)
     mine = {k: f"_p_{k}" for k in [*keys, "_slice"]}
-    plan = per_slice.select(*keys, "_slice").join(layout, keys).select(
-        *[F.col(k).alias(p) for k, p in mine.items()],
-        F.col("_layout._slice").alias("_ids"),
-        F.col("_layout._c").alias("_counts"),
+    plan = above.join(nodes, [*keys, "_level", "_node"]).groupBy(*keys, "_slice").agg(way.alias("_way")).select(
+        *[F.col(k).alias(p) for k, p in mine.items()], *[F.col(f"_way.{c}").alias(c) for c in ("_level", "_node", "_all", "_first", "_left")]
     )
     k = len(feats)
     sums_type = ", ".join(f"s{i} double" for i in range(k))
 
     def draw(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes_ = list(left["_ids"].iloc[0]), np.asarray(left["_counts"].iloc[0], dtype=float)
         group, slice_id = key[:-1], key[-1]
-        shares = _seed(seed, group).multinomial(int(sizes_.sum()), sizes_ / sizes_.sum(), size=n_resamples)
-        mine = shares[:, ids.index(slice_id)]
+        mine = np.full(n_resamples, int(left["_all"].iloc[0][0]))
+        for level, node, every, first, on_left in zip(*[left[c].iloc[0] for c in ("_level", "_node", "_all", "_first", "_left")]):
+            drawn_left = _seed(seed, group, int(level), int(node)).binomial(mine, first / every)
+            mine = drawn_left if on_left else mine - drawn_left
         right = right.sort_values("_x")
         x, n = right["_x"].to_numpy(), right["n"].to_numpy(dtype=float)
         table = np.column_stack([np.broadcast_to(f(x), x.shape) for f in feats])
-        rng, out = _seed(seed, group, int(slice_id)), []
+        rng, out = _seed(seed, group, 0, int(slice_id)), []
         for at in range(0, n_resamples, 500):
             out.append(rng.multinomial(mine[at : at + 500], n / n.sum()) @ table)
         sums = np.vstack(out)
@@ -293,26 +295,24 @@ def cohens_d(df: DataFrame, family: Sequence[str], group: str, value: str) -> Da
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     """U of the first group and r = 1 - 2U/(n_a n_b) for every pair of groups.
 
-    One running count per group over the common grid of distinct values gives
-    every pair; pairs are summed over distinct values, not over rows.
+    A distinct value of a group goes to the pairs of that group and to no
+    other; each pair then runs over the values of its own two groups.
     """
     counts = value_counts(df, [group], value)
     names = counts.agg(F.array_sort(F.collect_set(group)).alias("g")).scalar()
-    grid = counts.select(value).distinct().select(value, F.explode(names).alias(group))
-    dense = grid.join(counts, [group, value], "left").na.fill(0, ["n"])
-    cum = running_totals(dense, [group], [value], {"cum": F.col("n")})
-    # one entry per registered group at each distinct value
-    per_value = cum.groupBy(value).agg(F.collect_list(F.struct(group, "n", "cum")).alias("g"))
-    left = per_value.select("g", F.explode("g").alias("x")).where(F.col("x.n") > 0)
-    both = left.select("x", F.explode("g").alias("y")).where(F.col("x")[group] < F.col("y")[group])
-    wins = F.col("x.n") * (F.col("y.cum") - F.col("y.n") / 2.0)
-    u = both.groupBy(F.col("x")[group].alias("a"), F.col("y")[group].alias("b")).agg(
-        F.sum(wins).alias("u"), F.sum("x.n").alias("n_a")
+    own, other = F.col(group), F.col("_o")
+    dealt = counts.withColumn("_all", names).select(
+        group, value, "n", F.explode(F.filter("_all", lambda g: g != own)).alias("_o")
+    )
+    first = own < other
+    per = dealt.groupBy(F.least(own, other).alias("a"), F.greatest(own, other).alias("b"), value).agg(
+        F.sum(F.when(first, F.col("n")).otherwise(0)).alias("_na"), F.sum(F.when(~first, F.col("n")).otherwise(0)).alias("_nb")
     )
-    sizes = counts.groupBy(F.col(group).alias("b")).agg(F.sum("n").alias("n_b"))
-    return u.join(sizes, "b").select(
-        "a", "b", "n_a", "n_b", "u", (1.0 - 2.0 * F.col("u") / (F.col("n_a") * F.col("n_b"))).alias("r")
+    cum = running_totals(per, ["a", "b"], [value], {"cum": F.col("_nb")})
+    u = cum.groupBy("a", "b").agg(
+        F.sum("_na").alias("n_a"), F.sum("_nb").alias("n_b"), F.sum(F.col("_na") * (F.col("cum") - F.col("_nb") / 2.0)).alias("u")
     )
+    return u.withColumn("r", 1.0 - 2.0 * F.col("u") / (F.col("n_a") * F.col("n_b")))
 
 
 def effect_label(d: Column) -> Column:
