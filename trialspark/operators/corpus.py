@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions import markdown as md
-from trialspark.functions import text as tx
 from trialspark.operators.monitor import top_per_group
 from trialspark.session import frozen
 
@@ -124,7 +123,6 @@ def transform_docs(docs: DataFrame, steps: Sequence[str], state: DataFrame | Non
 # ---- cross-references ----------------------------------------------------
 GRAM = 5
 RUN_BITS = 1 << 22
-BYTES = 4096  # of one bitmap of bitmap_construct_agg
 
 
 def _rarest_run(stems: DataFrame) -> DataFrame:
@@ -138,16 +136,10 @@ def _rarest_run(stems: DataFrame) -> DataFrame:
 
 
 def _bit_table(at: DataFrame):
-    """``RUN_BITS`` bits, set where ``_at`` says, as one array of bitmaps: half a megabyte whatever the input."""
-    maps = at.groupBy(F.bitmap_bucket_number(F.col("_at") + 1).alias("_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_at") + 1)).alias("_m"))
-    return maps.agg(F.map_from_entries(F.collect_list(F.struct("_k", "_m")))).scalar()
-
-
-def _bit(table: Column, at: Column) -> Column:
-    """Whether bit ``at`` is set: bucket, byte and bit of :func:`_bit_table`."""
-    inside = at % (BYTES * 8)
-    byte = F.conv(F.hex(F.substring(F.element_at(table, F.floor(at / (BYTES * 8)) + 1), (F.floor(inside / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.floor(byte / F.pow(F.lit(2), inside % 8)) % 2 == 1, F.lit(False))
+    """``RUN_BITS`` bits, set where ``_at`` says, as one array of 64-bit words: half a megabyte whatever the input."""
+    words = at.groupBy(F.expr("_at div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_w"))
+    full = at.sparkSession.range(RUN_BITS // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("_w", F.lit(0)).alias("w")).alias("_x"))
+    return full.agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["w"])).scalar()
 
 
 def mentions(docs: DataFrame, whole_word: bool) -> DataFrame:
@@ -172,10 +164,11 @@ def mentions(docs: DataFrame, whole_word: bool) -> DataFrame:
     )
     text = docs.select("source", "rel_path", low.alias("_low")).withColumn("_lens", lengths)
     wanted = stems.select("source", "_gram").distinct()
-    place = lambda gram: F.pmod(F.xxhash64("source", gram), F.lit(RUN_BITS))
-    known = text.withColumn("_bits", _bit_table(wanted.select(place(F.col("_gram")).alias("_at"))))
-    listed = tx.let(runs, lambda all_runs: F.filter(all_runs, lambda g: tx.let(place(g), lambda at: _bit(F.col("_bits"), at))))
-    grams = known.select("source", "rel_path", F.explode(listed).alias("_gram")).join(wanted, ["source", "_gram"], "left_semi")
+    place = F.pmod(F.xxhash64("source", "_gram"), F.lit(RUN_BITS))
+    table = _bit_table(wanted.select(place.alias("_at")))
+    all_runs = text.select("source", "rel_path", F.explode(runs).alias("_gram")).withColumn("_at", place)
+    likely = all_runs.where(F.getbit(F.get(table, (F.col("_at") / 64).cast("int")), (F.col("_at") % 64).cast("int")) == 1)
+    grams = likely.drop("_at").join(wanted, ["source", "_gram"], "left_semi")
     candidates = grams.join(stems, ["source", "_gram"]).select("source", "rel_path", "stem", "stem_path")
     # the text meets its candidates at its own key and is tested there, never copied per candidate
     holds = F.contains(F.col("_low"), F.lower("stem"))
