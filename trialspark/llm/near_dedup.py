@@ -363,7 +363,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a") if kind in ("bigint", "int") else "a")).alias("a")).select("a", "b")
     links = save(verify(best, live, similarity))
     tried = best
-    for _ in range(6):
+    while True:  # each round joins classes, so it ends
         comp = components(links, save)
         label = banded.join(comp.select(F.col("node").alias("doc"), "comp"), "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
         # one row per band and class: its ends; every class of a band meets the band's first class
