@@ -150,6 +150,19 @@ def test_near_duplicates_of_the_tables_equal_all_pairs(spark):
     assert got == brute_classes(docs)
 
 
+def test_near_duplicates_inside_a_family_equal_all_pairs(spark, monkeypatch):
+    # documents of a family share 0.7; some inside it, never at the ends of a band, are near copies of one another
+    shared, docs = text(7000, 400), {}
+    for i in range(60):
+        docs[i] = f"{shared} {text(7100 + (i - 1 if i % 10 == 5 else i), 90)}" + (f" {text(7300 + i, 20)}" if i % 10 in (4, 5) else "")
+    want = brute_classes(docs)
+    assert sum(i != c for i, c in want.items()) == 6
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    for size in (1024, 7):
+        monkeypatch.setattr(near_dedup, "BAND_DOCS", size)
+        assert {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(df).collect()} == want
+
+
 def test_hot_shingles_are_counted(spark):
     line = "this line stands in very many of the documents here"
     docs = {i: f"{line} {text(1000 + i, 30)}" for i in range(200)} | {500: f"{line} {text(1000, 30)}"}

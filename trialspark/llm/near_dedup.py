@@ -10,9 +10,12 @@
    in shared shingles, so documents with less are done: this loses nothing. The others get ``hashes`` samples
    (r, c ~ Gamma(2,1), b ~ U(0,1), t = floor(ln w / r + b), ln a = ln c - r (t - b + 1); the smallest a wins). The smallest a
    of the shingles nobody shares is drawn from its law, an exponential with their whole weight.
-4. *Bands.* Documents that agree in all ``rows`` samples of a band are candidates. In a band each is paired with the
-   band's smallest and largest id, never with all others. The best pair of each document is verified first, by weighted
-   Jaccard similarity over all shingles; then pairs between different classes, until no round finds a link.
+4. *Bands.* Documents that agree in all ``rows`` samples of a band are candidates. Each is first verified against one end
+   (smallest or largest id) of a band it is in, by weighted Jaccard similarity over all shingles. Then, in each band that still
+   holds several classes, every two documents of different classes are compared: those outside the band's largest class, cut
+   into blocks, meet each other and the blocks of that class, two blocks to a group. A group compares one document with all
+   of a block at once over their sorted shingles; no pair is left out but those whose weights are too unequal for a
+   link, those already joined by links of the same group, and those that meet in an earlier band.
 5. *Classes.* Connected documents; class id = smallest id. Documents with equal word sequences are one from the start.
 
 Result: one row per distinct (id, words) of the input, ``id, class_id, n_links``; n_links counts the verified links
@@ -33,6 +36,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from trialspark.llm.common import columns, map_rows
 from trialspark.session import scratch_path
@@ -42,6 +47,7 @@ SIMILARITY = 0.8
 HASHES, ROWS = 64, 4
 BLOCK_ROWS, BLOCK_CHARS = 8192, 8_000_000
 HOT = 64  # documents of a block that share a shingle before it is sent as a count
+BAND_DOCS, BAND_BYTES = 256, 8_000_000  # of one block of a band
 HASH_MASK = np.uint64((1 << 56) - 1)
 WORD = re.compile(r"\w+")
 BLOCK = "bucket int, block long, kind int, body binary"
@@ -308,6 +314,90 @@ def verify(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
     return map_rows(joined, f"a {signed.schema['doc'].dataType.simpleString()}, b {signed.schema['doc'].dataType.simpleString()}", work)
 
 
+def links_between(i: int, j: int, group: dict[str, list], similarity: float) -> list[tuple]:
+    """``a, b`` of documents of block i and block j of a band that are similar enough and whose classes were not joined yet."""
+    block, n = np.array(group["at"]), len(group["at"])
+    total, pos = np.array(group["total"]), group["pos"][0]
+    earlier = np.array([b[:pos] for b in group["bands"]], dtype=np.int64).reshape(n, pos)
+    codes: dict = {}
+    cls = np.array([codes.setdefault(c, len(codes)) for c in group["comp"]])
+    root = np.arange(len(codes))
+    right, order, out, parts = block == j, np.arange(n), [], None
+    for x in np.flatnonzero(block == i):
+        ask = right & (root[cls] != root[cls[x]]) & (np.minimum(total, total[x]) >= (similarity - 1e-6) * np.maximum(total, total[x]))
+        if i == j:
+            ask &= order > x
+        if pos and ask.any():
+            ask &= ~(earlier == earlier[x]).any(axis=1)
+        if not ask.any():
+            continue
+        if parts is None:
+            parts = [unpack(b, "<u8", "<f4") for b in group["shingles"]]
+            theirs = np.flatnonzero(right)
+            h, w = (np.concatenate([parts[k][c] for k in theirs]) for c in (0, 1))
+            owner = np.repeat(theirs, [len(parts[k][0]) for k in theirs])
+            by = np.argsort(h, kind="stable")
+            h, w, owner = h[by], w[by], owner[by]
+        mine, weight = parts[x]
+        start = np.searchsorted(h, mine, side="left")
+        runs = np.searchsorted(h, mine, side="right") - start
+        at = np.repeat(start - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        both = np.bincount(owner[at], weights=np.minimum(w[at], np.repeat(weight, runs)), minlength=n)
+        for y in np.flatnonzero(ask & (both >= (similarity - 1e-6) * np.maximum(1e-12, total + total[x] - both))):
+            one, two = root[cls[x]], root[cls[y]]
+            if one != two:
+                root[root == two] = one
+                out.append((min(group["doc"][x], group["doc"][y]), max(group["doc"][x], group["doc"][y])))
+    return out
+
+
+def compare_classes(banded: DataFrame, comp: DataFrame, live: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links between the classes ``comp`` (node, comp) in every band that holds more than one of them."""
+    label = banded.join(comp.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    held = label.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = held.groupBy("key").agg(
+        F.max(F.struct("n", "comp", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("bytes"), F.count("*").alias("classes")
+    ).filter("classes > 1")
+    cut = lambda n, size: F.greatest(F.ceil(n / BAND_DOCS), F.ceil(size / BAND_BYTES), F.lit(1)).cast("int")
+    mixed = mixed.select("key", F.col("main.comp").alias("main"), cut(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.size")).alias("others"), cut(F.col("main.n"), F.col("main.size")).alias("mains"))
+    spot = F.xxhash64("doc")
+    in_main = F.col("comp") == F.col("main")
+    placed = label.join(mixed, "key").select(
+        "key", "pos", "doc", "comp",
+        F.when(in_main, F.col("others") + F.pmod(spot, F.col("mains"))).otherwise(F.pmod(spot, F.col("others"))).cast("int").alias("at"),
+        F.when(in_main, F.col("others")).otherwise(F.col("others") + F.col("mains")).alias("meets"),
+    )
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1))).select(
+        "key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "pos", "doc", "comp"
+    )
+    groups = sent.join(live, "doc").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    names = ["at", "pos", "doc", "comp", "total", "bands", "shingles"]
+    schema = StructType([StructField(x, live.schema["doc"].dataType) for x in ("a", "b")])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+
+        def links(table: pa.Table):
+            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+            return links_between(i, j, {x: table[x].to_pylist() for x in names}, similarity)
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=arrow.field(k).type) for k in (0, 1)], schema=arrow)
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            place = np.stack([table[x].to_numpy() for x in ("key", "i", "j")])
+            starts = np.flatnonzero(np.concatenate(([True], (place[:, 1:] != place[:, :-1]).any(axis=0)))).tolist() if len(table) else [0]
+            yield batch_of([f for s, e in zip(starts, starts[1:]) for f in links(table.slice(s, e - s))])
+            rest = table.slice(starts[-1])  # its group may go on in the next batch
+        if rest is not None and len(rest):
+            yield batch_of(links(rest))
+
+    return groups.select("key", "i", "j", *names).mapInArrow(run, schema)
+
+
 def components(edges: DataFrame, save) -> DataFrame:
     """``node, comp`` (the smallest node): smallest label over the neighbours and then over the label's own label,
     until nothing changes. Edges touching a busy node are pre-aggregated; only a count comes to the driver."""
@@ -355,32 +445,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # equal word sequences are one document from here on
     texts = signed_rows.groupBy("digest").agg(F.min("id").alias("doc"))
     live = save(signed_rows.filter(F.col("bands").isNotNull()).groupBy("digest").agg(F.min(F.struct("id", "total", "bands", "shingles")).alias("x")).select(F.col("x.id").alias("doc"), "x.total", "x.bands", "x.shingles"))
-    banded = save(live.select("doc", F.explode("bands").alias("key")))
+    banded = save(live.select("doc", F.length("shingles").alias("size"), F.posexplode("bands").alias("pos", "key")))
     ends = banded.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).filter("n > 1")
     met = banded.join(ends, "key")
     near = met.select(F.col("low").alias("a"), F.col("doc").alias("b")).filter("a < b").union(met.select(F.col("doc").alias("a"), F.col("high").alias("b")).filter("a < b"))
     pairs = save(near.groupBy("a", "b").agg(F.count("*").alias("n")))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a") if kind in ("bigint", "int") else "a")).alias("a")).select("a", "b")
     links = save(verify(best, live, similarity))
-    tried = best
-    while True:  # each round joins classes, so it ends
-        comp = components(links, save)
-        label = banded.join(comp.select(F.col("node").alias("doc"), "comp"), "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
-        # one row per band and class: its ends; every class of a band meets the band's first class
-        held = label.groupBy("key", "comp").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-        first = held.groupBy("key").agg(F.min(F.struct("comp", "low", "high")).alias("f"), F.max(F.struct("comp", "low", "high")).alias("l"), F.count("*").alias("n")).filter("n > 1")
-        across = held.join(first, "key")
-        ask = None
-        for end in ("f", "l"):
-            for mine in ("low", "high"):
-                for theirs in ("low", "high"):
-                    p = across.filter(F.col("comp") != F.col(f"{end}.comp")).select(F.least(mine, f"{end}.{theirs}").alias("a"), F.greatest(mine, f"{end}.{theirs}").alias("b"))
-                    ask = p if ask is None else ask.union(p)
-        rest = save(ask.distinct().join(tried, ["a", "b"], "left_anti"))
-        found = save(verify(rest, live, similarity))
-        if not found.limit(1).count():
-            break
-        tried, links = save(tried.union(rest)), save(links.union(found))
+    links = save(links.union(compare_classes(banded, components(links, save), live, similarity)))
     comp = components(links, save)
     degree = links.select(F.col("a").alias("doc")).union(links.select(F.col("b").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n_links"))
     reps = texts.join(comp.select(F.col("node").alias("doc"), "comp"), "doc", "left").join(degree, "doc", "left").select(
