@@ -296,6 +296,14 @@ def test_surrogates(spark):
     assert pii.replace_entities(df.limit(0), b"key").collect() == []
 
 
+def test_texts_with_entities_are_not_filtered_out(spark):
+    texts = ["+33 12 34 56 78", "+49 30 12 34 56", "+49-30-12-34-56", "+4930 12", "٠٣٠-٤٥٦٧ ٤٥٦٧", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "030-123 4567", "a@b.org", "1.2.3.4", "Sr Gómez", "Mme. Ivy", "\U0001e4f3.\U0001e4f3.1.1"]
+    assert all(pii.find_entities(t) for t in texts)
+    docs = [*texts, "none 12 of 345 these", "one +33 12 34 56 78 and a@b.org"]
+    got = [r.n_entities for r in pii.replace_entities(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), b"key").orderBy("doc_id").collect()]
+    assert got == [len(pii.find_entities(t)) for t in docs] == [1] * len(texts) + [0, 2]
+
+
 def test_surrogates_stay_distinct(spark):
     values = [f"Dr {a}{b}" for a in "BCDFGHJKLM" for b in ("a", "e", "i", "o", "ea")] + [f"10.0.0.{i}" for i in range(256)]
     entities = spark.createDataFrame([("name" if v[0] == "D" else "ip", v) for v in values], "kind string, value string")

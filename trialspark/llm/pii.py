@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -58,8 +60,15 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[.\-])\d{3,4}[ .\-]\d{3,4}(?![\w])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?![\w]))"
     rf"|(?P<name>(?<!\w)(?:{'|'.join(TITLE_GENDER)})\.? {NAME}(?: {NAME})?)"
 )
-#: Texts that this does not find (in the JVM) have no entity; they are neither sent to Python nor shuffled.
-MAYBE = rf"@|\d[\d.]\d|(?=[{''.join(sorted({t[0] for t in TITLE_GENDER}))}])(?:{'|'.join(TITLE_GENDER)})[. ]"
+CARD_DIGITS = 13, 19
+#: The other digits of Python's \d, as ranges; Java's \d has ASCII digits only, and its Unicode tables may be older.
+OTHER_DIGITS = "".join(rf"\x{{{c:x}}}-\x{{{c + 9:x}}}" for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal() and unicodedata.decimal(chr(c)) == 0)
+#: Texts that this does not find (in the JVM) have no entity; they are neither sent to Python nor shuffled. A part of every
+#: match of each kind: mail, telephone with +, IPv4, card, other telephone, name; or a digit that is not ASCII.
+MAYBE = (
+    rf"@|\+[0-9]|[0-9](?:\.[0-9]|(?:[ \-]?[0-9]){{{CARD_DIGITS[0] - 1}}}|[0-9]{{2}}[ .\-][0-9]{{3}})"
+    rf"|(?=[{''.join(sorted({t[0] for t in TITLE_GENDER}))}])(?:{'|'.join(TITLE_GENDER)})[. ]|(?=[^\x00-\x7f])[{OTHER_DIGITS}]"
+)
 
 
 def check_digit_ok(digits: str) -> bool:
