@@ -304,6 +304,26 @@ def test_texts_with_entities_are_not_filtered_out(spark):
     assert got == [len(pii.find_entities(t)) for t in docs] == [1] * len(texts) + [0, 2]
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+        ("4111111111111111 12", ["4111111111111111"]),
+        ("7 4111111111111111", ["4111111111111111"]),
+        ("1234 5678 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("12-345-4111-1111-1111-1111", ["4111-1111-1111-1111"]),
+        ("030-1234-5678 123", ["030-1234-5678"]),
+        ("1 4111 1111 1111 1111 5500 0000 0000 0004 9", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("4111 1111 1111 1112", []),
+        ("4111111111111111 12x", ["4111111111111111"]),
+        ("1.2.3.456", []),
+    ],
+)
+def test_cards_beside_short_numbers(body, want):
+    t = f"pay {body}, thanks"
+    assert [t[s:e] for s, e, _ in pii.find_entities(t)] == want
+
+
 def test_surrogates_stay_distinct(spark):
     values = [f"Dr {a}{b}" for a in "BCDFGHJKLM" for b in ("a", "e", "i", "o", "ea")] + [f"10.0.0.{i}" for i in range(256)]
     entities = spark.createDataFrame([("name" if v[0] == "D" else "ip", v) for v in values], "kind string, value string")

@@ -60,6 +60,8 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[.\-])\d{3,4}[ .\-]\d{3,4}(?![\w])|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?![\w]))"
     rf"|(?P<name>(?<!\w)(?:{'|'.join(TITLE_GENDER)})\.? {NAME}(?: {NAME})?)"
 )
+PHONE = re.compile(PATTERN.pattern[PATTERN.pattern.index("(?P<phone>") : PATTERN.pattern.index("|(?P<name>")])
+DIGIT_RUN = re.compile(r"\d+(?:[ \-]\d+)*")
 CARD_DIGITS = 13, 19
 #: The other digits of Python's \d, as ranges; Java's \d has ASCII digits only, and its Unicode tables may be older.
 OTHER_DIGITS = "".join(rf"\x{{{c:x}}}-\x{{{c + 9:x}}}" for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal() and unicodedata.decimal(chr(c)) == 0)
@@ -79,16 +81,51 @@ def check_digit_ok(digits: str) -> bool:
     return total % 10 == 0
 
 
+def cards_inside(text: str, start: int) -> tuple[list[tuple[int, int, str]], int]:
+    """Cards in the run of digit groups that begins at ``start``, cut at separators, the longest first; and the run's end."""
+    run = DIGIT_RUN.match(text, start)
+    groups = [m.span() for m in re.compile(r"\d+").finditer(text, start, run.end())]
+    tail = run.end() < len(text) and (text[run.end()].isalnum() or text[run.end()] == "_")
+    found = []
+    for i, (s, _) in enumerate(groups):
+        n = 0
+        for j in range(i, len(groups)):
+            e = groups[j][1]
+            n += e - groups[j][0]
+            if n > CARD_DIGITS[1] or tail and e == run.end():
+                break
+            if n >= CARD_DIGITS[0] and check_digit_ok(re.sub(r"\D", "", text[s:e])):
+                found.append((-n, s, e))
+    out: list[tuple[int, int, str]] = []
+    taken = bytearray(run.end() - start)
+    for _, s, e in sorted(found):
+        if not any(taken[s - start : e - start]):
+            taken[s - start : e - start] = b"\1" * (e - s)
+            out.append((s, e, "card"))
+    return sorted(out), run.end()
+
+
 def find_entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), in order and without overlaps."""
-    out = []
-    for m in PATTERN.finditer(text):
-        kind, value = m.lastgroup, m.group()
-        if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
-            continue
-        if kind == "card" and not check_digit_ok(re.sub(r"\D", "", value)):
+    """(start, end, kind), in order and without overlaps. Where an IPv4 or a card is refused, what stands inside it still counts."""
+    out, at, searched = [], 0, 0
+    while m := PATTERN.search(text, at):
+        kind, value, (start, at) = m.lastgroup, m.group(), m.span()
+        refused = kind == "ip" and any(int(x) > 255 for x in value.split(".")) or kind == "card" and not check_digit_ok(re.sub(r"\D", "", value))
+        if not refused:
+            out.append((start, at, kind))
             continue
-        out.append((m.start(), m.end(), kind))
+        cards = []
+        if kind == "card" and start >= searched:
+            cards, searched = cards_inside(text, start)
+        at = start
+        for card in cards:
+            out += [(p.start(), p.end(), "phone") for p in PHONE.finditer(text, at, card[0])] + [card]
+            at = card[1]
+        if not cards:
+            phone = PHONE.match(text, start)
+            if phone:
+                out.append((start, phone.end(), "phone"))
+            at = phone.end() if phone else start + 1
     return out
 
 
