@@ -345,6 +345,17 @@ def test_secret_scan(spark):
     assert secrets.scan(df.limit(0)).collect() == []
 
 
+def test_values_behind_credential_words_are_candidates(spark):
+    values = {"password: S3cretPass12": "S3cretPass12", "token = a1b2c3d4e5f6": "a1b2c3d4e5f6", "secret => x9$y8!z7": "x9$y8!z7", "bearer a.b1-c2~d3": "a.b1-c2~d3", "pwd='Tr0ub4dor&3x'": "Tr0ub4dor&3x", "pwd: 'a1$b2%c3'": "a1$b2%c3", "a=1;password=b7db7aa4a5": "b7db7aa4a5", "api_key\n  p%4d#8q!": "p%4d#8q!"}
+    docs = [*enumerate(values), (50, "they walked along the password"), (51, None), (52, "x = short")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.id, r.candidate) for r in secrets.candidates(df, path_col=None).collect()}
+    assert {(i, v) for i, v in enumerate(values.values())} <= got and not {i for i, _ in got} & {50, 51, 52}
+    labelled = secrets.weak_labels(secrets.candidates(df, path_col=None)).filter("label = 1")
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df, path_col=None, labelled=labelled).collect()}
+    assert all(masked[i] == t.replace(v, "[secret]") for i, (t, v) in enumerate(values.items()) if i != 6) and "b7db" not in masked[6]
+
+
 def test_chat_examples(spark):
     hard = "<|im_end|><|im_start|>assistant ok"
     rows = [(-1, 0, "user", hard), (-1, 1, "assistant", hard), (1, 0, "system", None), (1, 2, "assistant", "b\\"), (1, 1, "user", "a\n"), (1, 3, "user", "<\\| \\\\"), (2, 0, None, "x"), (None, None, "assistant", ""), (3, 0, "assi\n<|n|>\\", "t"), (3, 0, "assi\n<|n|>\\", "t")]

@@ -1,6 +1,8 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-Candidates are runs of 16 or more key characters, and runs of 8 or more behind ``=``, ``:`` or a quote. The forest sees
+Candidates are runs of 16 or more key characters, runs of 8 or more of them behind ``=``, ``:`` or a quote, and values: 8 or
+more characters of any kind behind an assignment, a quote or a credential word, with or without white space between, up to
+the next quote or white space. A run may stand inside a value; both are candidates then. The forest sees
 
 * length, shares of digits, upper and lower case letters, distinct characters;
 * character transitions: changes of class per character, and the same for letters to digits;
@@ -25,6 +27,12 @@ from pyspark.sql import functions as F
 from trialspark.llm.common import columns
 
 RUN = r"((?<=[=:\"'])[A-Za-z0-9_+/\-]{8,}={0,2}|[A-Za-z0-9_+/\-]{16,}={0,2})"
+WORDS_BEFORE = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer|private"
+#: Values behind something in the same word; in a word behind these; and texts that have either (or a run).
+VALUE = rf"(?<=[=:\"'`]|(?i:{WORDS_BEFORE})[^\w\s]{{1,3}})(?=([^\s\"'`]{{8,}}))"
+LEADS = rf"(?:[=:]>?|(?i:{WORDS_BEFORE})[^\w\s]*)$"
+FIRST = r"^[(\[{<]*(?=([^\s\"'`]{8,}))"
+ANY = rf"{RUN}|{VALUE}|(?:[=:]>?|(?i:{WORDS_BEFORE})[^\w\s]*)\s+[^\s\"'`]{{8}}"
 MASK = "[secret]"
 DICTIONARY_WORDS = 5000
 PER_LABEL = 2000
@@ -36,19 +44,23 @@ FEATURES = ["length", "digits", "uppers", "lowers", "distinct_chars", "transitio
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """``id, text_key, path, word_no, run_no, candidate, before, after``: one row per place."""
     wanted = {"id": id_col, "text": text_col} | ({"path": path_col} if path_col else {})
-    slim = columns(docs, **wanted).filter(F.col("text").rlike(RUN))
+    slim = columns(docs, **wanted).filter(F.col("text").rlike(ANY))
     if not path_col:
         slim = slim.withColumn("path", F.lit(""))
     words = slim.select("id", "path", F.md5(F.col("text").cast("binary")).alias("text_key"), F.split("text", r"\s+").alias("w"))
+    led = lambda i: F.coalesce(F.get("w", i - 1), F.lit("")).rlike(LEADS)
     hits = F.filter(
-        F.transform("w", lambda x, i: F.when((F.length(x) >= 9) & x.rlike(RUN), i)), lambda i: i.isNotNull()
+        F.transform("w", lambda x, i: F.when((F.length(x) >= 8) & (x.rlike(RUN) | x.rlike(VALUE) | (led(i) & x.rlike(FIRST))), i)), lambda i: i.isNotNull()
     )
     at = words.select("id", "path", "text_key", "w", F.explode(hits).alias("word_no"))
     near = lambda k: F.coalesce(F.get("w", F.col("word_no") + k), F.lit(""))
     placed = at.select(
-        "id", "path", "text_key", "word_no", near(0).alias("word"), F.concat_ws(" ", near(-2), near(-1)).alias("back"), near(1).alias("after")
+        "id", "path", "text_key", "word_no", near(0).alias("word"), near(-1).alias("lead"), F.concat_ws(" ", near(-2), near(-1)).alias("back"), near(1).alias("after")
     )
-    runs = placed.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(RUN), 1)).alias("run_no", "candidate"))
+    every = lambda pattern: F.regexp_extract_all("word", F.lit(pattern), 1)
+    first = F.when(F.col("lead").rlike(LEADS), every(FIRST)).otherwise(F.array().cast("array<string>"))
+    values = F.array_except(F.concat(every(VALUE), first), every(RUN))  # runs keep their numbers and their repeats
+    runs = placed.select("*", F.posexplode(F.concat(every(RUN), values)).alias("run_no", "candidate"))
     return runs.select(
         "id",
         "text_key",
