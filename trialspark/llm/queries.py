@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import chat, decontaminate, fingerprint, language_id, near_dedup, pieces, pii, secrets, token_counts, warc
+from trialspark.llm import chat, decontaminate, fingerprint, language_id, near_dedup, pieces, pii, secrets, simhash, spelling, token_counts, warc, whitening
 
 SURROGATE_KEY = b"surrogates of the registered query"
 
@@ -70,6 +70,18 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_target_examples(turns.union(hard)))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
@@ -115,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_secret_scan,
         op10_chat_examples,
+        op11_simhash_near_dedup,
+        op12_embedding_whitening,
+        op13_spelling_variants,
     )
 }
 ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op10_chat_examples": OP10_SQL}
