@@ -156,8 +156,7 @@ def test_bit_sliced_scatter_is_exact():
 
 def test_whitening_odd_rows(spark):
     r = random.Random(1)
-    good = {i: [r.gauss(0, 1), r.gauss(0, 3), r.gauss(2, 0.5)] for i in range(40)}
-    good[7] = [0.5, float(2**30), -1.0]
+    good = {i: [2.0**20 * r.gauss(0, 1), 2.0**20 * r.gauss(0, 3), 2.0**20 * r.gauss(2, 0.5)] for i in range(40)}
     rows = [(i, v, 0.0) for i, v in good.items()]
     bad = [(100, None), (101, [1.0, None, 2.0]), (102, [1.0, float("nan"), 2.0]), (103, [float("inf"), 0.0, 0.0]), (104, []), (105, [1.0, 2.0])]
     kinds = "vec_id long, embedding array<double>, whitened double"
