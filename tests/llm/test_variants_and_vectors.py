@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trialspark.llm import queries, simhash, spelling, whitening
+from trialspark.llm import decontaminate, language_id, near_dedup, queries, simhash, spelling, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -247,3 +247,50 @@ def test_roots_follow_chains(spark):
     chain = [(f"w{k}", f"w{k + 1}") for k in range(9)] + [("v", "w0")]
     got = spelling.roots(spark.createDataFrame(chain, "word string, form string"), lambda df: df.cache())
     assert {(r.word, r.root) for r in got.collect()} == {(w, "w9") for w, _ in chain}
+
+
+# --- letters, ids and blocks of the earlier operators -----------------------------------------------------------------
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["½", "① ②", "Ⅷ", "²", "_ 12", "ª", "ß", "漢", "½ ab"]
+    rows = [(k, t, "en" if k % 2 else "es") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert [got[k] == "und" for k in range(9)] == [True] * 5 + [False] * 4
+    letters = {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
+    assert letters == {k for k, v in got.items() if v != "und"}
+
+
+def test_training_sample_without_letters(spark):
+    docs = spark.createDataFrame([(k, "1" * 10_000 + "a" + "2" * 10_000, lang) for k, lang in enumerate(["en", "es"])], "doc_id long, text string, lang string")
+    model = language_id.train(docs, windows_per_text=1)
+    assert model.langs == ["en", "es"]
+    assert {r.lang_pred for r in language_id.predict(docs, model).collect()} <= {"en", "es"}
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    text = lambda: " ".join(word() for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, a), (None, a), (None, b), (5, b), (6, c), (6, d), (7, c), (None, None), (8, "12 34"), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], kinds)
+    left = Counter((x.doc_id, x.text) for x in near_dedup.drop_near_duplicates(docs).collect())
+    assert left == Counter({(None, a): 2, (5, b): 1, (6, c): 1, (6, d): 1, (8, "12 34"): 1, (9, None): 1})
+    bench = spark.createDataFrame([(1, " ".join(c.split()[:20])), (2, " ".join(b.split()[30:50])), (3, None)], "item_id long, text string")
+    for block_words in (1000, 15):
+        left = Counter((x.doc_id, x.text) for x in decontaminate.drop_contaminated(docs, bench, block_words=block_words).collect())
+        assert left == Counter([(i, t) for i, t in rows if t not in (b, c)])
+        pairs = decontaminate.contaminated_pairs(docs, bench, block_words=block_words).collect()
+        assert sorted((str(p.doc_id), p.item_id, p.matched_words) for p in pairs) == [("5", 2, 20), ("6", 1, 20), ("7", 1, 20), ("None", 2, 20)]
+    model = language_id.train(docs)
+    kept = corpus_pipeline.keep_known_languages(spark, docs, SF)
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter([(i, t) for i, t in rows if t and t != "12 34"]) and kept.columns == docs.columns
+    assert model.langs == ["en"]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

@@ -7,14 +7,14 @@
 3. *Coverage.* Marked words of the item over its words; a pair at ``threshold`` or more is reported.
 
 The benchmark is sent to the tasks in blocks of at most ``block_words`` words, so what is sent is bounded whatever its
-size; documents are scanned once per block. Null and empty texts match nothing; equal items are reported each; repeated
+size, one block after the other; documents are scanned once per block. Null and empty texts match nothing; equal items are reported each; repeated
 documents give their rows each; null ids stay null.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import columns, map_rows
+from trialspark.session import scratch_path
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -148,64 +149,115 @@ class Benchmark:
         return sum(n for n, _, _ in tiles), len(tiles)
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int) -> list[list]:
-    """The items in lists of at most about ``block_words`` words; a block at a time is read by hash range."""
-    size = F.size(F.split("text", r"\s+"))
-    total = benchmark.agg(F.sum(size).alias("n")).first()["n"] or 0
-    n = max(1, -(-int(total) // block_words))
+def block_count(benchmark: DataFrame, block_words: int) -> int:
+    total = benchmark.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
+    return max(1, -(-int(total) // block_words))
+
+
+def benchmark_blocks(benchmark: DataFrame, n: int) -> Iterator[list]:
+    """The items in ``n`` lists of about equal size, each read by hash when it is asked for."""
     for b in range(n):
         block = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else benchmark
-        yield sorted(block.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
+        yield sorted((r.asDict() for r in block.collect()), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
+
+
+def in_seeds(hits: list[tuple[int, int]]) -> int:
+    """Words of the document inside its seed windows (sorted): no tiling marks more."""
+    n, end = 0, 0
+    for start, size in hits:
+        n += max(0, start + size - max(start, end))
+        end = max(end, start + size)
+    return n
+
+
+def found_in(known: Benchmark, texts: list[str | None], threshold: float):
+    """``place, item, matched words, tiles, coverage`` of the texts' items at ``threshold`` or more."""
+    get = known.vocabulary.get
+    ids = [np.array([get(w, -1) for w in words_of(t)] + [-1], dtype=np.int64) for t in texts]
+    ends = np.cumsum([len(x) for x in ids])
+    merged = np.concatenate(ids)
+    # one look at all texts; those with no seed are done
+    touched = set()
+    for size, keys in known.keys.items():
+        h = known.hashes(merged, size)
+        if len(h):
+            pos = np.searchsorted(keys, h)
+            pos[pos == len(keys)] = 0
+            touched |= set(np.searchsorted(ends, np.flatnonzero(keys[pos] == h), side="right").tolist())
+    for i in sorted(touched):
+        for k, hits in sorted(known.candidates(ids[i]).items()):
+            least = threshold * len(known.items[k])
+            if in_seeds(sorted(hits)) < least:
+                continue
+            words, tiles = known.coverage(ids[i], k, sorted(hits))
+            if words / len(known.items[k]) >= threshold:
+                yield i, k, words, tiles, words / len(known.items[k])
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``id, item_id, matched_words, tiles, coverage`` of the pairs at ``threshold`` or more. No shuffle."""
+    """``id, item_id, matched_words, tiles, coverage`` of the pairs at ``threshold`` or more. No shuffle.
+
+    With more than one block, each block's pairs are written before the next block is read, so driver and tasks hold one."""
+    spark = docs.sparkSession
     slim = columns(docs, **{id_col: id_col, "text": text_col})
     items = columns(benchmark, item_id=item_col, text=item_text_col)
     schema = f"`{id_col}` {slim.schema[0].dataType.simpleString()}, item_id {items.schema[0].dataType.simpleString()}, matched_words int, tiles int, coverage double"
 
-    def scan(rows: list) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
+    def scan(shared) -> DataFrame:
         def work():
             known = Benchmark(shared.value, min_match)
-            get = known.vocabulary.get
 
             def step(batch: pa.RecordBatch):
                 out: dict = {id_col: [], "item_id": [], "matched_words": [], "tiles": [], "coverage": []}
                 for at in range(0, batch.num_rows, 256):
-                    texts = [words_of(t) for t in batch.column(1).slice(at, 256).to_pylist()]
-                    ids = [np.array([get(w, -1) for w in t] + [-1], dtype=np.int64) for t in texts]
-                    ends = np.cumsum([len(x) for x in ids])
-                    merged = np.concatenate(ids)
-                    # one look at all documents of the slice; those with no seed are done
-                    touched = set()
-                    for size, keys in known.keys.items():
-                        h = known.hashes(merged, size)
-                        if len(h):
-                            pos = np.searchsorted(keys, h)
-                            pos[pos == len(keys)] = 0
-                            touched |= set(np.searchsorted(ends, np.flatnonzero(keys[pos] == h), side="right").tolist())
-                    for i in sorted(touched):
-                        for k, hits in sorted(known.candidates(ids[i]).items()):
-                            words, tiles = known.coverage(ids[i], k, sorted(hits))
-                            share = words / len(known.items[k])
-                            if share >= threshold:
-                                out[id_col].append(batch.column(0)[at + i].as_py())
-                                out["item_id"].append(known.ids[k])
-                                out["matched_words"].append(words)
-                                out["tiles"].append(tiles)
-                                out["coverage"].append(share)
+                    for i, k, words, tiles, share in found_in(known, batch.column(1).slice(at, 256).to_pylist(), threshold):
+                        row = (batch.column(0)[at + i].as_py(), known.ids[k], words, tiles, share)
+                        for values, value in zip(out.values(), row):
+                            values.append(value)
                 yield out
 
             return step
 
         return map_rows(slim, schema, work)
 
-    return reduce(DataFrame.union, [scan([r.asDict() for r in rows]) for rows in benchmark_blocks(items, block_words)])
+    total = block_count(items, block_words)
+    folder = scratch_path(spark, "benchmark-pairs") if total > 1 else None
+    for rows in benchmark_blocks(items, total):
+        shared = spark.sparkContext.broadcast(rows)
+        if folder is None:
+            return scan(shared)
+        scan(shared).write.mode("append").parquet(folder)
+        shared.unpersist()
+    return spark.read.schema(schema).parquet(folder)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id has no reported pair."""
-    hit = contaminated_pairs(docs, benchmark, id_col, text_col, **how).select(id_col).distinct()
-    return docs.join(hit, id_col, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that cover no item; each row is judged by its own text, so null and repeated ids play no part.
+
+    With more than one block, what a block leaves is written before the next block is read."""
+    spark = docs.sparkSession
+    items = columns(benchmark, item_id=item_col, text=item_text_col)
+    place = docs.columns.index(text_col)
+
+    def clean(docs: DataFrame, shared) -> DataFrame:
+        def run(batches):
+            known = Benchmark(shared.value, min_match)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for at in range(0, batch.num_rows, 256):
+                    for i, *_ in found_in(known, batch.column(place).slice(at, 256).to_pylist(), threshold):
+                        keep[at + i] = False
+                yield batch.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    total = block_count(items, block_words)
+    for k, rows in enumerate(benchmark_blocks(items, total)):
+        shared = spark.sparkContext.broadcast(rows)
+        docs = clean(docs, shared)
+        if k + 1 < total:
+            path = scratch_path(spark, "benchmark-clean")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+            shared.unpersist()
+    return docs

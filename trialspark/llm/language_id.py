@@ -8,7 +8,8 @@ probabilities, each window counting by its bytes; the score is the softmax of th
 Learning uses a bounded sample: for each language about ``per_lang`` labelled texts, those with the smallest
 hashes of each share, and at most ``windows_per_text`` windows of each. Applying covers all texts whole.
 Texts that are null or have no letter are ``und`` with score 0. Ties between languages go to the one
-first in the alphabet. With no labelled text every text is ``und``; with one language that one is given.
+first in the alphabet. With no labelled text every text is ``und``; with one language that one is given; if no window of the
+sample holds a letter nothing is learned and the first weights decide.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import columns, map_rows
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from trialspark.llm.common import columns
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -30,7 +34,11 @@ PER_LANG = 600  # rounded up to a multiple of SHARES
 SHARES = 64
 WINDOWS_PER_TEXT = 6
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numerals such as U+00BD
+
+def has_letter(text: str) -> bool:
+    """A code point of a category L, as ``\\p{L}`` in the JVM; the pattern only finds where to look."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text))
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -139,54 +147,58 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     x, y = [], []
     for r in rows:
         for p in r["pieces"]:
-            if LETTER.search(p):
+            if has_letter(p):
                 x.append(windows(p.encode("utf-8")[:WINDOW])[0])
                 y.append(langs.index(r["lang"]))
     model = ByteCnn(langs)
-    if len(langs) > 1:
+    if len(langs) > 1 and x:
         model.train(np.stack(x), np.array(y))
     return model
 
 
 def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, lang_pred, score`` for every row, from its text alone. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else vars(model))
+    return with_language(columns(docs, **{id_col: id_col, "text": text_col}), model, "text").select(id_col, "lang_pred", "score")
+
 
-    def work():
+def with_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All rows and columns of ``docs``, with the language and its score behind them. No shuffle, no join, so ids play no part."""
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else vars(model))
+    place = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+
+    def work(net, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        known = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
+        if known:
+            data = [texts[i].encode("utf-8") for i in known]
+            cut = [windows(d) for d in data]
+            logp = net.window_log_probs(np.concatenate(cut))
+            ends = np.cumsum([len(c) for c in cut])
+            weight = np.full(ends[-1], float(WINDOW))
+            weight[ends - 1] = [max(1, len(d) - WINDOW * (len(c) - 1)) for d, c in zip(data, cut)]
+            total = np.add.reduceat(logp * weight[:, None], np.concatenate(([0], ends[:-1])))
+            mean = total / np.array([[max(1, len(d))] for d in data])
+            best = total.argmax(1)
+            p = np.exp(mean - mean.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            for k, i in enumerate(known):
+                langs[i], scores[i] = net.langs[best[k]], float(p[k, best[k]])
+        return langs, scores
+
+    def run(batches):
         net = None
         if shared.value is not None:
             net = ByteCnn.__new__(ByteCnn)
             net.__dict__.update(shared.value)
-
-        def flush(texts: list[str | None]):
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if net is not None and t and LETTER.search(t)]
-            if known:
-                data = [texts[i].encode("utf-8") for i in known]
-                cut = [windows(d) for d in data]
-                logp = net.window_log_probs(np.concatenate(cut))
-                ends = np.cumsum([len(c) for c in cut])
-                weight = np.full(ends[-1], float(WINDOW))
-                weight[ends - 1] = [max(1, len(d) - WINDOW * (len(c) - 1)) for d, c in zip(data, cut)]
-                total = np.add.reduceat(logp * weight[:, None], np.concatenate(([0], ends[:-1])))
-                mean = total / np.array([[max(1, len(d))] for d in data])
-                best = total.argmax(1)
-                p = np.exp(mean - mean.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                for k, i in enumerate(known):
-                    langs[i], scores[i] = net.langs[best[k]], float(p[k, best[k]])
-            return langs, scores
-
-        def step(batch: pa.RecordBatch):
-            ids, texts = batch.column(0), batch.column(1)
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                langs, scores = flush(texts.slice(at, 64).to_pylist())
-                yield {id_col: ids.slice(at, 64), "lang_pred": langs, "score": scores}
-
-        return step
+                part = batch.slice(at, 64)
+                langs, scores = work(net, part.column(place).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(part.columns, arrow)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=arrow)
 
-    slim = columns(docs, **{id_col: id_col, "text": text_col})
-    return map_rows(slim, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, lang_pred string, score double", work)
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(id_col: Column) -> Column:

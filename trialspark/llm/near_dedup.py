@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trialspark.llm.common import columns, map_rows
 from trialspark.session import scratch_path
@@ -143,7 +143,7 @@ def blocks(docs: DataFrame, buckets: int, words: int) -> DataFrame:
             table = pa.table({"id": ids, "digest": pa.array(digests), "total": pa.array(totals, pa.int64())})
             with pa.ipc.new_stream(meta, table.schema) as w:
                 w.write_table(table)
-            home = number % buckets
+            home = int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(buckets))  # numbers of one task must not share a bucket
             out = [(home, number, 1, zstandard.ZstdCompressor(level=1).compress(meta.getvalue().to_pybytes()))]
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             sizes = np.diff(np.append(starts, len(h)))
@@ -463,7 +463,17 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is its class's smallest; an id with several texts stays if one of them does."""
-    classes = near_duplicate_classes(docs, id_col, text_col, **how)
-    gone = classes.groupBy(id_col).agg(F.min(F.when(F.col(id_col) == F.col("class_id"), 0).otherwise(1)).alias("gone")).filter("gone = 1").select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of ``docs`` whose id is its class's smallest.
+
+    Rows with one id are one document: they stay if one of their texts does. Rows without an id go by their text
+    and stand behind all others: a null row stays only if no document with an id is like it, and its repeats stay with it.
+    """
+    text_key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    if isinstance(docs.schema[id_col].dataType, StringType):
+        stand_in = F.concat(F.lit("\U0010ffff"), text_key)
+    else:
+        stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(text_key), F.lit(1 << 61))
+    keyed = docs.withColumn("_doc", F.coalesce(F.col(f"`{id_col}`"), stand_in))
+    classes = near_duplicate_classes(keyed, "_doc", text_col, **how)
+    gone = classes.groupBy("_doc").agg(F.min(F.when(F.col("_doc") == F.col("class_id"), 0).otherwise(1)).alias("gone")).filter("gone = 1").select("_doc")
+    return keyed.join(gone, "_doc", "left_anti").drop("_doc")

@@ -25,14 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import columns
-
-RUN = r"((?<=[=:\"'])[A-Za-z0-9_+/\-]{8,}={0,2}|[A-Za-z0-9_+/\-]{16,}={0,2})"
-WORDS_BEFORE = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer|private"
-#: Values behind something in the same word; in a word behind these; and texts that have either (or a run).
-VALUE = rf"(?<=[=:\"'`]|(?i:{WORDS_BEFORE})[^\w\s]{{1,3}})(?=([^\s\"'`]{{8,}}))"
-LEADS = rf"(?:[=:]>?|(?i:{WORDS_BEFORE})[^\w\s]*)$"
+from trialspark.session import frozen
+
+KEY = r"A-Za-z0-9_+/\-"
+#: A run starts where a stretch of key characters starts, so nothing is tried inside a word.
+RUN = rf"(?<![{KEY}])((?:(?<=[=:\"'])[{KEY}]{{8,}}+|[{KEY}]{{16,}}+)={{0,2}})"
+WORDS_BEFORE = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credential|auth|bearer|private)"
+#: Values behind something in the same word (the lead is used up, the value only looked at, so values may overlap); in a
+#: word behind these; and words that can have any of them.
+VALUE = rf"(?:[=:\"'`]|{WORDS_BEFORE}[^\w\s]{{1,3}})(?=([^\s\"'`]{{8,}}))"
+LEADS = rf"(?:[=:]>?|{WORDS_BEFORE}[^\w\s]*)$"
 FIRST = r"^[(\[{<]*(?=([^\s\"'`]{8,}))"
-ANY = rf"{RUN}|{VALUE}|(?:[=:]>?|(?i:{WORDS_BEFORE})[^\w\s]*)\s+[^\s\"'`]{{8}}"
+MAYBE = rf"[=:\"'`](?=[^\s\"'`]{{8}})|(?<![{KEY}])[{KEY}]{{16}}|{WORDS_BEFORE}[^\w\s]"
 MASK = "[secret]"
 DICTIONARY_WORDS = 5000
 PER_LABEL = 2000
@@ -42,33 +46,33 @@ FEATURES = ["length", "digits", "uppers", "lowers", "distinct_chars", "transitio
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """``id, text_key, path, word_no, run_no, candidate, before, after``: one row per place."""
+    """``id, text_key, path, word_no, run_no, candidate, before, after``: one row per place. A place takes its neighbours along
+    when it is cut out of the text, so no text or array of words travels with it."""
     wanted = {"id": id_col, "text": text_col} | ({"path": path_col} if path_col else {})
-    slim = columns(docs, **wanted).filter(F.col("text").rlike(ANY))
+    slim = columns(docs, **wanted)
     if not path_col:
         slim = slim.withColumn("path", F.lit(""))
-    words = slim.select("id", "path", F.md5(F.col("text").cast("binary")).alias("text_key"), F.split("text", r"\s+").alias("w"))
-    led = lambda i: F.coalesce(F.get("w", i - 1), F.lit("")).rlike(LEADS)
-    hits = F.filter(
-        F.transform("w", lambda x, i: F.when((F.length(x) >= 8) & (x.rlike(RUN) | x.rlike(VALUE) | (led(i) & x.rlike(FIRST))), i)), lambda i: i.isNotNull()
-    )
-    at = words.select("id", "path", "text_key", "w", F.explode(hits).alias("word_no"))
-    near = lambda k: F.coalesce(F.get("w", F.col("word_no") + k), F.lit(""))
-    placed = at.select(
-        "id", "path", "text_key", "word_no", near(0).alias("word"), near(-1).alias("lead"), F.concat_ws(" ", near(-2), near(-1)).alias("back"), near(1).alias("after")
+    words = slim.select("id", F.coalesce("path", F.lit("")).alias("path"), F.md5(F.col("text").cast("binary")).alias("text_key"), F.split("text", r"\s+").alias("w"))
+    near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    long = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.length(F.get("w", i)) >= 8)
+    hit = lambda i: near(i).rlike(MAYBE) | (near(i - 1).rlike(LEADS) & near(i).rlike(FIRST))
+    place = lambda i: F.struct(
+        i.alias("word_no"), near(i).alias("word"), near(i - 1).alias("lead"), F.concat_ws(" ", near(i - 2), near(i - 1)).alias("back"), near(i + 1).alias("after")
     )
+    placed = words.select("id", "path", "text_key", F.explode(F.transform(F.filter(long, hit), place)).alias("p")).select("id", "path", "text_key", "p.*")
     every = lambda pattern: F.regexp_extract_all("word", F.lit(pattern), 1)
     first = F.when(F.col("lead").rlike(LEADS), every(FIRST)).otherwise(F.array().cast("array<string>"))
-    values = F.array_except(F.concat(every(VALUE), first), every(RUN))  # runs keep their numbers and their repeats
-    runs = placed.select("*", F.posexplode(F.concat(every(RUN), values)).alias("run_no", "candidate"))
-    return runs.select(
+    found = placed.withColumn("runs", every(RUN)).withColumn("all", F.concat("runs", F.array_except(F.concat(every(VALUE), first), "runs")))
+    cut = found.select("*", F.posexplode("all").alias("run_no", "candidate"))  # runs keep their numbers and their repeats
+    nth = F.size(F.filter(F.slice("all", 1, F.col("run_no") + 1), lambda c: c == F.col("candidate")))
+    return cut.select(
         "id",
         "text_key",
-        F.coalesce("path", F.lit("")).alias("path"),
+        "path",
         "word_no",
         "run_no",
         "candidate",
-        F.concat("back", F.lit(" "), F.expr("substring_index(word, candidate, 1)")).alias("before"),
+        F.concat("back", F.lit(" "), F.call_function("substring_index", "word", "candidate", nth)).alias("before"),
         "after",
     )
 
@@ -171,7 +175,7 @@ def weak_labels(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", labelled: DataFrame | None = None, threshold: float = 0.5, n_words: int = DICTIONARY_WORDS, per_label: int = PER_LABEL) -> DataFrame:
     """Findings at ``threshold`` or more: ``id, text_key, word_no, run_no, candidate, score``."""
     table = dictionary_triples(docs, text_col, n_words)
-    found = candidates(docs, id_col, text_col, path_col)
+    found = frozen(candidates(docs, id_col, text_col, path_col))  # read for both labels and for the scores
     model = train(weak_labels(found) if labelled is None else labelled, table, per_label)
     return score(found, model, table).filter(F.col("score") >= threshold).select("id", "text_key", "word_no", "run_no", "candidate", "score")
 
