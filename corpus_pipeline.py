@@ -23,13 +23,12 @@ def with_length(df: DataFrame, docs: DataFrame) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: texts without a letter and texts whose language stays unclear go."""
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.predict(docs, model)
-    gone = found.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = language_id.with_language(docs, model, lang="_lang", score="_score")
+    return found.filter((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the document with the smallest id of each class stays."""
+    """MinHash near-dedup: the document with the smallest id of each class stays; one without an id only if no other is in its class."""
     return near_dedup.drop_near_duplicates(docs).select(*docs.columns)
 
 
