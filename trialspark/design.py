@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 
@@ -29,8 +30,13 @@ L18_ROWS: list[list[int]] = [
     [1, 2, 1, 0, 0, 2, 2, 1],
     [1, 2, 2, 1, 1, 0, 0, 2],
 ]
-# First row of the cyclic part of the 12-run array.
-L12_FIRST = "11011100010"
+# Fixed values, found by a search: first rows of the 3 x 3 circulant blocks of a difference scheme of 12 rows modulo 3.
+SCHEME_12: list[list[list[int]]] = [
+    [[0, 1, 0], [0, 0, 1], [1, 2, 2], [1, 2, 1]],
+    [[2, 1, 1], [2, 1, 2], [1, 2, 1], [1, 1, 2]],
+    [[0, 1, 0], [0, 2, 2], [0, 1, 0], [2, 1, 2]],
+    [[0, 0, 2], [1, 2, 1], [1, 2, 1], [2, 0, 2]],
+]
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], names: str) -> DataFrame:
@@ -46,8 +52,21 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], names: str) -> Data
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
 
 
+def _field(levels: int):
+    """Addition and multiplication of the field with 4 or a prime number of elements."""
+    if levels == 4:  # polynomials over two elements modulo x^2 + x + 1
+
+        def times(a: int, b: int) -> int:
+            c = (a if b & 1 else 0) ^ (2 * a if b & 2 else 0)
+            return c ^ 7 if c & 4 else c
+
+        return lambda a, b: a ^ b, times
+    return lambda a, b: (a + b) % levels, lambda a, b: a * b % levels
+
+
 def _linear(levels: int, k: int) -> list[list[int]]:
     """Full product of k base columns plus every combination with leading coefficient one."""
+    plus, times = _field(levels)
     forms = []
     for size in range(1, k + 1):
         for where in itertools.combinations(range(k), size):
@@ -57,11 +76,46 @@ def _linear(levels: int, k: int) -> list[list[int]]:
                     form[pos] = c
                 forms.append(form)
     return [
-        [sum(c * x for c, x in zip(form, point)) % levels for form in forms]
+        [functools.reduce(plus, (times(c, x) for c, x in zip(form, point))) for form in forms]
         for point in itertools.product(range(levels), repeat=k)
     ]
 
 
+def _quadratic_scheme(p: int) -> list[list[int]]:
+    """Difference scheme of 2p rows and columns modulo an odd prime p: any two rows differ by every value equally often.
+
+    The classical construction from quadratic forms, with a non-square n."""
+    quarter = pow(4, -1, p)
+    n = min(set(range(1, p)) - {x * x % p for x in range(p)})
+    over_n = pow(n, -1, p)
+    top = [[(i * j + quarter * i * i) % p for j in range(p)] + [(i * j + n * quarter * i * i) % p for j in range(p)] for i in range(p)]
+    low = [
+        [(i * j - j * j - quarter * i * i) % p for j in range(p)] + [over_n * (i * j - j * j - quarter * i * i) % p for j in range(p)]
+        for i in range(p)
+    ]
+    return top + low
+
+
+def _circulant_scheme() -> list[list[int]]:
+    return [[block[(j - i) % 3] for block in blocks for j in range(3)] for blocks in SCHEME_12 for i in range(3)]
+
+
+def _kronecker(a: list[list[int]], b: list[list[int]], p: int) -> list[list[int]]:
+    """Every row of a against every row of b, entries added; of two difference schemes it is one again."""
+    return [[(x + y) % p for x in r for y in s] for r in a for s in b]
+
+
+def _developed(scheme: list[list[int]], p: int, heads: list[list[int]]) -> list[list[int]]:
+    """Each row of a difference scheme with every value added to it, behind columns ``heads`` of the row's number."""
+    return [[*head, *[(x + g) % p for x in row]] for head, row in zip(heads, scheme) for g in range(p)]
+
+
+def _residue_array(p: int) -> list[list[int]]:
+    """Two-level array of p + 1 runs from the squares modulo p (p = 3 modulo 4)."""
+    squares = {x * x % p for x in range(1, p)}
+    return [[0] * p, *[[int((j - i) % p in squares or i == j) for j in range(p)] for i in range(p)]]
+
+
 def _binary_counting(k: int) -> list[list[int]]:
     """Two-level array whose column number, read in binary, names the base columns it adds."""
     return [
@@ -79,31 +133,16 @@ def orthogonal_array(name: str) -> tuple[list[list[int]], list[int]]:
     if name == "L8":
         return _binary_counting(3), [2] * 7
     if name == "L12":
-        first = [int(c) for c in L12_FIRST]
-        turned = [first[-s:] + first[:-s] if s else first for s in range(10)]
-        return [[0] * 11, *turned, [1] * 11], [2] * 11
+        return _residue_array(11), [2] * 11
     if name == "L18":
         return [list(r) for r in L18_ROWS], [2] + [3] * 7
     if name == "L36":
-        rows = []
-        for a, b, c, d in itertools.product((0, 1), (0, 1), range(3), range(3)):
-            two = [a, b, (a + b) % 2]
-            three = [c, d, (c + d) % 3, (c + 2 * d) % 3]
-            rows.append((two * 4)[:11] + [c, d] + three + three[2:] + three)
-        return rows, [2] * 11 + [3] * 12
+        return _developed(_circulant_scheme(), 3, _residue_array(11)), [2] * 11 + [3] * 12
     if name == "L50":
-        base = [(1, 0), (0, 1), (1, 1), (1, 2), (1, 3), (1, 4)]
-        shifted = base[:5]
-        rows = [
-            [a, *[(p * i + q * j) % 5 for p, q in base], *[(p * i + q * j + a) % 5 for p, q in shifted]]
-            for a in (0, 1)
-            for i, j in itertools.product(range(5), repeat=2)
-        ]
-        return rows, [2] + [5] * 11
+        return _developed(_quadratic_scheme(5), 5, [[r // 5, r % 5] for r in range(10)]), [2] + [5] * 11
     if name == "L54":
-        inner = _linear(3, 3)
-        rows = [[a, *r, *[(x + a) % 3 for x in r[:12]]] for a in (0, 1) for r in inner]
-        return rows, [2] + [3] * 25
+        scheme = _kronecker([[i * j % 3 for j in range(3)] for i in range(3)], _quadratic_scheme(3), 3)
+        return _developed(scheme, 3, L18_ROWS), [2] + [3] * 25
     raise KeyError(f"unknown orthogonal array {name}")
 
 

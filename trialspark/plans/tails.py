@@ -8,11 +8,11 @@ from __future__ import annotations
 PANELS = 1000
 
 
-def simpson(density: str, upper: str, panels: int = PANELS) -> str:
-    """Integral from 0 to ``upper`` of ``density``, an expression in ``v``."""
-    value = density.replace("{v}", f"(({upper}) * i / {panels})")
+def simpson(density: str, upper: str, panels: int = PANELS, lower: str = "0") -> str:
+    """Integral from ``lower`` to ``upper`` of ``density``, an expression in ``v``."""
+    value = density.replace("{v}", f"(({lower}) + (({upper}) - ({lower})) * i / {panels})")
     weight = f"CASE WHEN i = 0 OR i = {panels} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
-    return f"(list_sum(list_transform(range(0, {panels + 1}), lambda i: {weight} * {value})) * ({upper}) / {3 * panels})"
+    return f"(list_sum(list_transform(range(0, {panels + 1}), lambda i: {weight} * {value})) * (({upper}) - ({lower})) / {3 * panels})"
 
 
 def norm_sf(z: str) -> str:
@@ -21,9 +21,12 @@ def norm_sf(z: str) -> str:
 
 
 def f_sf(f: str, d1: str, d2: str) -> str:
-    """Upper tail of F: a beta integral with t = sin^2, smooth for any degrees of freedom."""
+    """Upper tail of F: a beta integral with t = sin^2. Its density falls like exp(-d2 x^2 / 2) from its peak on (or from the
+    upper end), so panels reach nine such widths down and stay fine for any degrees of freedom."""
     front = f"2 * exp(lgamma((({d1}) + ({d2})) / 2.0) - lgamma(({d1}) / 2.0) - lgamma(({d2}) / 2.0))"
-    inner = simpson(f"(sin({{v}}) ** (({d2}) - 1)) * (cos({{v}}) ** (({d1}) - 1))", f"atan(sqrt(({d2}) / (({d1}) * ({f}))))")
+    upper = f"atan(sqrt(({d2}) / (({d1}) * ({f}))))"
+    lower = f"greatest(0, least({upper}, pi() / 2 - atan(sqrt((({d1}) - 1.0) / ({d2})))) - 9 / sqrt(({d2}) + 0.0))"
+    inner = simpson(f"(sin({{v}}) ** (({d2}) - 1)) * (cos({{v}}) ** (({d1}) - 1))", upper, lower=lower)
     return f"CASE WHEN ({f}) <= 0 THEN 1.0 ELSE least(1.0, {front} * {inner}) END"
 
 
