@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from trialspark.functions import markdown as md
 from trialspark.functions import text as tx
 from trialspark.operators import corpus
+from trialspark.operators.budgets import budget_documents
 from trialspark.operators.monitor import top_per_group
 from trialspark.operators.ordered import ordinals, running
 from trialspark.session import frozen, scratch_path
@@ -627,7 +628,7 @@ def oracle_texts(relevant: DataFrame, docs: DataFrame) -> DataFrame:
     text = join("\n\n## ", "$rel_path", "\n", "$content")
     listed = relevant.where(~F.col("whole_corpus")).join(slim, ["source", "rel_path"])
     shared = slim.join(relevant.where("whole_corpus").select("source").distinct(), "source", "left_semi")
-    return listed.select(F.col("task_id").alias("text_id"), F.inline(F.array(piece(text, seq=F.col("pos"), path=F.col("rel_path"))))).unionByName(
+    return listed.select(F.col("task_id").alias("text_id"), F.inline(F.array(piece(text, a=F.lpad(F.col("pos").cast("string"), 20, "0"), path=F.col("rel_path"))))).unionByName(
         shared.select(corpus_text_id().alias("text_id"), F.inline(F.array(piece(text, seq=F.lit(0), path=F.col("rel_path")))))
     )
 
@@ -642,22 +643,30 @@ def oracle_text_ids(relevant: DataFrame) -> DataFrame:
 
 
 def length_matched(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """Documents in hash order, each taken if it still fits the corpus's token target.
+    """``source, target_tokens, place, rel_path, tokens``: for every distinct target of a corpus the documents in hash order, each
+    taken if it still fits what is left of the target. A null count of tokens is 0; a target of 0 or less takes nothing."""
+    keyed = docs.withColumn("_o", shuffle_key(seed))
+    return budget_documents(keyed, targets, ["_o", "rel_path"]).select("source", "target_tokens", "place", "rel_path", "tokens")
+
+
+def oracle_tokens(relevant: DataFrame, docs: DataFrame) -> DataFrame:
+    """``task_id, source, target_tokens``: tokens of a task's relevant documents, of its whole corpus if it names none."""
+    sizes = docs.select("source", "rel_path", F.coalesce("token_count", F.lit(0)).alias("tokens"))
+    corpus = sizes.groupBy("source").agg(F.sum("tokens").alias("all_tokens"))
+    named = relevant.join(sizes, ["source", "rel_path"], "left").groupBy("task_id", "source").agg(F.sum("tokens").alias("tokens"), F.max("whole_corpus").alias("whole"))
+    return named.join(corpus, "source", "left").select(
+        "task_id", "source", F.coalesce(F.when(F.col("whole"), F.col("all_tokens")).otherwise(F.col("tokens")), F.lit(0)).cast("long").alias("target_tokens")
+    )
 
-    Every round takes the longest prefix that fits for all corpora at once and
-    drops what can no longer fit, so no corpus is folded in one task.
-    """
-    left = docs.join(targets, "source").select(
-        "source", "rel_path", F.coalesce("token_count", F.lit(0)).alias("tokens"), shuffle_key(seed).alias("_o"), F.col("target_tokens").alias("_rem")
+
+def random_text_id() -> Column:
+    return F.concat(F.lit("random/"), F.col("source"), F.lit("/"), F.col("target_tokens").cast("string"))
+
+
+def length_matched_texts(wanted: DataFrame, docs: DataFrame, seed: int = 42) -> DataFrame:
+    """Pieces per text: the documents that a target takes, in hash order. Tasks of one corpus and target share a text."""
+    taken = length_matched(docs, wanted.select("source", "target_tokens"), seed)
+    text = join("\n\n## ", "$rel_path", "\n", "$content")
+    return taken.join(docs.select("source", "rel_path", "content"), ["source", "rel_path"]).select(
+        random_text_id().alias("text_id"), F.inline(F.array(piece(text, a=F.lpad(F.col("place").cast("string"), 20, "0"), path=F.col("rel_path"))))
     )
-    left = frozen(left.where(F.col("tokens") <= F.col("_rem")))
-    taken = []
-    while not left.isEmpty():
-        cum = frozen(running(left, ["source"], ["_o", "rel_path"], {"_cum": F.col("tokens")}))
-        fits = cum.where(F.col("_cum") <= F.col("_rem"))
-        taken.append(fits.select("source", "rel_path", "tokens", "_o"))
-        used = fits.groupBy("source").agg(F.max("_cum").alias("_used"))
-        rest = cum.where(F.col("_cum") > F.col("_rem")).join(used, "source", "left").na.fill(0, ["_used"])
-        rest = rest.select("source", "rel_path", "tokens", "_o", (F.col("_rem") - F.col("_used")).alias("_rem"))
-        left = frozen(rest.where(F.col("tokens") <= F.col("_rem")))
-    return _union(*taken) if taken else docs.limit(0).select("source", "rel_path", F.lit(0).cast("long").alias("tokens"), F.lit("").alias("_o"))

@@ -303,17 +303,21 @@ def _(spark, sf):
 
 @query(
     "idx03_length_matched_random",
-    """WITH RECURSIVE want AS (SELECT source, CAST(floor(sum(token_count) / 3) AS BIGINT) AS target FROM docs GROUP BY 1),
-o AS (SELECT source, rel_path, token_count AS tokens, row_number() OVER (PARTITION BY source ORDER BY md5('42/' || rel_path), rel_path) AS i FROM docs),
-take AS (SELECT source, target, target AS room, 0::BIGINT AS i, NULL::VARCHAR AS rel_path, NULL::BIGINT AS tokens, false AS taken FROM want
-UNION ALL SELECT t.source, target, CASE WHEN o.tokens <= room THEN room - o.tokens ELSE room END, o.i, o.rel_path, o.tokens, o.tokens <= room FROM take t JOIN o ON o.source = t.source AND o.i = t.i + 1)
-SELECT source, rel_path, tokens, target AS target_tokens FROM take WHERE taken""",
+    f"""WITH RECURSIVE {_RELEVANT}, corpus AS (SELECT source, sum(token_count) AS n FROM docs GROUP BY 1),
+want AS (SELECT rel.task_id, rel.source, CAST(coalesce(CASE WHEN bool_or(rel.rel_path IS NULL) THEN min(corpus.n) ELSE sum(d.token_count) END, 0) AS BIGINT) AS target
+  FROM rel JOIN corpus ON corpus.source = rel.source LEFT JOIN docs d ON d.source = rel.source AND d.rel_path = rel.rel_path GROUP BY ALL),
+o AS (SELECT source, rel_path, content, coalesce(token_count, 0) AS tokens, row_number() OVER (PARTITION BY source ORDER BY md5('42/' || rel_path), rel_path) AS i FROM docs),
+take AS (SELECT DISTINCT source, target, target AS room, 0::BIGINT AS i, false AS taken FROM want WHERE target > 0
+UNION ALL SELECT t.source, target, CASE WHEN o.tokens <= room THEN room - o.tokens ELSE room END, o.i, o.tokens <= room FROM take t JOIN o ON o.source = t.source AND o.i = t.i + 1)
+SELECT 'random/' || o.source || '/' || target AS text_id, CAST(NULL AS VARCHAR) AS task_id, CAST(0 AS BIGINT) AS page, string_agg('## ' || rel_path || chr(10) || content, chr(10) || chr(10) ORDER BY o.i) AS content
+FROM take JOIN o ON o.source = take.source AND o.i = take.i WHERE taken GROUP BY 1
+UNION ALL SELECT 'random/' || source || '/' || target, task_id, NULL::BIGINT, NULL FROM want""",
 )
 def _(spark, sf):
     d = v.docs(spark, sf)
-    targets = d.groupBy("source").agg((F.sum("token_count") / 3).cast("long").alias("target_tokens"))
-    taken = rd.length_matched(d, targets)
-    return taken.join(targets, "source").select("source", "rel_path", "tokens", "target_tokens")
+    wanted = rd.oracle_tokens(co.relevant_docs(doc_tasks(spark, sf), d), d)
+    texts = rd.pages(rd.length_matched_texts(wanted, d), ["text_id"], PAGE).drop("pieces")
+    return texts.unionByName(wanted.select("task_id", rd.random_text_id().alias("text_id")), allowMissingColumns=True)
 
 
 # ---- tiered index targets and listings -----------------------------------
