@@ -94,14 +94,19 @@ def run_feed(trials: DataFrame, run_id: str) -> DataFrame:
     return trials.where(F.col("run_id") == run_id)
 
 
-def stale_runs(heartbeats: DataFrame, limit_s: int = STALE_SECONDS) -> DataFrame:
+def stale_runs(heartbeats: DataFrame, limit_s: int = STALE_SECONDS, lateness: str | None = None) -> DataFrame:
     """A run goes stale when its beats stop for ``limit_s`` seconds: the end of a session window.
 
-    For complete mode: the last session of a run is reported like the others, and a late beat joins its
-    own. State: one row per session.
+    With ``lateness``, for append mode: a stale run is given once, when the newest beat of all is ``lateness`` past its end, and its state goes
+    then, so the state holds the runs of the last hours only. A beat that comes at most ``lateness`` late joins its
+    session; one that comes later belongs to a session that has been reported and changes nothing.
+
+    Without, for complete mode: every session is in the result, the last of a run and however late a beat comes. State: one
+    row per session, for streams that end.
     """
+    beats = heartbeats.withWatermark("ts", lateness) if lateness else heartbeats
     gap = F.session_window("ts", f"{limit_s} seconds")
-    return heartbeats.groupBy("run_id", gap).agg(
+    return beats.groupBy("run_id", gap).agg(
         F.max("ts").alias("last"), F.count(F.lit(1)).alias("beats")
     ).select("run_id", F.unix_micros("last").alias("heartbeat_us"), "beats", F.unix_micros("session_window.end").alias("stale_us"))
 
