@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trialspark.llm import decontaminate, language_id, near_dedup, queries, simhash, spelling, whitening
+from trialspark.llm import decontaminate, language_id, near_dedup, pii, queries, simhash, spelling, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -294,3 +294,27 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert model.langs == ["en"]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+# --- surrogates: forms of one entity, and forms that are used up ------------------------------------------------------
+
+
+def test_forms_of_an_entity_share_a_surrogate(spark):
+    texts = ["pay 4111 1111 1111 1111 or 4111111111111111 or 4111-1111-1111-1111.", "call +1 555 555 1234 or +1-555-555-1234!", "Ann@x.org and ann@X.org", "Mr Karl Weber, Mr. Weber, Herr WEBER, Mrs Karla Weber"]
+    got = [r.text for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").orderBy("doc_id").collect()]
+    cards = re.findall(r"\d[\d \-]{14,}\d", got[0])
+    assert len({re.sub(r"\D", "", c) for c in cards}) == 1 and [len(c) for c in cards] == [19, 16, 19] and pii.check_digit_ok(re.sub(r"\D", "", cards[0]))
+    numbers = re.findall(r"\+1[ \-]\d{3}[ \-]\d{3}[ \-]\d{4}", got[1])
+    assert len(numbers) == 2 and len({re.sub(r"\D", "", n) for n in numbers}) == 1
+    mails = got[2].split(" and ")
+    assert mails[0].lower() == mails[1].lower() and mails[0][0].isupper() and mails[1].split("@")[1][0].isupper() and mails[0] != "Ann@x.org"
+    names = re.fullmatch(r"Mr (\w+) (\w+), Mr\. (\w+), Herr (\w+), Mrs (\w+) (\w+)", got[3])
+    assert {names[2], names[3], names[4].capitalize(), names[6]} == {names[2]} and names[2] != "Weber" and names[4].isupper()
+    assert names[1] in pii.GIVEN["latin", "m"] and names[5] in pii.GIVEN["latin", "f"]
+
+
+def test_used_up_forms_get_wider(spark):
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.replace_entities(spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string"), b"k").collect()
+    new = {r.text for r in got}
+    assert len(new) == len(mails) and not new & set(mails) and all(re.fullmatch(r"[a-z]{2,}@[a-z]\.co", t) for t in new)

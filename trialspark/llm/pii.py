@@ -2,16 +2,19 @@
 
 Entities: e-mail addresses, IPv4 addresses, telephone numbers, payment card numbers (with a right check
 digit) and names behind a form of address. A surrogate is drawn by HMAC-SHA256 from a secret key, the kind,
-the entity and a try number, so the same entity is replaced alike everywhere (coreference). It keeps
+the entity's canonical form and a try number, so an entity is replaced alike everywhere and in all its forms
+(coreference): a card or number with other separators, a mail in other case, a surname behind other forms of
+address or with a given name. It is printed in the form of the place. It keeps
 
 * letters as letters of the same case and script, digits as digits, everything else as it is;
-* the last label of a mail domain, the country code of a telephone number, the first digit, the length and a
-  right check digit of a card, private IPv4 ranges as private;
+* the last label of a mail domain, the leading one (1, 7) or two digits of a number behind a +, the first digit and a
+  right check digit of a card, the lengths, private IPv4 ranges as private;
 * the gender of a name (from the form of address) and the number of its parts.
 
 Collision checks keep distinct entities distinct: a surrogate must differ from every entity found in the input and from
 every other surrogate of its kind; the entity that loses draws again with the next try number, until all are
-settled. Texts are null where they were null; texts without entities come back as they were; equal
+settled. From the fifth try on surrogates get longer (a private address moves to the largest private range), since a
+short form may have no free surrogate left. Texts are null where they were null; texts without entities come back as they were; equal
 texts (repeated rows too) get equal results; an empty table gives an empty one.
 """
 
@@ -163,44 +166,82 @@ def scramble(text: str, draw: Callable[[int], int]) -> str:
     return "".join(a[draw(len(a))] if c.isalnum() else c for c in text for a in (alphabet(c),))
 
 
+def digits_of(text: str) -> str:
+    return "".join(str(unicodedata.digit(c)) for c in text if c.isdigit())
+
+
+def canonical(kind: str, value: str) -> str:
+    """What forms of one entity have in common: folded mail, digits (with a leading +), numbers of an address, folded surname."""
+    if kind == "email":
+        return value.lower()
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
+    if kind == "name":
+        return value.split(" ")[-1].lower()
+    return ("+" if value.startswith("+") else "") + digits_of(value)
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
+    """The surrogate of a canonical form, canonical itself. Every fourth try is wider, so a form that is used up has room again."""
     draw = stream(key, kind, value, attempt)
+    wide = attempt // 4
+    some = lambda n: "".join(str(draw(10)) for _ in range(n))
     if kind == "email":
         head, _, last = value.rpartition(".")
-        return f"{scramble(head, draw)}.{last}"
+        local, _, domain = head.partition("@")
+        return f"{scramble(local, draw)}{scramble('x' * wide, draw)}@{scramble(domain, draw)}.{last}"
     if kind == "ip":
         parts = [int(x) for x in value.split(".")]
         keep = 1 if parts[0] in (10, 127) else 2 if tuple(parts[:2]) == (192, 168) or parts[0] == 172 and 16 <= parts[1] < 32 else 0
+        if keep == 2 and wide:  # the larger private range
+            parts, keep = [10, 0, 0, 0], 1
+        if wide >= 8:
+            keep = 0
         new = parts[:keep] + [draw(256) for _ in parts[keep:]]
         if not keep:
             new[0] = [x for x in range(1, 224) if x not in (10, 127, 172, 192)][draw(219)]
         return ".".join(map(str, new))
     if kind == "phone":
-        code = re.match(r"\+\d{1,3}(?=[ .\-(])", value)
-        head = code.group() if code else ""
-        return head + scramble(value[len(head) :], draw)
+        plus, digits = value[: value.startswith("+")], value.lstrip("+")
+        code = digits[: (1 if digits[:1] in "17" else 2) if plus else 0]
+        return plus + code + some(len(digits) - len(code) + wide)
     if kind == "card":
-        digits = re.sub(r"\D", "", value)
-        new = digits[0] + "".join(str(draw(10)) for _ in digits[1:-1])
-        new += next(c for c in "0123456789" if check_digit_ok(new + c))
-        it = iter(new)
-        return "".join(next(it) if c.isdigit() else c for c in value)
+        new = value[0] + some(min(CARD_DIGITS[1], len(value) + wide) - 2)
+        return new + next(c for c in "0123456789" if check_digit_ok(new + c))
+    script = "cyrillic" if re.search("[а-яА-Я]", value) else "latin"
+    return "".join(SYLLABLES[script][draw(16)] for _ in range(3 + wide))
+
+
+def cased(text: str, like: str) -> str:
+    return "".join(c.upper() if k < len(like) and like[k].isupper() else c for k, c in enumerate(text))
+
+
+def printed(key: bytes, kind: str, value: str, new: str) -> str:
+    """The surrogate ``new`` in the form of the place: case, separators, form of address. Given names are drawn by gender."""
+    if kind == "email":
+        local, _, domain = new.rpartition(".")[0].partition("@")
+        head, _, last = value.rpartition(".")
+        was_local, _, was_domain = head.partition("@")
+        return f"{cased(local, was_local)}@{cased(domain, was_domain)}.{last}"
+    if kind in ("card", "phone"):
+        left = list(new.lstrip("+"))
+        out = "".join(left.pop(0) if c.isdigit() else c for c in value)
+        return out + "".join(left)
+    if kind == "ip":
+        return new
     title, *names = value.split(" ")
     gender = TITLE_GENDER[title.rstrip(".")]
     out = [title]
-    for i, n in enumerate(names):
-        script = "cyrillic" if re.search("[а-яА-Я]", n) else "latin"
-        if i == 0 and len(names) > 1:
-            given = GIVEN[script, gender]
-            new = given[draw(len(given))]
-        else:
-            new = "".join(SYLLABLES[script][draw(16)] for _ in range(3 + attempt // 4)).capitalize()
-        out.append(new.upper() if n.isupper() and len(n) > 1 else new)
-    return " ".join(out)
+    for n in names[:-1]:
+        given = GIVEN["cyrillic" if re.search("[а-яА-Я]", n) else "latin", gender]
+        new_given = given[stream(key, "given", n.lower(), 0)(len(given))]
+        out.append(new_given.upper() if n.isupper() and len(n) > 1 else new_given)
+    last = names[-1]
+    return " ".join([*out, new.upper() if last.isupper() and len(last) > 1 else new.capitalize()])
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """``text_key, entities`` from ``text_key, text``; texts without entities give no row."""
+    """``text_key, entities`` (place, kind, canonical value) from ``text_key, text``; texts without entities give no row."""
 
     def work():
         def step(batch: pa.RecordBatch):
@@ -210,7 +251,7 @@ def detect(docs: DataFrame) -> DataFrame:
                     spans = find_entities(t) if t else []
                     if spans:
                         keys.append(k.as_py())
-                        found.append([{"start": s, "end": e, "kind": kind, "value": t[s:e]} for s, e, kind in spans])
+                        found.append([{"start": s, "end": e, "kind": kind, "value": canonical(kind, t[s:e])} for s, e, kind in spans])
             yield {"text_key": keys, "entities": found}
 
         return step
@@ -219,7 +260,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """``kind, value, surrogate`` for distinct ``kind, value``; rounds go on until no surrogate collides."""
+    """``kind, value, surrogate`` for distinct ``kind, value`` (canonical); rounds go on until no surrogate collides."""
 
     def drawn(df: DataFrame, attempt: int) -> DataFrame:
         def work():
@@ -256,7 +297,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     found = found.dropDuplicates(["text_key"])
     spans = found.select("text_key", F.explode("entities").alias("e")).select("text_key", "e.*")
     names = assign_surrogates(frozen(spans.select("kind", "value").distinct()), key)
-    named = spans.join(names, ["kind", "value"]).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "surrogate"))).alias("spans"))
+    named = spans.join(names, ["kind", "value"]).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("spans"))
     kind = slim.schema[id_col].dataType.simpleString()
 
     def work():
@@ -266,7 +307,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
                 for t, spans in zip(batch.column(1).slice(at, 256).to_pylist(), batch.column(2).slice(at, 256).to_pylist()):
                     done, parts = 0, []
                     for s in spans or ():
-                        parts += [t[done : s["start"]], s["surrogate"]]
+                        parts += [t[done : s["start"]], printed(key, s["kind"], t[s["start"] : s["end"]], s["surrogate"])]
                         done = s["end"]
                     out["text"].append(t if t is None else "".join(parts) + t[done:])
                     out["n_entities"].append(len(spans or ()))
