@@ -74,12 +74,12 @@ def timed(spark, parts, latest_first=False):
 @pytest.mark.parametrize("latest_first", [False, True])
 def test_every_row_counts_however_late(spark, parts, latest_first):
     base = parts[1].withColumn("ts", F.timestamp_micros("ts_us"))
-    rate = live.to_table(live.trial_rate(timed(spark, parts, latest_first)), scratch_path(spark, "t"), "update", ["start_us"])
-    assert rows(rate) == rows(live.trial_rate(base))
+    rate = live.trial_rate(timed(spark, parts, latest_first), scratch_path(spark, "t"))
+    assert rows(rate) == rows(base.groupBy(live.window_start("ts", 60).alias("start_us")).agg(t.n_rows().alias("trials")))
     stale = live.to_table(live.stale_runs(timed(spark, parts, latest_first)), scratch_path(spark, "t"), "complete")
     assert rows(stale) == rows(live.stale_runs(base))
     twice = timed(spark, parts, latest_first).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    once = live.to_table(live.dedupe(twice).select("trial_id"), scratch_path(spark, "t"))
+    once = live.first_arrivals(twice, scratch_path(spark, "t")).select("trial_id")
     assert rows(once) == rows(base.select("trial_id"))
     timed(spark, parts)
 
@@ -91,6 +91,8 @@ def test_stream_without_a_file(spark, parts):
     assert live.anomalies(empty, scratch_path(spark, "t"), 3.0).count() == 0
     assert live.burn_alerts(empty, scratch_path(spark, "t"), 0.1).count() == 0
     assert live.to_table(empty.select("trial_id"), scratch_path(spark, "t")).count() == 0
+    assert live.model_stats(empty, scratch_path(spark, "t")).count() == 0
+    assert live.first_arrivals(empty.withColumn("ts", F.timestamp_micros("ts_us")), scratch_path(spark, "t")).count() == 0
 
 
 def test_anomaly_case(spark):

@@ -25,12 +25,24 @@ def trials(spark, sf):
     return out.withColumn("ts", F.timestamp_micros("ts_us"))
 
 
+def in_batches(spark, rows, batches=4):
+    """``rows`` as a stream of ``batches`` micro-batches, each a share of all rows in no order of time."""
+    path = scratch_path(spark, "arriving")
+    rows.repartition(batches).write.parquet(path)
+    return live.event_stream(spark, path, rows.schema, files_per_batch=1)
+
+
+def batch_trials(spark, sf):
+    return v.trials(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))
+
+
 @query(
     "str01_stream_model_stats",
     f"SELECT model, count(*) AS trials, R(CAST(sum({_MONEY}) AS DOUBLE)) AS total_cost, R(CAST(sum({_MONEY}) AS DOUBLE) / count(*)) AS mean_cost FROM trials GROUP BY 1",
 )
 def _(spark, sf):
-    return live.to_table(live.model_stats(trials(spark, sf)), scratch_path(spark, "stats"), "complete")
+    arriving = in_batches(spark, v.trials(spark, sf).select("model", "cost"))
+    return live.model_stats(arriving, scratch_path(spark, "stats"))
 
 
 @query(
@@ -59,11 +71,11 @@ def _(spark, sf):
 
 @query("str05_stream_dedupe", "SELECT run_id, count(*) AS trials FROM trials GROUP BY 1")
 def _(spark, sf):
-    """Every third event arrives a second time in the same batch and is counted once."""
-    e = trials(spark, sf)
-    twice = e.withColumn("_copy", F.explode(F.when(F.col("trial_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    out = live.dedupe(twice.drop("_copy")).select("run_id", "trial_id")
-    got = live.to_table(out, scratch_path(spark, "dedupe"))
+    """Every third event arrives a second time, mostly in another micro-batch, and is counted once."""
+    e = batch_trials(spark, sf).select("run_id", "trial_id", "ts")
+    copies = F.explode(F.when(F.col("trial_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    arriving = in_batches(spark, e.withColumn("_copy", copies).drop("_copy"))
+    got = live.first_arrivals(arriving, scratch_path(spark, "dedupe"))
     return got.groupBy("run_id").agg(t.n_rows().alias("trials"))
 
 
@@ -89,7 +101,8 @@ def _(spark, sf):
     "SELECT ts_us // 60000000 * 60000000 AS start_us, count(*) AS trials FROM trials GROUP BY 1",
 )
 def _(spark, sf):
-    return live.to_table(live.trial_rate(trials(spark, sf)), scratch_path(spark, "rate"), "update", ["start_us"])
+    arriving = in_batches(spark, batch_trials(spark, sf).select("ts"))
+    return live.trial_rate(arriving, scratch_path(spark, "rate"))
 
 
 @query("str10_stream_score")

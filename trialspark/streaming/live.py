@@ -1,6 +1,6 @@
 """Live monitoring of trial events.
 
-Sums per model are built-in aggregates.  Alerts depend on the order of a
+Sums and counts are added up from what each micro-batch writes.  Alerts depend on the order of a
 model's trials; instead of walking each model in one stateful task, every
 micro-batch runs the batch operator, which cuts a busy model into slices, on
 top of the totals left by the batches before it.  Those totals are one row
@@ -11,10 +11,11 @@ from the same totals and rewrites the same results.
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trialspark.constants import BURN_WINDOW_SECONDS, STALE_SECONDS
 from trialspark.operators import monitor
@@ -22,6 +23,9 @@ from trialspark.session import scratch_path
 
 log = logging.getLogger(__name__)
 
+#: slot of events without a time
+NO_TIME = -(2**53)
+
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
@@ -64,30 +68,92 @@ def to_table(df: DataFrame, path: str, mode: str = "append", keys: list[str] | N
     return df.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
-def dedupe(events: DataFrame, key: str = "trial_id") -> DataFrame:
-    """A replayed event counts once, however late it comes.
+def first_arrivals(events: DataFrame, path: str, keys: Sequence[str] = ("trial_id",), ts: str = "ts", slot_s: int = 86_400) -> DataFrame:
+    """Each event once, however often and however late it is replayed; no row is dropped for its time.
 
-    No watermark, so no row is dropped for its time; the state holds the keys seen, spread over the
-    shuffle partitions. On a long stream keep it on disk (the RocksDB state store of the session).
+    A replay carries the key and the time of its event, so the keys seen are a stored table in partitions of ``slot_s``
+    seconds of event time, and a micro-batch reads only those slots that its rows fall into. The stream has no state: memory
+    grows with a micro-batch and its slots, not with the stream. Of copies within one batch any one stays. A null key equals a null
+    key; rows without a time have a slot of their own. Keys of a batch are stored under its number and only those of
+    earlier batches count, so a repeated batch gives the same keys again. Keys are written in ranges of (slot, key): a slot is
+    few files, and a busy one is shared by several tasks.
     """
-    return events.dropDuplicates([key])
+    spark, keys = events.sparkSession, list(keys)
+    slot = F.coalesce(F.floor(F.unix_micros(ts) / F.lit(slot_s * 1_000_000)), F.lit(NO_TIME)).cast("long")
+    marked = events.withColumn("_slot", slot)
+    key_schema = marked.select(*keys, "_slot").schema.add("_batch", "long")
+    spark.createDataFrame([], marked.schema).write.parquet(f"{path}/rows/_batch=-1")
+    spark.createDataFrame([], marked.select(*keys).schema).write.parquet(f"{path}/keys/_batch=-1/_slot={NO_TIME}")
 
+    def sink(batch: DataFrame, i: int) -> None:
+        once = batch.dropDuplicates([*keys, "_slot"]).persist()
+        slots = [r["_slot"] for r in once.select("_slot").distinct().collect()]  # one per slot of event time in the batch
+        seen = spark.read.schema(key_schema).parquet(f"{path}/keys").where((F.col("_batch") < i) & F.col("_slot").isin(slots))
+        seen = seen.select(F.col("_slot").alias("_s"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)])
+        same = [F.col("_slot") == F.col("_s"), *[F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]]
+        once.join(seen, same, "left_anti").write.mode("overwrite").parquet(f"{path}/rows/_batch={i}")
+        once.unpersist()
+        new = spark.read.schema(marked.schema).parquet(f"{path}/rows/_batch={i}").select(*keys, "_slot").repartitionByRange("_slot", *keys)
+        new.write.mode("overwrite").partitionBy("_slot").parquet(f"{path}/keys/_batch={i}")
+
+    run(marked, sink)
+    return spark.read.schema(marked.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows").select(*events.columns)
+
+
+def added_up(rows: DataFrame, path: str, keys: dict[str, Column], sums: dict[str, Column], fold: int = 64) -> DataFrame:
+    """Sums per key over a stream that may come in any order, without state.
+
+    A micro-batch writes its own sums under its number, so a repeat overwrites itself; every ``fold`` batches all sums so far are
+    folded into one table. The result adds the newest fold and the batches after it. Nothing is kept in
+    memory from batch to batch and no row is too late. ``sums`` are sums and counts of the rows of a batch.
+    """
+    spark = rows.sparkSession
+    part = lambda df: df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*[c.alias(n) for n, c in sums.items()])
+    schema = part(rows).schema
+    kinds = {f.name: f.dataType for f in schema}
+    numbered = StructType([*schema.fields, StructField("_batch", LongType())])
+    for folder in ("parts", "folds"):
+        spark.createDataFrame([], schema).write.parquet(f"{path}/{folder}/_batch=-1")
+
+    def total(upto: int) -> DataFrame:
+        """Sums of the batches up to ``upto``; a fold of that very batch does not count, it may be a broken one."""
+        folds = spark.read.schema(numbered).parquet(f"{path}/folds").where(F.col("_batch") < upto)
+        newest = folds.agg(F.max("_batch").alias("b")).first()["b"]
+        newest = -1 if newest is None else newest
+        parts = spark.read.schema(numbered).parquet(f"{path}/parts").where((F.col("_batch") > newest) & (F.col("_batch") <= upto))
+        both = folds.where(F.col("_batch") == newest).unionByName(parts)
+        return both.groupBy(*keys).agg(*[F.sum(n).cast(kinds[n]).alias(n) for n in sums])
+
+    last = [-1]
 
-# ---- built-in aggregates -------------------------------------------------
-def model_stats(trials: DataFrame) -> DataFrame:
-    """Running trials, cost and mean cost per model."""
-    cost = monitor.exact_cost()
-    return trials.groupBy("model").agg(
-        F.count(F.lit(1)).alias("trials"), F.sum(cost).cast("double").alias("total_cost"), (F.sum(cost) / F.count(F.lit(1))).cast("double").alias("mean_cost")
-    )
+    def sink(batch: DataFrame, i: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{path}/parts/_batch={i}")
+        if (i + 1) % fold == 0:
+            total(i).write.mode("overwrite").parquet(f"{path}/folds/_batch={i}")
+        last[0] = i
 
+    run(rows, sink)
+    return total(last[0])
 
-def trial_rate(trials: DataFrame, width: str = "1 minute") -> DataFrame:
-    """Trials per window, for update mode: open windows are reported, late rows change theirs. State: one count per window."""
-    w = F.window("ts", width)
-    return trials.groupBy(w).agg(F.count(F.lit(1)).alias("trials")).select(
-        F.unix_micros("window.start").alias("start_us"), "trials"
-    )
+
+# ---- sums ----------------------------------------------------------------
+def model_stats(trials: DataFrame, path: str) -> DataFrame:
+    """Trials, cost and mean cost per model, added up from micro-batches under ``path``; an unknown cost adds nothing."""
+    sums = {"trials": F.count(F.lit(1)), "spent": F.sum(monitor.exact_cost()).cast(monitor.MONEY)}
+    found = added_up(trials, path, {"model": F.col("model")}, sums)
+    return found.select("model", "trials", F.col("spent").cast("double").alias("total_cost"), (F.col("spent") / F.col("trials")).cast("double").alias("mean_cost"))
+
+
+def window_start(ts: str, width_s: int) -> Column:
+    """First microsecond of the window of ``width_s`` seconds that holds ``ts``."""
+    width = width_s * 1_000_000
+    return (F.floor(F.unix_micros(ts) / F.lit(width)) * width).cast("long")
+
+
+def trial_rate(trials: DataFrame, path: str, width_s: int = 60) -> DataFrame:
+    """Trials per window of ``width_s`` seconds of event time, added up from micro-batches under ``path``; rows without a time count nowhere."""
+    timed = trials.where(F.col("ts").isNotNull())
+    return added_up(timed, path, {"start_us": window_start("ts", width_s)}, {"trials": F.count(F.lit(1))})
 
 
 def run_feed(trials: DataFrame, run_id: str) -> DataFrame:
