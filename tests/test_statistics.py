@@ -212,3 +212,27 @@ def test_factorial_effects_and_lenth(spark):
     assert out.pse == pytest.approx(1.5 * 11.0)
     with pytest.raises(ValueError):
         doe.effect_signs(spark, [(1, "A", "x", 1)])
+
+
+def test_checking_sql_of_tails():
+    """The SQL twins of the tail functions, which compute them another way."""
+    import duckdb
+
+    from trialspark.functions import special as sp
+    from trialspark.plans import tails
+
+    def value(expression, **cols):
+        names = ", ".join(f"{v!r} AS {k}" if isinstance(v, int) else f"{v!r}::DOUBLE AS {k}" for k, v in cols.items())
+        return duckdb.sql(f"SELECT {expression} FROM (SELECT {names})").fetchone()[0]
+
+    for z in (-9.0, -3.3, -0.2, 0.0, 0.7, 5.0, 7.5):
+        assert abs(value(tails.norm_cdf("z"), z=z) - sp.norm_cdf(z)) < 1e-14
+    for p in (1e-6, 0.01, 0.5, 0.9, 0.99999):
+        assert abs(value(tails.norm_ppf("p"), p=p) - sp.norm_ppf_scalar(p)) < 1e-10
+    for d1, d2, nc in ((2, 30, 7.5), (6, 4000, 0.3), (6, 900, 40.0)):
+        c = value(tails.f_ppf("0.05", "d1", "d2"), d1=d1, d2=d2)
+        assert abs(c - sp.f_ppf(0.95, d1, d2)) < 1e-8
+        assert abs(value(tails.ncf_sf("c", "d1", "d2", "nc"), c=c, d1=d1, d2=d2, nc=nc) - sp.ncf_sf(c, d1, d2, nc)) < 1e-8
+    for q, k, df in ((0.3, 7, 3000), (3.4, 3, 20), (4.2, 7, 900)):
+        got = duckdb.sql(f"WITH e AS (SELECT 1 AS g, {q}::DOUBLE AS q, {k} AS k, {df} AS df), {tails.srange_sf('e', 'g')} SELECT p FROM sr").fetchone()[0]
+        assert abs(got - sp.srange_sf(q, k, df)) < 1e-9

@@ -145,7 +145,14 @@ def _(spark, sf):
     return st.tukey_hsd(v.trials(spark, sf), [], "variant_name", "score").drop("p_value", "significant")
 
 
-@query("stat07_tukey_hsd")
+@query(
+    "stat07_tukey_hsd",
+    f"""WITH {_ONEWAY.format(x='score', t='trials')},
+e AS (SELECT x.model, x.variant_name AS a, y.variant_name AS b, x.m - y.m AS md, abs(x.m - y.m) / sqrt(sw / (nt - k) / 2 * (1 / x.n + 1 / y.n)) AS q, k, nt - k AS df
+FROM o x JOIN o y ON x.model = y.model AND x.variant_name < y.variant_name JOIN ow ON ow.model = x.model),
+{tails.srange_sf('e', 'model, a, b')}
+SELECT e.model, e.a, e.b, R(md) AS mean_difference, R(q) AS q, R(p) AS p_value, p < 0.05 AS significant FROM e JOIN sr ON e.model = sr.model AND e.a = sr.a AND e.b = sr.b""",
+)
 def _(spark, sf):
     return st.tukey_hsd(v.trials(spark, sf), ["model"], "variant_name", "score")
 
@@ -172,7 +179,12 @@ def _(spark, sf):
     return st.levene(v.trials(spark, sf), ["model"], "variant_name", "score")
 
 
-@query("stat09_shapiro_wilk")
+@query(
+    "stat09_shapiro_wilk",
+    f"""WITH rs AS (SELECT model, trial_id, score - avg(score) OVER (PARTITION BY model, variant_name) AS residual FROM trials),
+{tails.shapiro('rs', 'model', 'residual', 'trial_id')}
+SELECT model, n, R(w) AS statistic, R(p) AS p_value FROM sw""",
+)
 def _(spark, sf):
     t = v.trials(spark, sf)
     means = t.groupBy("model", "variant_name").agg(F.avg("score").alias("m"))
@@ -180,7 +192,29 @@ def _(spark, sf):
     return st.shapiro_wilk(resid, ["model"], "residual", "trial_id")
 
 
-@query("stat10_achieved_power")
+def _power(n: str) -> str:
+    """Power with ``n`` rows per group as SQL over k and effect."""
+    d1, d2 = "(k - 1)", f"(k * ({n} - 1))"
+    return tails.ncf_sf("crit", d1, d2, f"(effect * effect * k * {n})")
+
+
+_AT = f"{tails.f_ppf('0.05', '(k - 1)', '(k * (size - 1))')} AS crit"
+
+
+@query(
+    "stat10_achieved_power",
+    f"""WITH RECURSIVE o AS (SELECT task_type, variant_name, count(*) AS n, avg(score) AS m, var_pop(score) * count(*) AS w FROM trials GROUP BY ALL),
+gm AS (SELECT task_type, sum(n * m) / sum(n) AS gm FROM o GROUP BY 1),
+ef AS (SELECT o.task_type, count(*) AS k, min(n) AS n, sqrt(sum(n * (m - gm) * (m - gm)) / sum(w)) AS effect FROM o JOIN gm ON o.task_type = gm.task_type GROUP BY 1),
+search AS (SELECT task_type, k, effect, 2::BIGINT AS lo, 10000::BIGINT AS hi FROM ef UNION ALL
+  SELECT task_type, k, effect, CASE WHEN pw >= 0.8 THEN lo ELSE size + 1 END, CASE WHEN pw >= 0.8 THEN size ELSE hi END
+  FROM (SELECT *, {_power('size')} AS pw FROM (SELECT *, {_AT} FROM (SELECT *, (lo + hi) // 2 AS size FROM search WHERE lo < hi)))),
+found AS (SELECT task_type, lo AS need FROM search WHERE lo >= hi),
+asked AS (SELECT ef.*, need, size FROM ef JOIN found ON ef.task_type = found.task_type, LATERAL (SELECT unnest([n, need]) AS size)),
+pw AS (SELECT *, {_power('size')} AS pw FROM (SELECT *, {_AT} FROM asked))
+SELECT task_type, k, any_value(n) AS n_per_group, R(any_value(effect)) AS effect_f, R(max(pw) FILTER (size = n)) AS power, R(any_value(need)) AS n_required,
+  max(pw) FILTER (size = need) >= 0.8 AS goal_reached FROM pw GROUP BY task_type, k""",
+)
 def _(spark, sf):
     return st.achieved_power(v.trials(spark, sf), ["task_type"], "variant_name", "score")
 
