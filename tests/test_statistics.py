@@ -223,7 +223,7 @@ def test_checking_sql_of_tails():
 
     def value(expression, **cols):
         names = ", ".join(f"{v!r} AS {k}" if isinstance(v, int) else f"{v!r}::DOUBLE AS {k}" for k, v in cols.items())
-        return duckdb.sql(f"SELECT {expression} FROM (SELECT {names})").fetchone()[0]
+        return duckdb.sql(f"SELECT {expression} FROM (SELECT {names})").fetchall()[0][0]
 
     for z in (-9.0, -3.3, -0.2, 0.0, 0.7, 5.0, 7.5):
         assert abs(value(tails.norm_cdf("z"), z=z) - sp.norm_cdf(z)) < 1e-14
@@ -234,5 +234,5 @@ def test_checking_sql_of_tails():
         assert abs(c - sp.f_ppf(0.95, d1, d2)) < 1e-8
         assert abs(value(tails.ncf_sf("c", "d1", "d2", "nc"), c=c, d1=d1, d2=d2, nc=nc) - sp.ncf_sf(c, d1, d2, nc)) < 1e-8
     for q, k, df in ((0.3, 7, 3000), (3.4, 3, 20), (4.2, 7, 900)):
-        got = duckdb.sql(f"WITH e AS (SELECT 1 AS g, {q}::DOUBLE AS q, {k} AS k, {df} AS df), {tails.srange_sf('e', 'g')} SELECT p FROM sr").fetchone()[0]
+        got = duckdb.sql(f"WITH e AS (SELECT 1 AS g, {q}::DOUBLE AS q, {k} AS k, {df} AS df), {tails.srange_sf('e', 'g')} SELECT p FROM sr").fetchall()[0][0]
         assert abs(got - sp.srange_sf(q, k, df)) < 1e-9

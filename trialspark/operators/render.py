@@ -509,6 +509,39 @@ def sizes(rendered: DataFrame, keys: Sequence[str] = ("source", "variant")) -> D
     return rendered.groupBy(*keys).agg(n.alias("n_chars"), F.floor(n / 4).alias("est_tokens"), F.count(F.lit(1)).alias("pages"))
 
 
+#: characters of a text that are hashed together
+DIGEST_BLOCK = 65_536
+
+
+def digests(rendered: DataFrame, keys: Sequence[str] = ("source", "variant"), block: int = DIGEST_BLOCK) -> DataFrame:
+    """Length, pages and one number per whole text, put together from its pages; no text is ever in one row.
+
+    A text is cut at every ``block`` characters, wherever its pages end; a block and its number give an MD5, and the first 48 bits of
+    all blocks add up, modulo 2^61. Equal texts have equal numbers however they are paged. Pages are written
+    once; offsets are running sums of their lengths, and a task holds one block of a text. An empty text has the number 0.
+    """
+    keys = list(keys)
+    spark = rendered.sparkSession
+    path = scratch_path(spark, "paged")
+    rendered.select(*keys, "page", "content").write.parquet(path)
+    stored = spark.read.schema(rendered.select(*keys, "page", "content").schema).parquet(path)
+    sized = stored.select(*keys, "page", F.length("content").cast("long").alias("_len"))
+    ends = running(sized, keys, ["page"], {"_end": F.col("_len")}).select(*keys, "page", "_len", (F.col("_end") - F.col("_len")).alias("_start"))
+    at, start = F.col("_block") * block, F.col("_start")
+    covered = F.sequence(F.floor(start / block), F.floor((start + F.col("_len") - 1) / block))
+    cut = (
+        stored.join(ends.where(F.col("_len") > 0), [*keys, "page"])
+        .select(*keys, "page", "content", "_start", F.explode(covered).alias("_block"))
+        .withColumn("_from", F.greatest(at - start, F.lit(0)))
+        .select(*keys, "page", "_block", F.substring("content", (F.col("_from") + 1).cast("int"), (at + block - start - F.col("_from")).cast("int")).alias("_text"))
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "_text"))), lambda x: x["_text"]), "")
+    blocks = cut.groupBy(*keys, "_block").agg(F.concat(F.col("_block").cast("string"), F.lit(":"), whole).alias("_t"))
+    number = F.conv(F.substring(F.md5(F.col("_t").cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    found = blocks.groupBy(*keys).agg((F.sum(number) % F.lit(2**61)).cast("long").alias("_n"))
+    return sizes(stored, keys).join(found, keys, "left").withColumn("digest", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
+
+
 def composite(docs: DataFrame, design: dict[str, Sequence[str]], page_chars: int = 1_000_000) -> DataFrame:
     """Component texts in axis order separated by a blank line, per named combination."""
     used = sorted({n for names in design.values() for n in names})

@@ -27,7 +27,7 @@ from trialspark.plans.corpus import (
     _paths,
     doc_tasks,
 )
-from trialspark.plans.registry import query
+from trialspark.plans.registry import ORACLES, query
 
 PAGE = 10_000_000
 P = "rel_path"
@@ -41,13 +41,19 @@ def flat(line, order="rel_path", sep=NL, where="", frm="prep"):
     return f"SELECT source, string_agg({line}, {sep} ORDER BY {order}) AS content FROM {frm} {where} GROUP BY source"
 
 
+#: variant -> its registered query
+CHECKED: dict[str, str] = {}
+
+
 def rendered(name, sql, ctes="", prep=True):
     """Register a variant; the checking SQL builds the whole text of each corpus at once."""
     key = rendered.key
     heads = [x for x in (_PREP if prep else "", ctes) if x]
     with_ = ("WITH " + ", ".join(heads) + " ") if heads else ""
 
-    @query(f"{key}_{name.replace('-', '_')}", f"{with_}SELECT source, '{name}' AS variant, CAST(0 AS BIGINT) AS page, content FROM ({sql})" if sql else None)
+    CHECKED[name] = f"{key}_{name.replace('-', '_')}"
+
+    @query(CHECKED[name], f"{with_}SELECT source, '{name}' AS variant, CAST(0 AS BIGINT) AS page, content FROM ({sql})" if sql else None)
     def _(spark, sf):
         return rd.render_variants(v.docs(spark, sf), [name], PAGE).drop("pieces")
 
@@ -56,6 +62,13 @@ def at(key):
     rendered.key = key
 
 
+def digest_sql(content):
+    """``operators.render.digests`` of a whole text."""
+    block = rd.DIGEST_BLOCK
+    part = f"md5(b || ':' || substr({content}, CAST(b * {block} + 1 AS BIGINT), {block}))[1:12]"
+    return f"CAST(coalesce(list_sum(list_transform(range(0, (length({content}) + {block - 1}) // {block}), lambda b: ('0x' || {part})::BIGINT)), 0) % {2**61} AS BIGINT)"
+
+
 at("idx01")
 rendered("no-index", "SELECT DISTINCT source, '' AS content FROM docs", prep=False)
 rendered("no-docs", flat(f"'- ' || {P} || ' (tier: ' || tier || ', section: ' || section || ')'"))
@@ -256,22 +269,27 @@ for _name, _tag in (
 @query(
     "idx00_render_variants",
     f"""WITH {_PREP}, a AS ({flat(_ENTRY)}), b AS ({flat(f"'- ' || {P}", frm='docs')}), c AS ({flat(f"'- ' || {P} || ' (' || tier || '): ' || bo")}),
-u AS (SELECT source, 'noise-0' AS variant, content FROM a UNION ALL SELECT source, 'metadata-path-only', content FROM b UNION ALL SELECT source, 'structure-flat', content FROM c)
-SELECT source, variant, CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(sum(length(content)) // 4 AS BIGINT) AS est_tokens, md5(string_agg(content, '')) AS digest FROM u GROUP BY ALL""",
+t AS (SELECT source, 'noise-0' AS variant, content FROM a UNION ALL SELECT source, 'metadata-path-only', content FROM b UNION ALL SELECT source, 'structure-flat', content FROM c)
+SELECT source, variant, CAST(length(content) AS BIGINT) AS n_chars, CAST(length(content) // 4 AS BIGINT) AS est_tokens, {digest_sql('content')} AS digest FROM t""",
 )
 def _(spark, sf):
     """Three variants in one pass, in pages small enough that every text has several."""
     r = rd.render_variants(v.docs(spark, sf), ["noise-0", "metadata-path-only", "structure-flat"], 1000)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "content"))), lambda x: x["content"]), "")
-    digest = r.groupBy("source", "variant").agg(F.md5(whole).alias("digest"))
-    return rd.sizes(r).drop("pages").join(digest, ["source", "variant"])
+    return rd.digests(r).drop("pages")
+
+
+EVERY = [n for n in rd.VARIANTS if not n.startswith("custom")]
 
 
 @query("idx00_all_variant_sizes")
 def _(spark, sf):
-    """Every registered variant of every corpus: sizes of the rendered texts."""
-    parts = rd.pieces(v.docs(spark, sf), [n for n in rd.VARIANTS if not n.startswith("custom")])
-    return parts.groupBy("source", "variant").agg(F.sum(F.length("text")).alias("n_chars"), F.count(F.lit(1)).alias("pieces"))
+    """Every registered variant of every corpus: sizes and digests of the rendered texts."""
+    return rd.digests(rd.render_variants(v.docs(spark, sf), EVERY)).drop("pages", "est_tokens")
+
+
+ORACLES["idx00_all_variant_sizes"] = " UNION ALL ".join(
+    f"SELECT source, variant, CAST(length(content) AS BIGINT) AS n_chars, {digest_sql('content')} AS digest FROM ({ORACLES[CHECKED[n]]})" for n in EVERY
+)
 
 
 @query(
