@@ -80,19 +80,67 @@ def test_json_or_words(spark):
         assert one(spark, tx.json_or_words(F.col("r")), r=raw) == want
 
 
-def test_fuzzy_against_brute_force():
-    rnd = random.Random(2)
-    for _ in range(500):
-        a = "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 7)))
-        b = "".join(rnd.choice("abcde ") for _ in range(rnd.randint(1, 20)))
-        p, q = fuzzy.plain(a), fuzzy.plain(b)
-        if len(p) > len(q):
-            p, q = q, p
-        m = len(p)
-        best = max((200 * fuzzy._lcs(p, q[max(i, 0) : i + m]) / (m + len(q[max(i, 0) : i + m])) for i in range(1 - m, len(q))), default=0) if p else 0
-        assert fuzzy.partial_hit(a, b, 80.0) == (best >= 80.0)
-    assert fuzzy.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100.0
-    assert fuzzy.token_set_ratio("", "x") == 0.0
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def _plain(text):
+    return "".join(c if c.isalnum() else " " for c in text.lower()).strip()
+
+
+def _stretch_found(needle, hay):
+    a, b = sorted((_plain(needle), _plain(hay)), key=len)
+    m = len(a)
+    stretches = {b[max(i, 0) : i + m] for i in range(1 - m, len(b))}
+    return m > 0 and any(200 * _common(a, s) >= 80 * (m + len(s)) for s in stretches)
+
+
+def _sets_alike(a, b):
+    left, right = set(_plain(a).split()), set(_plain(b).split())
+    if not left or not right:
+        return None
+    shared, x, y = (" ".join(sorted(w)) for w in (left & right, left - right, right - left))
+    pairs = [((shared + " " + x).strip(), (shared + " " + y).strip())]
+    if shared:
+        pairs += [(shared, (shared + " " + z).strip()) for z in (x, y)]
+    alike = max(200 * _common(p, q) / (len(p) + len(q)) for p, q in pairs)
+    return 0.9 if alike >= 85 else 0.7 if alike >= 70 else None
+
+
+def _texts(rnd, n):
+    """Pairs of unlike texts and of copies with edits, short ones and ones over several machine words."""
+    for _ in range(n):
+        letters = rnd.choice(["ab", "abcd", "abcde \u00e9-", "a\u00df\u6f22\U0001f600 b"])
+        size = rnd.choice([3, 7, 20, 70, 150])
+        draw = lambda k: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, k)))  # noqa: E731, B023
+        a = draw(size)
+        b = list(a) if rnd.random() < 0.6 else list(draw(2 * size))
+        for _ in range(len(b) // 6):
+            b[rnd.randrange(len(b))] = rnd.choice(letters)
+        yield a, draw(9) + "".join(b)
+
+
+def test_fuzzy_against_brute_force(spark):
+    pairs = [*_texts(random.Random(2), 300), ("", ""), ("needlf x", "y" * 2000 + " needle x"), ("fuzzy was a bear", "fuzzy fuzzy was a bear")]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    a, b = F.col("a"), F.col("b")
+    rows = df.select(
+        "a",
+        "b",
+        fuzzy.common_length(fuzzy.bit_masks(a), b).alias("common"),
+        fuzzy.partial_hit(fuzzy.plain(a), fuzzy.plain(b)).alias("found"),
+        fuzzy.close_match(a, b).alias("close"),
+    ).collect()
+    for r in rows:
+        assert (r.common, r.found, r.close) == (_common(r.a, r.b), _stretch_found(r.a, r.b), _sets_alike(r.a, r.b)), (r.a, r.b)
+    assert {True, False} == {r.found for r in rows} and {0.9, 0.7, None} == {r.close for r in rows}
+    assert one(spark, fuzzy.close_match(F.col("r"), F.lit(None).cast("string")), r="x") is None
 
 
 def test_markdown(spark):

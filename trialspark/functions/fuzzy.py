@@ -1,100 +1,182 @@
-"""Indel similarity helpers behind Arrow UDFs; callers null out rows that do not need them."""
+"""Indel similarity as column expressions, and the syntax check behind an Arrow UDF."""
 
 from __future__ import annotations
 
 import ast
 import re
 
-import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialspark.functions.text import let
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine word per text bit."""
-    if len(a) > len(b):
-        a, b = b, a
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        common = row & masks.get(ch, 0)
-        row = ((row + common) | (row - common)) & full
-    return len(a) - row.bit_count()
-
-
-def _similarity(lcs: int, total: int) -> float:
-    return 200.0 * lcs / total if total else 100.0
-
-
-def plain(text: str) -> str:
-    """Lower case with every non-alphanumeric turned into a space, trimmed."""
-    return "".join(c if c.isalnum() else " " for c in text.lower()).strip()
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """Similarity of two texts seen as sets of words, 0 to 100."""
-    left, right = set(plain(a).split()), set(plain(b).split())
-    if not left or not right:
-        return 0.0
-    shared, only_a, only_b = left & right, sorted(left - right), sorted(right - left)
-    if shared and not (only_a and only_b):
-        return 100.0
-    ta, tb, n = " ".join(only_a), " ".join(only_b), len(" ".join(shared))
-    gap = 1 if n else 0
-    with_a, with_b = n + gap + len(ta), n + gap + len(tb)
-    distance = len(ta) + len(tb) - 2 * _lcs(ta, tb)
-    scores = [100.0 * (1 - distance / (with_a + with_b))]
-    if n:
-        scores += [_similarity(n, n + with_a), _similarity(n, n + with_b)]
-    return max(scores)
-
-
-def partial_hit(needle: str, hay: str, cutoff: float) -> bool:
-    """Whether some stretch of the longer text is at least ``cutoff`` similar to the shorter."""
-    a, b = plain(needle), plain(hay)
-    if not a or not b:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    if a in b:
-        return True
-    m = len(a)
-    if m > 64:
-        stretches = {b[max(i, 0) : i + m] for i in range(1 - m, len(b))}
-        return any(_similarity(_lcs(a, s), m + len(s)) >= cutoff for s in stretches)
-    # all stretches at once: one 64-bit row per stretch, cut ends padded with unmatched zeros
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    pad = np.zeros(m - 1, dtype=np.uint64)
-    line = np.concatenate([pad, np.array([masks.get(c, 0) for c in b], dtype=np.uint64), pad])
-    grid = np.lib.stride_tricks.sliding_window_view(line, m)
-    full = np.uint64((1 << m) - 1)
-    row = np.full(len(grid), full, dtype=np.uint64)
-    for j in range(m):
-        common = row & grid[:, j]
-        row = ((row + common) | (row - common)) & full
-    lcs = m - np.bitwise_count(row).astype(float)
-    at = np.arange(len(grid))
-    length = np.minimum(np.minimum(at + 1, len(grid) - at), m)
-    return bool((200.0 * lcs >= cutoff * (m + length)).any())
+BITS = 62  # bits of a row in one long: a sum with carry stays below the sign
+BLOCK = 512  # starts that share one cut of a long text, since a substring is read from its start
+_FULL = (1 << BITS) - 1
 
 
-@F.pandas_udf(T.DoubleType())
-def close_match_udf(expected: pd.Series, response: pd.Series) -> pd.Series:
-    """.9 or .7 for word sets at least 85 or 70 similar, NULL below that and for NULL input."""
+def plain(text: Column) -> Column:
+    """Lower case with everything but letters and numbers turned into a space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", " "))
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
 
-    def score(a, b):
-        if a is None or b is None:
-            return None
-        similar = token_set_ratio(a, b)
-        return 0.9 if similar >= 85.0 else 0.7 if similar >= 70.0 else None
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
 
-    return pd.Series([score(a, b) for a, b in zip(expected, response)], dtype="float64")
+
+def bit_masks(text: Column) -> Column:
+    """Struct of the distinct letters of ``text``, per letter the bits of its places, and the bits of no letter."""
+
+    def of_letter(chars: Column, blocks: Column, letter: Column) -> Column:
+        places = F.filter(F.transform(chars, lambda c, i: F.when(c == letter, i)), lambda i: i.isNotNull())
+        bit = lambda i: F.call_function("shiftleft", _long(1), i % BITS)
+        return F.transform(
+            blocks,
+            lambda w: F.aggregate(
+                F.filter(places, lambda i: F.floor(i / BITS) == w), _long(0), lambda m, i: m.bitwiseOR(bit(i))
+            ),
+        )
+
+    def build(chars: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(chars) - 1) / BITS), F.lit(0)).cast("int"))
+        return let(
+            F.array_distinct(chars),
+            lambda letters: F.struct(
+                letters.alias("letters"),
+                F.transform(letters, lambda x: of_letter(chars, blocks, x)).alias("masks"),
+                F.transform(blocks, lambda _: _long(_FULL)).alias("clear"),
+            ),
+        )
+
+    return let(_characters(text), build)
+
+
+def common_length(masks: Column, other: Column) -> Column:
+    """Length of the longest common subsequence of the text behind ``masks`` and ``other``.
+
+    One bit per place of the masked text, 62 to a long, and a carry between
+    the longs, so a text of any length takes the same path.
+    """
+
+    def add(row: Column, mask: Column) -> Column:
+        zero = F.struct(_long(0).alias("carry"), F.array().cast("array<bigint>").alias("row"))
+
+        def block(state: Column, pair: Column) -> Column:
+            both = pair["row"].bitwiseAND(pair["mask"])
+            total = pair["row"] + both + state["carry"]
+            kept = total.bitwiseAND(_long(_FULL)).bitwiseOR(pair["row"] - both)
+            return F.struct(F.shiftright(total, BITS).alias("carry"), F.array_append(state["row"], kept).alias("row"))
+
+        pairs = F.zip_with(row, mask, lambda r, m: F.struct(r.alias("row"), m.alias("mask")))
+        return F.aggregate(pairs, zero, block, lambda state: state["row"])
+
+    def step(row: Column, place: Column) -> Column:
+        return add(row, F.get(masks["masks"], (place - 1).cast("int")))
+
+    # characters that the masked text does not have leave the row as it is
+    places = F.filter(F.transform(_characters(other), lambda c: F.array_position(masks["letters"], c)), lambda p: p > 0)
+    rows = F.aggregate(places, masks["clear"], step)
+    return F.aggregate(rows, F.lit(0), lambda n, r: n + BITS - F.bit_count(r))
+
+
+def close_match(expected: Column, response: Column) -> Column:
+    """.9 or .7 for word sets at least 85 or 70 similar, NULL below that and for NULL input.
+
+    Texts of too different lengths are settled by their lengths alone; only
+    the others walk through their characters.
+    """
+    words = lambda t: F.array_distinct(F.filter(F.split(plain(t), " "), lambda w: w != ""))
+    sides = F.struct(words(expected).alias("a"), words(response).alias("b"))
+
+    def rest(s: Column) -> Column:
+        only = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), " ")
+        shared = F.array_intersect(s["a"], s["b"])
+        left, right = only(s["a"], s["b"]), only(s["b"], s["a"])
+        shorter = F.length(left) <= F.length(right)
+        return F.struct(
+            F.when(shorter, left).otherwise(right).alias("short"),
+            F.when(shorter, right).otherwise(left).alias("long"),
+            F.length(F.array_join(shared, " ")).alias("n"),
+            ((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0)).alias("none"),
+        )
+
+    def judge(r: Column) -> Column:
+        short, long, n = F.length(r["short"]), F.length(r["long"]), r["n"]
+        total = short + long + 2 * F.when(n > 0, n + 1).otherwise(0)
+        alike = lambda lcs: 100.0 * (1.0 - (short + long - 2 * lcs) / total)
+        # the shared words against themselves with the shorter rest
+        start = F.when(n > 0, 200.0 * n / (2 * n + 1 + short)).otherwise(0.0)
+        best = (
+            F.when(r["none"], 0.0)
+            .when((n > 0) & (short == 0), 100.0)
+            .when(alike(short) < F.greatest(start, F.lit(70.0)), start)
+            .otherwise(F.greatest(start, alike(let(bit_masks(r["short"]), lambda m: common_length(m, r["long"])))))
+        )
+        return let(best, lambda x: F.when(x >= 85.0, 0.9).when(x >= 70.0, 0.7))
+
+    known = expected.isNotNull() & response.isNotNull()
+    return F.when(known, let(sides, lambda s: let(rest(s), judge)))
+
+
+def partial_hit(needle: Column, hay: Column, cutoff: float = 80.0) -> Column:
+    """Whether some stretch of the longer text is at least ``cutoff`` similar to the shorter; both :func:`plain`.
+
+    A stretch is as long as the shorter text, or cut at an end of the longer
+    one. Edit distance is never above the indel distance: one distance to a
+    run of twice the length rules out all whole stretches inside the run,
+    the distance to a stretch most others, and the common subsequence
+    decides what is left.
+    """
+    swap = F.length(needle) > F.length(hay)
+    row = F.struct(
+        F.when(swap, hay).otherwise(needle).alias("a"),
+        F.when(swap, needle).otherwise(hay).alias("b"),
+        F.least(F.length(needle), F.length(hay)).alias("m"),
+        F.greatest(F.length(needle), F.length(hay)).alias("n"),
+    )
+    wanted = lambda both: F.ceil(cutoff * both / 200.0).cast("int")
+    within = lambda a, s, edits: F.call_function("levenshtein", a, s, edits) >= 0
+
+    def near(masks: Column, a: Column, m: Column, s: Column) -> Column:
+        both = m + F.length(s)
+        least = wanted(both)
+        return (least <= F.length(s)) & within(a, s, both - 2 * least) & (common_length(masks, s) >= least)
+
+    def in_run(r: Column, masks: Column, run: Column) -> Column:
+        a, m = r["a"], r["m"]
+        cut = F.length(run) < 2 * m
+        walk = F.exists(
+            F.sequence(F.lit(1), F.least(m + 1, F.length(run))),
+            lambda i: let(run.substr(i, m), lambda s: near(masks, a, m, s)),
+        )
+        return (cut | within(a, run, 3 * m - 2 * wanted(2 * m))) & walk
+
+    def in_block(r: Column, masks: Column, at: Column) -> Column:
+        m = r["m"]
+        starts = F.sequence(F.lit(1), F.least(F.lit(BLOCK), r["n"] - at), m + 1)
+        return let(
+            r["b"].substr(at + 1, 2 * m + BLOCK),
+            lambda part: F.exists(starts, lambda i: let(part.substr(i, 2 * m), lambda run: in_run(r, masks, run))),
+        )
+
+    def search(r: Column) -> Column:
+        m = r["m"]
+        heads = F.sequence(F.ceil(cutoff * m / (200.0 - cutoff)).cast("int"), m - 1)
+        starts = F.sequence(F.lit(0), r["n"] - 1, F.lit(BLOCK))
+        walk = let(
+            bit_masks(r["a"]),
+            lambda masks: F.exists(heads, lambda n: let(F.left(r["b"], n), lambda s: near(masks, r["a"], m, s)))
+            | F.exists(starts, lambda at: in_block(r, masks, at)),
+        )
+        return F.when(m == 0, False).when(F.contains(r["b"], r["a"]), True).otherwise(walk)
+
+    return let(row, search)
 
 
 def pattern_found(pattern: str, text: str) -> bool:
@@ -129,15 +211,3 @@ def code_score_udf(tests: pd.Series, forbidden: pd.Series, response: pd.Series)
         return min(1.0, 0.7 * found + 0.2 * (1.0 - broken) + (0.1 if parses(text) else 0.0))
 
     return pd.Series([score(*r) for r in zip(tests, forbidden, response)], dtype="float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def fuzzy_shares_udf(keyword_lists: pd.Series, response: pd.Series) -> pd.Series:
-    """Sum over keyword lists of the share that has a stretch of the response at least 80 similar."""
-
-    def total(lists, text):
-        if lists is None or text is None:
-            return None
-        return sum(sum(partial_hit(w, text, 80.0) for w in ws) / len(ws) for ws in lists if len(ws))
-
-    return pd.Series([total(k, r) for k, r in zip(keyword_lists, response)], dtype="float64")

@@ -74,8 +74,7 @@ def score_fact(response: Column, answer: Column, aliases: Column) -> Column:
     low = _low(response)
     hit = F.contains(low, _low(answer)) | F.exists(aliases, lambda a: F.contains(low, _low(a)))
     missed = (F.coalesce(answer, F.lit("")) != "") & ~hit
-    # the UDF gives the score of a close match and NULL otherwise, and appears once in the plan
-    close = fuzzy.close_match_udf(F.when(missed, answer), F.when(missed, response))
+    close = F.when(missed, fuzzy.close_match(answer, response))
     return F.coalesce(close, score_answer(response, answer, aliases))
 
 
@@ -155,18 +154,19 @@ def score_negative(response: Column) -> Column:
 
 def score_compositional(response: Column, answers: Column) -> Column:
     """Mean over non-empty sub-answers: 1 if contained, else share of fuzzily found keywords."""
-    low = _low(response)
     wanted = F.filter(F.transform(answers, _low), lambda a: a != "")
-    missed = F.filter(wanted, lambda a: ~F.contains(low, a))
-    # only the keywords of missed sub-answers travel to Python, with the text, once per response
-    some = F.size(missed) > 0
-    fuzzy_sum = fuzzy.fuzzy_shares_udf(
-        F.when(some, F.transform(missed, extract_keywords)), F.when(some, low)
-    )
-    exact = F.size(wanted) - F.size(missed)
-    return F.when(_size(wanted) == 0, 1.0).otherwise(
-        (exact + F.coalesce(fuzzy_sum, F.lit(0.0))) / F.size(wanted)
-    )
+
+    def share(answer: Column, low: Column, hay: Column) -> Column:
+        near = lambda w: let(fuzzy.plain(w), lambda n: fuzzy.partial_hit(n, hay))
+        fuzzily = let(extract_keywords(answer), lambda k: ratio(F.size(F.filter(k, near)), F.size(k)))
+        return F.when(F.contains(low, answer), 1.0).otherwise(fuzzily)
+
+    def mean(r: Column) -> Column:
+        total = F.aggregate(r["wanted"], F.lit(0.0), lambda t, a: t + share(a, r["low"], r["hay"]))
+        return F.when(_size(r["wanted"]) == 0, 1.0).otherwise(total / F.size(r["wanted"]))
+
+    row = F.struct(wanted.alias("wanted"), _low(response).alias("low"), fuzzy.plain(response).alias("hay"))
+    return let(row, mean)
 
 
 def score_disambiguation(response: Column, interpretations: Column, expected: Column) -> Column:
@@ -215,7 +215,7 @@ SCORERS: dict[str, Callable[[Callable[[str], Column]], Column]] = {
         c("response"), c("expected_answer"), c("answer_aliases"), c("token_budget")
     ),
 }
-_PYTHON_TYPES = {"fact_extraction", "code_generation", "compositional"}
+_PYTHON_TYPES = {"code_generation"}
 
 
 def register_scorer(task_type: str, fn: Callable[[Callable[[str], Column]], Column]) -> None:

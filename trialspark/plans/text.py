@@ -92,7 +92,31 @@ def _(spark, sf):
 
 _IN = f"(contains({LOW}, lower(expected_answer)) OR len(list_filter(answer_aliases, lambda a: contains({LOW}, lower(a)))) > 0)"
 _ANSWER = f"CASE WHEN expected_answer = '' THEN 0.0 WHEN {_IN} THEN 1.0 ELSE {cov(kw('expected_answer'))} END"
-scored("txt04_score_fact", None, "fact_extraction")
+# Common subsequences in DuckDB: one bit per character of the shorter text in a HUGEINT, which holds 126 of them.
+_PLAIN = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'))"
+_SETS = "list_distinct(list_filter(string_split({}, ' '), lambda w: w <> ''))"
+_BITS = "coalesce(list_sum(list_transform(range(length(a)), lambda i: CASE WHEN substring(a, (i + 1)::BIGINT, 1) = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END)), 0)::HUGEINT"
+_LCS = f"""(CASE WHEN length(a) > 126 THEN error('over 126 characters') ELSE length(a) - bit_count(list_reduce(
+  list_transform(list_filter(string_split(b, ''), lambda c: contains(a, c)), lambda c: {_BITS}),
+  lambda r, m: ((r + (r & m)) | (r - (r & m))) & ((1::HUGEINT << length(a)::INT) - 1), (1::HUGEINT << length(a)::INT) - 1)) END)"""
+_CLOSE = f"""fa AS (SELECT case_id, {_SETS.format(_PLAIN.format('expected_answer'))} AS x, {_SETS.format(_PLAIN.format('response'))} AS y FROM cases WHERE expected_answer <> '' AND NOT {_IN}),
+fb AS (SELECT case_id, len(x) > 0 AND len(y) > 0 AS filled, length(array_to_string(list_intersect(x, y), ' ')) AS n,
+  array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS p, array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS q FROM fa),
+fc AS (SELECT case_id, filled, n, CASE WHEN length(p) <= length(q) THEN p ELSE q END AS a, CASE WHEN length(p) <= length(q) THEN q ELSE p END AS b FROM fb),
+fd AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 ELSE {_LCS} END AS l, length(a) + length(b) + 2 * (CASE WHEN n > 0 THEN n + 1 ELSE 0 END) AS whole FROM fc),
+fe AS (SELECT case_id, CASE WHEN NOT filled THEN 0 WHEN n > 0 AND a = '' THEN 100 ELSE greatest(100 * (1 - (length(a) + length(b) - 2 * l)::DOUBLE / whole),
+  CASE WHEN n > 0 THEN 200 * n::DOUBLE / (2 * n + 1 + length(a)) ELSE 0 END) END AS alike FROM fd)"""
+
+
+@query(
+    "txt04_score_fact",
+    f"""WITH {_CLOSE} SELECT c.case_id, R(CASE WHEN alike >= 85 THEN 0.9 WHEN alike >= 70 THEN 0.7 ELSE {_ANSWER} END) AS score
+FROM cases c LEFT JOIN fe ON fe.case_id = c.case_id""",
+)
+def _(spark, sf):
+    return v.cases(spark, sf).select("case_id", s.SCORERS["fact_extraction"](F.col).alias("score"))
+
+
 scored("txt05_score_code", None, "code_generation")
 
 
@@ -173,7 +197,28 @@ def _(spark, sf):
 
 _NEG = f"CASE WHEN {anyof(fx.FIRM_REFUSALS)} THEN 1.0 WHEN {anyof(fx.HEDGES)} THEN 0.7 WHEN {anyof(fx.DISCLAIMERS)} THEN 0.3 ELSE 0.0 END"
 scored("txt10_score_negative", _NEG, "negative")
-scored("txt11_score_compositional", None, "compositional")
+# every stretch of the response against every keyword of a sub-answer that it misses
+_COMPOSED = f"""pa AS (SELECT case_id, response, {_PLAIN.format('response')} AS hay, unnest(list_filter(list_transform(sub_answers, lambda w: lower(w)), lambda w: w <> '')) AS answer FROM cases),
+pb AS (SELECT case_id, hay, answer, contains({LOW}, answer) AS exact, {kw('answer')} AS ks FROM pa),
+pc AS (SELECT DISTINCT case_id, hay, w, {_PLAIN.format('w')} AS needle FROM (SELECT case_id, hay, unnest(ks) AS w FROM pb WHERE NOT exact)),
+pd AS (SELECT case_id, w, CASE WHEN length(needle) <= length(hay) THEN needle ELSE hay END AS a, CASE WHEN length(needle) <= length(hay) THEN hay ELSE needle END AS long FROM pc),
+pe AS (SELECT case_id, w, a, long, unnest(range(1 - length(a), length(long))) AS i FROM pd WHERE a <> '' AND NOT contains(long, a)),
+pf AS (SELECT DISTINCT case_id, w, a, substring(long, greatest(i, 0) + 1, length(a) + least(i, 0)) AS b FROM pe),
+pg AS (SELECT DISTINCT case_id, w FROM pf WHERE 200 * {_LCS} >= 80 * (length(a) + length(b))
+  UNION SELECT case_id, w FROM pd WHERE a <> '' AND contains(long, a)),
+ph AS (SELECT case_id, list(w) AS near FROM pg GROUP BY case_id),
+pi AS (SELECT pb.case_id, avg(CASE WHEN exact THEN 1.0 WHEN len(ks) = 0 THEN 0.0 ELSE len(list_filter(ks, lambda k: coalesce(list_contains(near, k), false))) / len(ks) END) AS composed
+  FROM pb LEFT JOIN ph ON ph.case_id = pb.case_id GROUP BY pb.case_id)"""
+
+
+@query(
+    "txt11_score_compositional",
+    f"WITH {_COMPOSED} SELECT c.case_id, R(coalesce(composed, 1.0)) AS score FROM cases c LEFT JOIN pi ON pi.case_id = c.case_id",
+)
+def _(spark, sf):
+    return v.cases(spark, sf).select("case_id", s.SCORERS["compositional"](F.col).alias("score"))
+
+
 _MINE = "list_filter(interpretations, lambda i: i.label = expected_interpretation)[1].answer"
 _AMB = f"(CASE WHEN {anyof(fx.AMBIGUITY)} THEN 0.1 ELSE 0.0 END)"
 _LABEL = f"(CASE WHEN contains({LOW}, expected_interpretation) OR contains({LOW}, replace(expected_interpretation, '_', ' ')) THEN 0.5 ELSE 0.0 END)"
