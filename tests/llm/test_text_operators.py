@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -76,7 +77,26 @@ def test_trie_counts_equal_plain_viterbi():
         return best[-1][1]
 
     words = ["▁" + "".join(random.Random(i).choices("abc", k=i % 9)) for i in range(200)]
-    assert token_counts.make_counter(model, 40)(set(words)) == {w: plain(w) for w in words}
+    words += ["▁" + "".join(random.Random(i).choices("abc", k=60 + i)) for i in range(80)]
+    for max_nodes in (2, 40, 100_000):
+        assert token_counts.make_counter(model, max_nodes)(set(words)) == {w: plain(w) for w in words}
+
+
+def test_long_pre_tokens_take_no_nodes():
+    model = pieces.load_model()
+    counts = token_counts.make_counter(model)
+    run = "▁" + "abé漢xyzzy" * 20_000
+    tracemalloc.start()
+    n = counts({run})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
+    assert n == {run: len(pieces.make_encoder(model)(run[1:]))}
+
+
+def test_token_counts_of_no_documents(spark, odd_docs):
+    assert token_counts.token_counts(odd_docs.limit(0)).collect() == []
+    assert pieces.encoded_digests(odd_docs.limit(0)).collect() == []
 
 
 def shingle_similarity(docs):
