@@ -75,6 +75,23 @@ def test_compositional(spark):
     assert one(spark, c, r="x", a=[""]) == 1.0
 
 
+def test_code_patterns(spark):
+    rows = [
+        ("x = 1\nprint(x)", "x = \\d\n\n  \nPRINT", ["import os", "[", "("], 1.0, 1 / 3, True),
+        ("```python\nfoo(\n```", "foo", [], 1.0, 0.0, False),
+        ("STRASSE \u017f", "s\nz", ["K|z", "e"], 0.5, 0.5, False),
+        ("", "a.b\n(", None, 0.0, 0.0, True),
+        ("ok", None, ["o"], 1.0, 1.0, True),
+        (None, "a", ["b"], None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "r string, t string, f array<string>, found double, broken double, valid boolean")
+    args = [F.col(c) for c in ("r", "t", "f")]
+    for r in df.select("*", s.code_parts(*args).alias("p"), s.score_code(*args).alias("score")).collect():
+        assert (r.p.found, r.p.broken, r.p.valid) == (r.found, pytest.approx(r.broken) if r.r is not None else None, r.valid)
+        want = None if r.r is None else min(1.0, 0.7 * r.found + 0.2 * (1 - r.broken) + 0.1 * r.valid)
+        assert r.score == (None if want is None else pytest.approx(want))
+
+
 def test_json_or_words(spark):
     for raw, want in (('["a", "b c"]', ["a", "b c"]), ('"one"', ["one"]), ("12", ["12"]), ("plain words", ["plain", "words"]), (" ", [])):
         assert one(spark, tx.json_or_words(F.col("r")), r=raw) == want

@@ -197,17 +197,12 @@ def parses(response: str) -> bool:
     return True
 
 
-@F.pandas_udf(T.DoubleType())
-def code_score_udf(tests: pd.Series, forbidden: pd.Series, response: pd.Series) -> pd.Series:
-    """Dynamic regexes and the syntax check have no column form."""
-
-    def score(test, banned, text):
-        if text is None:
-            return None
-        wanted = [p for p in (test or "").split("\n") if p.strip()]
-        found = sum(pattern_found(p, text) for p in wanted) / len(wanted) if wanted else 1.0
-        banned = [] if banned is None else list(banned)
-        broken = sum(pattern_found(p, text) for p in banned) / len(banned) if banned else 0.0
-        return min(1.0, 0.7 * found + 0.2 * (1.0 - broken) + (0.1 if parses(text) else 0.0))
-
-    return pd.Series([score(*r) for r in zip(tests, forbidden, response)], dtype="float64")
+@F.pandas_udf(T.StructType().add("found", T.IntegerType()).add("broken", T.IntegerType()).add("valid", T.BooleanType()))
+def code_udf(wanted: pd.Series, banned: pd.Series, response: pd.Series) -> pd.DataFrame:
+    """Number of found patterns of both lists and the syntax check; all NULL for a NULL response."""
+    hits = lambda patterns, text: sum(pattern_found(p, text) for p in patterns) if patterns is not None else 0
+    rows = [
+        (None, None, None) if text is None else (hits(w, text), hits(b, text), parses(text))
+        for w, b, text in zip(wanted, banned, response)
+    ]
+    return pd.DataFrame(rows, columns=["found", "broken", "valid"])

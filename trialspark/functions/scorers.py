@@ -78,8 +78,33 @@ def score_fact(response: Column, answer: Column, aliases: Column) -> Column:
     return F.coalesce(close, score_answer(response, answer, aliases))
 
 
+def code_parts(response: Column, test: Column, forbidden: Column) -> Column:
+    """Struct of the found share of the wanted patterns, that of the forbidden ones, and whether the code is valid.
+
+    Patterns without special characters are matched as columns; Python gets
+    the others (whose dialect is its own) and the text for the syntax check.
+    """
+    special = lambda p: p.rlike(r"[\\.^$*+?{}\[\]|()]")
+    wanted = F.filter(F.split(test, "\n"), lambda p: p.rlike(r"(?U)\S"))
+    found = lambda patterns: F.size(
+        F.filter(patterns, lambda p: ~special(p) & F.regexp_like(response, F.concat(F.lit("(?iu)"), p)))
+    )
+    odd = fuzzy.code_udf(F.filter(wanted, special), F.filter(forbidden, special), response)
+    share = lambda n, patterns, none: F.when(_size(patterns) > 0, n / F.size(patterns)).otherwise(none)
+    return let(
+        odd,
+        lambda o: F.struct(
+            share(found(wanted) + o["found"], wanted, 1.0).alias("found"),
+            share(found(forbidden) + o["broken"], forbidden, 0.0).alias("broken"),
+            o["valid"].alias("valid"),
+        ),
+    )
+
+
 def score_code(response: Column, test: Column, forbidden: Column) -> Column:
-    return fuzzy.code_score_udf(test, forbidden, response)
+    total = lambda c: 0.7 * c["found"] + 0.2 * (1.0 - c["broken"]) + F.when(c["valid"], 0.1).otherwise(0.0)
+    score = let(code_parts(response, test, forbidden), lambda c: F.least(total(c), F.lit(1.0)))
+    return F.when(response.isNotNull(), score)
 
 
 def tool_usage(response: Column, tools: Column) -> Column:

@@ -93,7 +93,9 @@ SELECT case_id, conv_id, turn, ({_TYPES})[case_id % 11 + 1] AS task_type, questi
   [{{'label': 'first_reading', 'answer': {_cut("qw", 1, 5)}}}, {{'label': 'other_reading', 'answer': {_cut("aw", 5, 5)}}}] AS interpretations,
   CASE WHEN case_id % 3 = 0 THEN 'other_reading' ELSE 'first_reading' END AS expected_interpretation,
   CASE WHEN case_id % 4 = 0 THEN {_cut("aw", 4, 3)} ELSE {_cut("qw", 2, 6)} END AS expected_resolution,
-  20 + case_id % 50 AS token_budget
+  20 + case_id % 50 AS token_budget,
+  concat_ws(chr(10), {_cut("aw", 1, 1)}, {_cut("qw", 1, 1)}, '[') AS test,
+  [{_cut("qw", 2, 1)}] AS forbidden_patterns
 FROM case_words""",
     "gold": f"""
 SELECT l.doc_id AS example_id, ({_TYPES})[l.doc_id % 11 + 1] AS task_type, (quality * 6 + n_chars % 5) / 10 AS human_score

@@ -10,7 +10,7 @@ from trialspark.functions import scorers as s
 from trialspark.functions import text as tx
 from trialspark.operators import metrics as mt
 from trialspark.plans.base_sql import words_sql
-from trialspark.plans.registry import query
+from trialspark.plans.registry import ORACLES, query
 
 
 def _list(values):
@@ -118,6 +118,19 @@ def _(spark, sf):
 
 
 scored("txt05_score_code", None, "code_generation")
+_CODE_HIT = f"coalesce(TRY(regexp_matches(response, p, 'i')), contains({LOW}, lower(p)))"
+
+
+@query(
+    "txt05_code_patterns",
+    f"""WITH w AS (SELECT case_id, response, true AS wanted, unnest(list_filter(string_split(test, chr(10)), lambda p: regexp_matches(p, '[^\\s]'))) AS p FROM cases
+  UNION ALL SELECT case_id, response, false, unnest(forbidden_patterns) FROM cases),
+h AS (SELECT case_id, avg({_CODE_HIT}::INT) FILTER (wanted) AS found, avg({_CODE_HIT}::INT) FILTER (NOT wanted) AS broken FROM w GROUP BY case_id)
+SELECT c.case_id, R(coalesce(found, 1)) AS found, R(coalesce(broken, 0)) AS broken FROM cases c LEFT JOIN h ON h.case_id = c.case_id""",
+)
+def _(spark, sf):
+    parts = s.code_parts(*(F.col(c) for c in ("response", "test", "forbidden_patterns")))
+    return v.cases(spark, sf).select("case_id", parts.alias("p")).select("case_id", "p.found", "p.broken")
 
 
 @query("txt04_fact_exact_layers", f"SELECT case_id, {_IN} AS exact, R({_ANSWER}) AS score FROM cases")
@@ -241,6 +254,34 @@ scored(
 )
 
 
+_BY_TYPE = {
+    "retrieval": "txt03_score_retrieval",
+    "fact_extraction": "txt04_score_fact",
+    "agentic": "txt06_score_agentic",
+    "multi_hop": "txt09_score_multi_hop",
+    "negative": "txt10_score_negative",
+    "compositional": "txt11_score_compositional",
+    "disambiguation": "txt12_score_disambiguation",
+    "conflicting": "txt13_score_conflicting",
+    "robustness": "txt14_score_robustness",
+    "efficiency": "txt15_score_efficiency",
+}
+
+
+@query(
+    "txt16_score_by_columns",
+    " UNION ALL ".join(
+        f"SELECT c.case_id, c.task_type, q.score FROM cases c JOIN ({ORACLES[name]}) q ON q.case_id = c.case_id WHERE c.task_type = '{kind}'"
+        for kind, name in _BY_TYPE.items()
+    )
+    + " UNION ALL SELECT case_id, task_type, 0.0 FROM cases WHERE task_type = 'code_generation'",
+)
+def _(spark, sf):
+    """The scores that need no Python; code answers, whose syntax check does, count as an unknown type."""
+    score = s.score_all(F.col("task_type"), only=list(_BY_TYPE))
+    return v.cases(spark, sf).select("case_id", "task_type", score.alias("score"))
+
+
 @query("txt16_score_all")
 def _(spark, sf):
     return v.cases(spark, sf).select("case_id", "task_type", s.score_all(F.col("task_type")).alias("score"))
