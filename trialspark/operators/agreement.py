@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.constants import KAPPA_PASS, PANEL_SPREAD, RHO_PASS
-from trialspark.operators.ordered import exact_quantiles, running
+from trialspark.operators.ordered import exact_quantiles, frozen, running
 
 
 def gold_judge_join(gold: DataFrame, judge: DataFrame, seq: str = "seq") -> DataFrame:
@@ -161,10 +161,12 @@ def mae(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 
 
 def calibrate(joined: DataFrame, human: str, judge: str, kappa_min=KAPPA_PASS, rho_min=RHO_PASS) -> DataFrame:
-    """Overall and per task type: kappa, rho, tau, mae, and whether the type is flagged."""
-    both = joined.select(
-        F.explode(F.array(F.lit("(all)"), F.col("task_type"))).alias("scope"), F.col(human).alias("h"), F.col(judge).alias("j")
-    )
+    """Overall and per task type: kappa, rho, tau, mae, and whether the type is flagged.
+
+    The joined scores are stored once, as three columns, and read by each of the four statistics.
+    """
+    scores = frozen(joined.select("task_type", F.col(human).alias("h"), F.col(judge).alias("j")))
+    both = scores.select(F.explode(F.array(F.lit("(all)"), F.col("task_type"))).alias("scope"), "h", "j")
     out = kappa(both, ["scope"], "h", "j")
     for part in (spearman(both, ["scope"], "h", "j").drop("n"), kendall(both, ["scope"], "h", "j").drop("n"), mae(both, ["scope"], "h", "j")):
         out = out.join(part, "scope")

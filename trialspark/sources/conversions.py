@@ -7,6 +7,7 @@ data sets publish.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,17 @@ from trialspark.functions.text import words
 from trialspark.operators import render as rd
 from trialspark.sources.tasks import numbered
 
+# Sentences of converted tasks and documents; names in braces are filled in per row.
+LIBRARY_BODY = "# {library} API\n\nLibrary used in compositional tasks.\n\n{parts}"
+LIBRARY_SUMMARY = "{library} library documentation"
+EVIDENCE = "Evidence from {source}: {fact}"
+NO_ANSWER = "The document covers topic '{topic}' but does not contain information to answer this question."
+REPOSITORY_NOTE = "Repository documentation for {repository}"
+REPOSITORY_BODY = "# {instance}\n\nRepository: {repository}\n\n{problem}"
+CONTRADICTION_QUESTION = "The article '{title}' contains contradicting claims: '{one}' vs '{two}'. Which is correct?"
+CONTRADICTION_RESOLUTION = "These statements from '{title}' contradict each other and require verification against authoritative sources."
+CONTRADICTION_SUMMARY = "Contradicting claims about {title}"
+
 CONVERSIONS: dict[str, dict[str, Callable]] = {}
 
 
@@ -50,6 +62,11 @@ def _say(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _fill(sentence: str, **columns: Column) -> Column:
+    """``sentence`` with the names in braces replaced by columns."""
+    return F.concat(*[columns[part] if i % 2 else F.lit(part) for i, part in enumerate(re.split(r"\{(\w+)\}", sentence))])
+
+
 def _or(c: Column, default: str = "") -> Column:
     return F.coalesce(c, F.lit(default))
 
@@ -109,8 +126,8 @@ def bigcodebench_tasks(raw: DataFrame, limit: int | None = None) -> DataFrame:
 def bigcodebench_docs(raw: DataFrame) -> DataFrame:
     lib = F.col("lib")
     each = raw.select("seq", F.explode("libs").alias("lib"), F.left("canonical_solution", F.lit(500)).alias("s"))
-    body = _say("# ", lib, " API\n\nLibrary used in compositional tasks.\n\n", F.col("s"))
-    return _docs(each, _say("bigcodebench/", lib, "/api.md"), body, "recommended", lib, _say(lib, " library documentation"))
+    body = _fill(LIBRARY_BODY, library=lib, parts=F.col("s"))
+    return _docs(each, _say("bigcodebench/", lib, "/api.md"), body, "recommended", lib, _fill(LIBRARY_SUMMARY, library=lib))
 
 
 # ---- retrieval with library docs: prompt, docs array<struct<title, text>>; corpus: doc_id, doc_content ----
@@ -166,7 +183,7 @@ def multihop_tasks(raw: DataFrame, limit: int | None = None) -> DataFrame:
         raw, "multihoprag", "multi_hop", limit,
         question=F.col("query"),
         reasoning_chain=F.transform(facts, lambda e: e["fact"]),
-        question_decomposition=F.transform(facts, lambda e: _say("Evidence from ", _or(e["source"], "unknown"), ": ", e["fact"])),
+        question_decomposition=F.transform(facts, lambda e: _fill(EVIDENCE, source=_or(e["source"], "unknown"), fact=e["fact"])),
     )
 
 
@@ -188,7 +205,7 @@ def multihop_docs(raw: DataFrame, page_chars: int = 1_000_000) -> DataFrame:
 # ---- unanswerable questions: question, answer, document_id, document_topic, document_path, document_extracted ----
 def repliqa_tasks(raw: DataFrame, limit: int | None = None) -> DataFrame:
     topic = F.col("document_topic")
-    reason = _say("The document covers topic '", topic, "' but does not contain information to answer this question.")
+    reason = _fill(NO_ANSWER, topic=topic)
     return _tasks(
         raw.where(F.col("answer") == "UNANSWERABLE"), "repliqa", "negative", limit,
         question=F.col("question"), expected_answer=F.lit("unanswerable"), reason=reason,
@@ -207,7 +224,7 @@ def repliqa_docs(raw: DataFrame) -> DataFrame:
 def swe_tasks(raw: DataFrame, limit: int | None = None) -> DataFrame:
     repo, hints = F.col("repo"), _or(F.col("hints_text"))
     listed = lambda c: F.coalesce(F.from_json(F.col(c), "array<string>"), F.array().cast("array<string>"))
-    readme = F.create_map(_say(repo, "/docs/README.md"), _say("Repository documentation for ", repo))
+    readme = F.create_map(_say(repo, "/docs/README.md"), _fill(REPOSITORY_NOTE, repository=repo))
     hint = F.create_map(_say(repo, "/hints.md"), F.left(hints, F.lit(200)))
     return _tasks(
         raw, "swebench", "agentic", limit,
@@ -220,7 +237,7 @@ def swe_tasks(raw: DataFrame, limit: int | None = None) -> DataFrame:
 
 def swe_docs(raw: DataFrame) -> DataFrame:
     i, repo, problem = F.col("instance_id"), F.col("repo"), F.col("problem_statement")
-    body = _say("# ", i, "\n\nRepository: ", repo, "\n\n", problem)
+    body = _fill(REPOSITORY_BODY, instance=i, repository=repo, problem=problem)
     return _docs(raw, _say("swe-bench/", i, ".md"), body, "required", _owner(repo), F.left(problem, F.lit(100)), "last")
 
 
@@ -232,9 +249,9 @@ def wikicontradict_tasks(raw: DataFrame, limit: int | None = None) -> DataFrame:
     )
     return _tasks(
         raw, "wikicontradict", "conflicting", limit,
-        question=_say("The article '", title, "' contains contradicting claims: '", one, "' vs '", two, "'. Which is correct?"),
+        question=_fill(CONTRADICTION_QUESTION, title=title, one=one, two=two),
         sources=F.array(source("section_1", one), source("section_2", two)),
-        expected_resolution=_say("These statements from '", title, "' contradict each other and require verification against authoritative sources."),
+        expected_resolution=_fill(CONTRADICTION_RESOLUTION, title=title),
     )
 
 
@@ -242,7 +259,7 @@ def wikicontradict_docs(raw: DataFrame) -> DataFrame:
     title = F.col("article_title")
     body = _say("# ", title, "\n\n", F.col("statement_1"), "\n\n", F.col("statement_2"))
     path = _say("wikicontradict/", F.replace(title, F.lit(" "), F.lit("_")), ".md")
-    return _docs(raw, path, body, "reference", F.lit("wikipedia"), _say("Contradicting claims about ", title))
+    return _docs(raw, path, body, "reference", F.lit("wikipedia"), _fill(CONTRADICTION_SUMMARY, title=title))
 
 
 for _name, _t, _d in (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.session import frozen
+
 # Columns of the report and catalog files.
 REPORT_COLUMNS = [
     "task_id",
@@ -33,13 +35,19 @@ def append_trials(trials: DataFrame, path: str) -> None:
 
 
 def write_report(trials: DataFrame, path: str, formats: tuple[str, ...] = ("json", "csv")) -> None:
-    """Trials plus the summaries by variant and by task type."""
-    n = F.count(F.lit(1)).alias("count")
-    by_variant = trials.groupBy("variant_name").agg(
-        F.avg("score").alias("mean_score"), n, F.sum("total_tokens").alias("total_tokens")
-    )
-    by_type = trials.groupBy("task_type").agg(F.avg("score").alias("mean_score"), n)
+    """Trials plus the summaries by variant and by task type, both from one pass over the trials."""
     if "json" in formats:
+        cells = frozen(
+            trials.groupBy("variant_name", "task_type").agg(
+                F.sum("score").alias("score"),
+                F.count("score").alias("scored"),
+                F.count(F.lit(1)).alias("n"),
+                F.sum("total_tokens").alias("tokens"),
+            )
+        )
+        mean, n = (F.sum("score") / F.sum("scored")).alias("mean_score"), F.sum("n").alias("count")
+        by_variant = cells.groupBy("variant_name").agg(mean, n, F.sum("tokens").alias("total_tokens"))
+        by_type = cells.groupBy("task_type").agg(mean, n)
         trials.select(*REPORT_COLUMNS).write.mode("overwrite").json(f"{path}/trials_json")
         by_variant.write.mode("overwrite").json(f"{path}/by_variant")
         by_type.write.mode("overwrite").json(f"{path}/by_task_type")
