@@ -51,24 +51,24 @@ def burn_rate(trials: DataFrame, threshold_per_minute: float, window_s: int = BU
 
     A trial enters the sum at its time and leaves it one microsecond after the
     window has passed, so the sliding sum is a running sum over entries and
-    exits and a busy model is cut into slices like any other running sum.
+    exits and a busy model is cut into slices like any other running sum. All
+    moves of one time are one step: trials of the same time see each other.
     """
     base = trials.select("trial_id", "model", "ts_us", exact_cost().alias("_c"))
     span = window_s * 1_000_000 + 1
     steps = F.array(
-        F.struct(F.col("ts_us").alias("at"), F.lit(1).alias("kind"), F.col("_c").alias("d"), F.lit(1).alias("k")),
-        F.struct((F.col("ts_us") + span).alias("at"), F.lit(0).alias("kind"), (-F.col("_c")).alias("d"), F.lit(-1).alias("k")),
-    )
-    moves = base.select("trial_id", "model", F.inline(steps))
-    seen = running_totals(
-        moves, ["model"], ["at", "kind", "trial_id"], {"_spent": F.col("d"), "_live": F.col("k").cast("long")}
+        F.struct(F.col("ts_us").alias("at"), F.col("_c").alias("d"), F.lit(1).alias("k")),
+        F.struct((F.col("ts_us") + span).alias("at"), (-F.col("_c")).alias("d"), F.lit(-1).alias("k")),
     )
+    moves = base.select("model", F.inline(steps)).groupBy("model", "at").agg(F.sum("d").cast(MONEY).alias("d"), F.sum("k").alias("k"))
+    seen = running_totals(moves, ["model"], ["at"], {"_spent": F.col("d"), "_live": F.col("k")})
     per_minute = F.col("_spent").cast("double") * (60.0 / window_s)
-    return (
-        seen.where((F.col("kind") == 1) & (F.col("_live") > 1))
-        .select("trial_id", "model", F.col("at").alias("ts_us"), per_minute.alias("burn_per_minute"), F.col("_live").alias("events"))
+    high = (
+        seen.where(F.col("_live") > 1)
+        .select("model", F.col("at").alias("ts_us"), per_minute.alias("burn_per_minute"), F.col("_live").alias("events"))
         .where(F.col("burn_per_minute") > threshold_per_minute)
     )
+    return base.join(high, ["model", "ts_us"]).select("trial_id", "model", "ts_us", "burn_per_minute", "events")
 
 
 def budget_exceeded(trials: DataFrame, budgets: dict[str, float], keys: list[str], carry: DataFrame | None = None) -> DataFrame:
