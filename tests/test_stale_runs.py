@@ -2,6 +2,10 @@
 
 import os
 
+from pyspark.sql import functions as F
+
+from trialspark import plans
+from trialspark import views as v
 from trialspark.streaming import live
 
 
@@ -40,3 +44,11 @@ def test_state_does_not_grow(spark, tmp_path):
     query.awaitTermination()
     held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
     assert len(held) >= 20 and max(held) <= 3
+
+
+def test_query_gives_the_last_session_of_every_run(spark):
+    plans.load()
+    sf = "/root/testdata/sf0.001"
+    got = plans.QUERIES["str07_stream_stale_runs"](spark, sf).groupBy("run_id").agg(F.max("heartbeat_us"), F.sum("beats"))
+    want = v.trials(spark, sf).groupBy("run_id").agg(F.max("ts_us"), F.count("trial_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
