@@ -223,36 +223,137 @@ def _wanted_table(stems: DataFrame) -> tuple[np.ndarray, int]:
     return table, shift
 
 
+FIRST = 4  # characters of a stem that are looked at together
+LONGEST = 32  # longer stems are found by keys and a search
+STEP = np.uint64(0x9E3779B97F4A7C15)
+_SPELLED = "(?U)^(?:\\w|\\w\\W|\\W\\w)\\z"  # a boundary between two characters, or of one at an end of the text
+
+
+def _starts(points: np.ndarray, seed: int, n: int) -> np.ndarray:
+    """A hash of ``n`` characters from every place."""
+    m = max(0, len(points) - n + 1)
+    out = np.full(m, np.int64(seed)).view(np.uint64)
+    for k in range(n):
+        out = out * STEP + points[k : k + m]
+    return out
+
+
+def _prefix_keys(stems: Sequence[str], seeds: Sequence[int], first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all beginnings of ``stems`` of ``first`` characters or more, and whether each is that of a whole stem."""
+    sums, ends = [], []
+    for stem, seed in zip(stems, seeds):
+        h = seed
+        for n, c in enumerate(stem, 1):
+            h = (h * int(STEP) + ord(c)) % (1 << 64)
+            if n >= first:
+                sums.append(h)
+                ends.append(n == len(stem))
+    return _mixed(np.array(sums, dtype=np.uint64)), np.array(ends, dtype=bool)
+
+
+def _places(points: np.ndarray, seed: int, first: int, begins, ends):
+    """(places, length) at which the key of a stem stands: beginnings grow by one character and go on where some stem does."""
+    at, h, n = np.arange(max(0, len(points) - first + 1)), _starts(points, seed, first), first
+    while len(at) and n <= LONGEST:
+        key = _mixed(h)
+        on = begins(key)
+        at, h, key = at[on], h[on], key[on]
+        hit = at[ends(key)]
+        if len(hit):
+            yield hit, n
+        more = at + n < len(points)
+        at, h = at[more], h[more]
+        h = h * STEP + points[at + n]
+        n += 1
+
+
+def _tester(table: np.ndarray, shift: int) -> Callable[[np.ndarray], np.ndarray]:
+    def test(keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(shift)
+        return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+    return test
+
+
+def _letters(points: np.ndarray) -> np.ndarray:
+    return (points >= 97) & (points <= 122)
+
+
+def _spelled(text: str, seed: int, first: int, begins, ends, whole_word: bool) -> set[tuple[str, str, str]]:
+    """Different (stem, character before, character after) of a text; no characters unless whole words are wanted."""
+    points, out = _code_points(text), set()
+    plain = np.concatenate([[False], _letters(points), [False]])  # at place + 1
+    for at, n in _places(points, seed, first, begins, ends):
+        if whole_word:  # between two letters there is no boundary
+            at = at[~(plain[at] & plain[at + 1]) & ~(plain[at + n] & plain[at + n + 1])]
+            out.update((text[i : i + n], text[max(i - 1, 0) : i], text[i + n : i + n + 1]) for i in at.tolist())
+        else:
+            out.update((text[i : i + n], "", "") for i in at.tolist())
+    return out
+
+
+def _short_mentions(text: DataFrame, stems: DataFrame, first: int, whole_word: bool) -> DataFrame:
+    """Stems of at most LONGEST characters: one pass over a text, whose work does not grow with the number of stems it holds.
+
+    Two bit tables hold the keys of all stems and of their beginnings, each within its corpus. The strings found meet the
+    stems by equality, so neither a key nor a bit decides.
+    """
+
+    def keyed(batches):
+        for batch in batches:
+            keys, ends = _prefix_keys(*[c.to_pylist() for c in batch.columns], first)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ends)], ["_key", "_end"])
+
+    keys = frozen(stems.select("_low", F.xxhash64("source").alias("_seed")).mapInArrow(keyed, "_key long, _end boolean").distinct())
+    sc = stems.sparkSession.sparkContext
+    begins, ends = sc.broadcast(_wanted_table(keys)), sc.broadcast(_wanted_table(keys.where("_end")))
+
+    def run(batches):
+        tests = [_tester(*b.value) for b in (begins, ends)]
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, (source, path, low, seed) in enumerate(zip(*[c.to_pylist() for c in batch.columns])):
+                rows += [(source, path, *x) for x in _spelled(low or "", seed, first, *tests, whole_word)]
+                if rows and (len(rows) >= 1 << 16 or k == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+
+    names = ["source", "rel_path", "_low", "_before", "_after"]
+    found = text.select("source", "rel_path", "_low", F.xxhash64("source").alias("_seed")).mapInArrow(run, ", ".join(f"{n} string" for n in names))
+    if whole_word:
+        edge = lambda *c: F.regexp_like(F.concat(*c), F.lit(_SPELLED))
+        found = found.where(edge(F.col("_before"), F.left("_low", F.lit(1))) & edge(F.right("_low", F.lit(1)), F.col("_after")))
+        found = found.select("source", "rel_path", "_low").distinct()  # a few spellings of one stem in one text
+    return found.join(stems, ["source", "_low"]).select("source", "rel_path", "stem", "stem_path")
+
+
 def mentions(docs: DataFrame, whole_word: bool) -> DataFrame:
     """(source, stem, stem_path, rel_path): documents of the same corpus whose text holds the stem.
 
-    Not a join of documents with stems: text and stem meet at a key that a text with the stem is sure to have, and only then the
-    stem is looked for. A long stem (a window of characters or more) is known by the least run of one of its windows; a text has the
-    least runs of its windows, about a third of its runs. A shorter stem is known by one of its runs (or itself), and only if there
-    are such stems a text has all its runs as keys too. Of the keys of a stem the one that the fewest stems have is taken. A bit table that
-    grows with the number of keys wanted drops the others before they travel.
+    Stems of up to LONGEST characters are read off the texts in one pass; longer ones are found by keys and a search.
     ``stem_path`` is the last path where several share a stem; a document may
     mention its own stem, so callers drop the pairs they do not want.
     """
     stems = docs.groupBy("source", F.col("stem")).agg(F.max("rel_path").alias("stem_path")).where(F.col("stem") != "")
-    stems = frozen(_rarest_key(stems.withColumn("_low", F.lower("stem"))))
-    size = F.length(F.lower("stem"))
-    long = GRAM + SPAN - 1
-    kinds = {r[0] for r in stems.select(F.when(size >= long, 0).otherwise(F.least(size, F.lit(GRAM)))).distinct().collect()}  # at most six
-    table, shift = _wanted_table(stems)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def accept():
-        words = shared.value
-
-        def test(keys: np.ndarray) -> np.ndarray:
-            at = keys >> np.uint64(shift)
-            return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    stems = frozen(stems.withColumn("_low", F.lower("stem")))
+    text = docs.select("source", "rel_path", F.lower("content").alias("_low"))
+    short = F.length("_low") <= LONGEST
+    least, some_long = stems.agg(F.min(F.when(short, F.length("_low"))), F.coalesce(F.bool_or(~short), F.lit(False))).first()
+    found = _short_mentions(text, stems.where(short), min(least or FIRST, FIRST), whole_word)
+    return found.unionByName(_long_mentions(text, stems.where(~short), whole_word)) if some_long else found
 
-        return test
 
-    text = docs.select("source", "rel_path", F.lower("content").alias("_low"))
-    keys = _keyed(text, "_low", ["source", "rel_path"], lambda t: _keys_of(_code_points(t), kinds), accept)
+def _long_mentions(text: DataFrame, stems: DataFrame, whole_word: bool) -> DataFrame:
+    """Not a join of documents with stems: text and stem meet at a key that a text with the stem is sure to have, and only then the
+    stem is looked for. A long stem (a window of characters or more) is known by the least run of one of its windows; a text has the
+    least runs of its windows, about a third of its runs. Of the keys of a stem the one that the fewest stems have is taken. A bit
+    table that grows with the number of keys wanted drops the others before they travel.
+    """
+    stems = frozen(_rarest_key(stems))
+    table = text.sparkSession.sparkContext.broadcast(_wanted_table(stems))
+    keys = _keyed(text, "_low", ["source", "rel_path"], lambda t: _keys_of(_code_points(t), {0}), lambda: _tester(*table.value))
     candidates = keys.join(stems, ["source", "_key"]).select("source", "rel_path", "stem", "stem_path")
     # the text meets its candidates at its own key and is tested there, never copied per candidate
     holds = F.contains(F.col("_low"), F.lower("stem"))
