@@ -396,16 +396,17 @@ def relevant_docs(tasks: DataFrame, docs: DataFrame) -> DataFrame:
     A task without any reference relates to its whole corpus; that is one row
     with ``whole_corpus`` set, not a copy of the corpus per task.
     """
-    # a name matches by path suffix: names are looked up among the suffixes of base names
+    # a name matches by path suffix; the least path is wanted. A name without a folder is looked up among the suffixes of base names,
+    # with their least paths; one with a folder holds the whole base name. Names are met once, not once per task
     base = F.substring_index("rel_path", "/", -1)
-    tails = docs.select(
-        "source", "rel_path", F.explode(F.transform(F.sequence(F.lit(1), F.length(base)), lambda i: F.substr(base, i))).alias("_tail")
-    )
+    tails = docs.select("source", "rel_path", F.explode(F.transform(F.sequence(F.lit(1), F.length(base)), lambda i: F.substr(base, i))).alias("name"))
     named = tasks.select("task_id", "source", F.posexplode("source_names").alias("pos", "name")).where(F.col("name") != "")
-    hit = named.join(
-        tails, (named["source"] == tails["source"]) & (F.substring_index("name", "/", -1) == F.col("_tail"))
-    ).where(F.endswith("rel_path", "name"))
-    first = hit.groupBy("task_id", "pos").agg(F.min("rel_path").alias("path"))
+    asked = named.select("source", "name").distinct()
+    plain = asked.join(tails.groupBy("source", "name").agg(F.min("rel_path").alias("path")), ["source", "name"])
+    deep = asked.where(F.contains("name", F.lit("/"))).withColumn("_base", F.substring_index("name", "/", -1))
+    nested = deep.join(docs.select("source", "rel_path", base.alias("_base")), ["source", "_base"]).where(F.endswith("rel_path", "name"))
+    paths = plain.unionByName(nested.groupBy("source", "name").agg(F.min("rel_path").alias("path")))
+    first = named.join(paths, ["source", "name"]).groupBy("task_id", "pos").agg(F.min("path").alias("path"))
     by_name = first.groupBy("task_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]).alias("_named")
     )
