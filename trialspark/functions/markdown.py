@@ -97,16 +97,21 @@ def compress_markdown(content: Column) -> Column:
 
 
 def first_lines(content: Column, n: int = 20) -> Column:
-    bare = F.filter(F.transform(F.slice(lines(content), 1, n), strip), lambda x: x != "")
+    head = F.slice(F.split(content, LINE_BREAK, n + 1), 1, n)
+    bare = F.filter(F.transform(head, strip), lambda x: x != "")
     return F.array_join(F.transform(bare, lambda x: F.regexp_replace(x, r"\s{2,}", " ")), "\n")
 
 
 def paragraph_leads(content: Column) -> Column:
     """The first line of every paragraph, a paragraph being a run of non-blank lines."""
-    bare = F.transform(lines(content), strip)
-    before = F.concat(F.array(F.lit("")), F.slice(bare, 1, F.greatest(F.size(bare) - 1, F.lit(1))))
-    starts = F.zip_with(bare, before, lambda x, prev: F.when((x != "") & (prev == ""), x))
-    return F.array_join(F.array_compact(starts), "\n")
+
+    def leads(bare: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.slice(bare, 1, F.greatest(F.size(bare) - 1, F.lit(1))))
+        starts = F.zip_with(bare, before, lambda x, prev: F.when((x != "") & (prev == ""), x))
+        return F.array_join(F.array_compact(starts), "\n")
+
+    # the array of one array names the lines, so they are stripped once
+    return F.get(F.transform(F.array(F.transform(lines(content), strip)), leads), F.lit(0))
 
 
 def _first_body_line(chunk: Column, n: int) -> Column:

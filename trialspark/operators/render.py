@@ -92,7 +92,7 @@ def prepare(docs: DataFrame) -> DataFrame:
     c = F.col("content")
     own = F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary"))
     base = docs.withColumns({"brief": md.brief_summary(c), "first": md.summarise(c), "flat": md.content_summary(c)})
-    return base.withColumns(
+    ready = base.withColumns(
         {
             "brief_own": F.coalesce(own, "brief"),
             "first_own": F.coalesce(own, "first"),
@@ -102,6 +102,7 @@ def prepare(docs: DataFrame) -> DataFrame:
             "dir": F.coalesce(F.nullif(md.parent(F.col("rel_path")), F.lit("")), F.lit("(root)")),
         }
     )
+    return ready.withColumns({"section_lines": _sections(), "definition_lines": _definitions()})
 
 
 def _one(*text, **key) -> Callable[[], Column]:
@@ -362,7 +363,8 @@ register_variant("noise-75", 7, _one(*_ENTRY), _noise(lambda n: n * 3))
 
 
 def _entries(items: Column, text: Callable[[Column], Column]) -> Column:
-    return F.transform(items, lambda x, i: piece(text(x), path=F.col("p"), seq=i))
+    """The lines of a document, one text; empty without items."""
+    return F.array_join(F.transform(items, text), "")
 
 
 def _sections() -> Column:
@@ -377,23 +379,23 @@ def _definitions() -> Column:
     )
 
 
-def _or_file(*choices: Column) -> Column:
-    out = F.array(piece(join(*_ENTRY), path=F.col("p")))
-    for c in reversed(choices):
-        out = F.when(F.size(c) > 0, c).otherwise(out)
-    return out
+def _or_file(*choices: str) -> Column:
+    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in choices], join(*_ENTRY))
 
 
 def _mixed() -> Column:
     n = F.length("content")
-    small = F.array(piece(join(*_ENTRY), path=F.col("p")))
-    return F.when(n < 500, small).when(n <= 2000, _or_file(_sections())).otherwise(_or_file(_definitions(), _sections()))
+    return F.when(n < 500, join(*_ENTRY)).when(n <= 2000, _or_file("section_lines")).otherwise(_or_file("definition_lines", "section_lines"))
+
+
+def _per_file(text: Callable[[], Column]) -> Callable[[], Column]:
+    return lambda: F.array(piece(text(), path=F.col("p")))
 
 
 register_variant("granularity-file", 8, _one("\n[FILE] ", "$p", ": ", "$brief_own"))
-register_variant("granularity-section", 8, lambda: _or_file(_sections()))
-register_variant("granularity-function", 8, lambda: _or_file(_definitions()))
-register_variant("granularity-mixed", 8, _mixed)
+register_variant("granularity-section", 8, _per_file(lambda: _or_file("section_lines")))
+register_variant("granularity-function", 8, _per_file(lambda: _or_file("definition_lines")))
+register_variant("granularity-mixed", 8, _per_file(_mixed))
 
 
 # ---- cross-references ----------------------------------------------------
@@ -405,25 +407,38 @@ def _see_also(peers: DataFrame) -> DataFrame:
     return _rows(peers.where(F.size("peers") > 0), piece(text, a=F.col("rel_path"), k=2))
 
 
+#: neighbouring paths of a corpus whose mentions of a stem make one piece
+CHUNK = 1024
+
+
 def _dense(docs: DataFrame) -> DataFrame:
-    """Peers, then every mentioner, then every mentioned file: one piece per link, however many."""
+    """Peers, then every mentioner, then every mentioned file, however many.
+
+    The links grow with the square of a corpus, the pieces do not: the mentioners of a stem are put together once per
+    ``CHUNK`` neighbouring paths, and every file of the stem takes these lists, without its peers.
+    """
     peers = corpus.section_peers(docs, 3)
     found = corpus.mentions(docs, whole_word=False).where(F.col("stem_path") != F.col("rel_path"))
-    link = docs.select("source", F.col("rel_path").alias("of"), "stem")
-    mentioned = found.select("source", "stem", F.col("rel_path").alias("by")).join(link, ["source", "stem"])
+    paths = ordinals(docs.select("source", F.col("rel_path").alias("by")), ["source"], ["by"], "_i")
+    by = found.select("source", "stem", F.col("rel_path").alias("by"))
+    chunked = by.join(paths.select("source", "by", F.floor((F.col("_i") - 1) / CHUNK).alias("_chunk")), ["source", "by"])
+    lists = chunked.groupBy("source", "stem", "_chunk").agg(F.array_sort(F.collect_list("by")).alias("_bys"))
+    lists = lists.withColumns({"_from": F.element_at("_bys", 1), "_to": F.element_at("_bys", -1)})
+    start = by.groupBy("source", "stem").agg(F.min("by").alias("_lo"))
     mine = peers.select("source", F.col("rel_path").alias("of"), "peers")
-    mentioned = mentioned.join(mine, ["source", "of"]).where(~F.array_contains("peers", F.col("by")))
-    start = mentioned.groupBy("source", "of").agg(F.min("by").alias("_lo"))
-    mentioned = mentioned.join(start, ["source", "of"])
-    opens = (F.size("peers") == 0) & (F.col("by") == F.col("_lo"))
-    also = F.concat(F.when(opens, "\n  See also: ").otherwise(", "), "by")
-    refs = found.select("source", "rel_path", "stem", "stem_path")
-    first = refs.groupBy("source", "rel_path").agg(F.min("stem").alias("_lo"))
-    ref = F.concat(F.when(F.col("stem") == F.col("_lo"), "\n  Referenced by: ").otherwise(", "), "stem_path")
+    link = docs.select("source", F.col("rel_path").alias("of"), "stem").join(mine, ["source", "of"]).join(start, ["source", "stem"])
+    near = F.exists("peers", lambda p: p.between(F.col("_from"), F.col("_to")))
+    others = F.when(near, F.filter("_bys", lambda b: ~F.array_contains("peers", b))).otherwise(F.col("_bys"))
+    mentioned = link.join(lists, ["source", "stem"]).withColumn("_others", others).where(F.size("_others") > 0)
+    opens = (F.size("peers") == 0) & (F.col("_from") == F.col("_lo"))
+    also = F.concat(F.when(opens, "\n  See also: ").otherwise(", "), F.array_join("_others", ", "))
+    # the stems that one text holds are no more than its length allows
+    refs = found.groupBy("source", "rel_path").agg(F.array_sort(F.collect_list(F.struct("stem", "stem_path"))).alias("_refs"))
+    ref = F.concat(F.lit("\n  Referenced by: "), F.array_join(F.transform("_refs", lambda x: x["stem_path"]), ", "))
     return _union(
         _see_also(peers),
-        _rows(mentioned, piece(also, a=F.col("of"), b=F.concat(F.lit("1"), "by"))),
-        _rows(refs.join(first, ["source", "rel_path"]), piece(ref, a=F.col("rel_path"), b=F.concat(F.lit("2"), "stem"))),
+        _rows(mentioned, piece(also, a=F.col("of"), b=F.concat(F.lit("1"), "_from"))),
+        _rows(refs, piece(ref, a=F.col("rel_path"), b="2")),
     )
 
 
@@ -454,8 +469,13 @@ register_variant(
 
 # ---- assembling ----------------------------------------------------------
 def pieces(docs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """All pieces of the named variants; per-document pieces come from one scan."""
+    """All pieces of the named variants; per-document pieces come from one scan.
+
+    Where more than three variants read the documents again, these are prepared once and written.
+    """
     ready = prepare(docs)
+    if sum(VARIANTS[n].more is not None for n in names) > 3:
+        ready = _written(ready, "prepared")
     tag = lambda df, n: df.select("source", F.lit(n).alias("variant"), *KEY, "text")
     frames = []
     per_doc = [VARIANTS[n] for n in names if VARIANTS[n].per_doc]
@@ -472,6 +492,22 @@ def pieces(docs: DataFrame, names: Sequence[str]) -> DataFrame:
     return _union(*frames)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _in_order(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pieces, written once, and per piece its number and the characters up to its end; ``_lead``: line breaks it starts with."""
+    size = lambda c: F.coalesce(F.length(c).cast("long"), F.lit(0))
+    lead = size("text") - size(F.regexp_replace("text", "^\n+", ""))
+    sized = parts.select(*keys, *KEY, "text", size("text").alias("_len"), lead.alias("_lead")).withColumn("_id", F.monotonically_increasing_id())
+    stored = _written(sized, "pieces")
+    totals = {"ordinal": F.lit(1).cast("long"), "_cum": F.col("_len")}
+    return stored, running(stored.select(*keys, *KEY, "_len", "_lead", "_id"), keys, KEY, totals)
+
+
 def pages(parts: DataFrame, keys: Sequence[str] = ("source", "variant"), page_chars: int = 1_000_000) -> DataFrame:
     """Fold pieces into pages of about ``page_chars`` characters, in order.
 
@@ -480,13 +516,7 @@ def pages(parts: DataFrame, keys: Sequence[str] = ("source", "variant"), page_ch
     blank lines it would start with.
     """
     keys = list(keys)
-    spark = parts.sparkSession
-    path = scratch_path(spark, "pieces")
-    sized = parts.select(*keys, *KEY, "text", F.length("text").cast("long").alias("_len")).withColumn("_id", F.monotonically_increasing_id())
-    sized.write.parquet(path)
-    stored = spark.read.schema(sized.schema).parquet(path)
-    totals = {"ordinal": F.lit(1).cast("long"), "_cum": F.col("_len")}
-    slim = running(stored.select(*keys, *KEY, "_len", "_id"), keys, KEY, totals)
+    stored, slim = _in_order(parts, keys)
     page = F.floor((F.col("_cum") - F.col("_len")) / page_chars).alias("page")
     placed = stored.select(*keys, "_id", "text").join(slim.select("_id", "ordinal", page), "_id")
     text = F.when(F.col("ordinal") == 1, F.regexp_replace("text", "^\n+", "")).otherwise(F.col("text"))
@@ -537,11 +567,41 @@ def digests(rendered: DataFrame, keys: Sequence[str] = ("source", "variant"), bl
     )
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "_text"))), lambda x: x["_text"]), "")
     blocks = cut.groupBy(*keys, "_block").agg(F.concat(F.col("_block").cast("string"), F.lit(":"), whole).alias("_t"))
-    number = F.conv(F.substring(F.md5(F.col("_t").cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
-    found = blocks.groupBy(*keys).agg((F.sum(number) % F.lit(2**61)).cast("long").alias("_n"))
+    found = _block_sums(blocks, keys)
     return sizes(stored, keys).join(found, keys, "left").withColumn("digest", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
 
 
+def _block_sums(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    number = F.conv(F.substring(F.md5(F.col("_t").cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    return blocks.groupBy(*keys).agg((F.sum(number) % F.lit(2**61)).cast("long").alias("_n"))
+
+
+def piece_digests(parts: DataFrame, keys: Sequence[str] = ("source", "variant"), block: int = DIGEST_BLOCK) -> DataFrame:
+    """``n_chars`` and ``digest`` of :func:`digests` straight from the pieces: each is cut where a block ends, no page lies between."""
+    keys = list(keys)
+    stored, slim = _in_order(parts, keys)
+    # the first piece loses the line breaks it starts with, and all others move up by as much
+    moved = slim.join(slim.where(F.col("ordinal") == 1).select(*keys, F.col("_lead").alias("_off")), keys)
+    skip = F.when(F.col("ordinal") == 1, F.col("_lead")).otherwise(F.lit(0).cast("long"))
+    placed = moved.select(*keys, "_id", "ordinal", skip.alias("_skip"), (F.col("_len") - skip).alias("_n"), (F.col("_cum") - F.col("_off")).alias("_end"))
+    start, at = F.col("_end") - F.col("_n"), F.col("_block") * block
+    covered = F.sequence(F.floor(start / block), F.floor((F.col("_end") - 1) / block))
+    origin = F.greatest(at, start)
+    cut = (
+        stored.select("_id", "text")
+        .join(placed.where(F.col("_n") > 0), "_id")
+        .withColumn("_block", F.explode(covered))
+        .select(
+            *keys, "ordinal", "_block",
+            F.substring("text", (origin - start + F.col("_skip") + 1).cast("int"), (F.least(at + block, F.col("_end")) - origin).cast("int")).alias("_text"),
+        )
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "_text"))), lambda x: x["_text"]), "")
+    blocks = cut.groupBy(*keys, "_block").agg(F.concat(F.col("_block").cast("string"), F.lit(":"), whole).alias("_t"))
+    total = placed.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_chars"))
+    return total.join(_block_sums(blocks, keys), keys, "left").select(*keys, "n_chars", F.coalesce("_n", F.lit(0).cast("long")).alias("digest"))
+
+
 def composite(docs: DataFrame, design: dict[str, Sequence[str]], page_chars: int = 1_000_000) -> DataFrame:
     """Component texts in axis order separated by a blank line, per named combination."""
     used = sorted({n for names in design.values() for n in names})
