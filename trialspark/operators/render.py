@@ -26,6 +26,8 @@ from trialspark.session import frozen, scratch_path
 
 KEY = ("a", "b", "c", "k", "path", "seq")
 PIECE = "struct<a:string,b:string,c:string,k:int,path:string,seq:int,text:string>"
+#: what a piece says of the list that ends its text: which one, the items left out, the characters of the others
+LIST = "struct<id:string,skip:array<string>,chars:bigint>"
 
 # Order of tiers, distractor texts, and the tier list with its instructions.
 TIER_ORDER = ["required", "recommended", "reference"]
@@ -54,6 +56,21 @@ TIER_VERBS = {
 }
 
 
+@dataclass(frozen=True)
+class Listed:
+    """Pieces, some of which end with a list that many share (``_list``, null without one), and the ``lists``: ``id``, ``items``.
+
+    A text with its list is put together on its way to a page or block, so such texts take no room before.
+    """
+
+    rows: DataFrame
+    lists: DataFrame | None = None
+
+    def whole(self) -> DataFrame:
+        """Pieces with their whole texts."""
+        return _with_lists(self.rows, self.rows, self.lists).drop("_list")
+
+
 @dataclass(frozen=True)
 class Variant:
     """``per_doc``: array of pieces of one prepared document; ``more``: further pieces from all of them."""
@@ -61,7 +78,7 @@ class Variant:
     name: str
     axis: int
     per_doc: Callable[[], Column] | None = None
-    more: Callable[[DataFrame], DataFrame] | None = None
+    more: Callable[[DataFrame], DataFrame | Listed] | None = None
 
 
 VARIANTS: dict[str, Variant] = {}
@@ -407,39 +424,44 @@ def _see_also(peers: DataFrame) -> DataFrame:
     return _rows(peers.where(F.size("peers") > 0), piece(text, a=F.col("rel_path"), k=2))
 
 
-#: neighbouring paths of a corpus whose mentions of a stem make one piece
-CHUNK = 1024
+#: neighbouring paths of a corpus whose mentions of a stem make one list
+CHUNK = 65_536
 
 
-def _dense(docs: DataFrame) -> DataFrame:
+def _dense(docs: DataFrame) -> Listed:
     """Peers, then every mentioner, then every mentioned file, however many.
 
-    The links grow with the square of a corpus, the pieces do not: the mentioners of a stem are put together once per
-    ``CHUNK`` neighbouring paths, and every file of the stem takes these lists, without its peers.
+    The links of a text grow with the square of a corpus, what is stored and sorted does not: the mentioners of a stem are listed once per
+    ``CHUNK`` neighbouring paths, and every file of the stem names these lists, with the peers that it leaves out.
     """
     peers = corpus.section_peers(docs, 3)
-    found = corpus.mentions(docs, whole_word=False).where(F.col("stem_path") != F.col("rel_path"))
-    paths = ordinals(docs.select("source", F.col("rel_path").alias("by")), ["source"], ["by"], "_i")
+    found = _written(corpus.mentions(docs, whole_word=False).where(F.col("stem_path") != F.col("rel_path")), "links")
+    first = peers.select("source", F.explode("peers").alias("by")).distinct().withColumn("_peer", F.lit(True))
+    paths = ordinals(docs.select("source", F.col("rel_path").alias("by")), ["source"], ["by"], "_i").join(first, ["source", "by"], "left")
     by = found.select("source", "stem", F.col("rel_path").alias("by"))
-    chunked = by.join(paths.select("source", "by", F.floor((F.col("_i") - 1) / CHUNK).alias("_chunk")), ["source", "by"])
-    lists = chunked.groupBy("source", "stem", "_chunk").agg(F.array_sort(F.collect_list("by")).alias("_bys"))
-    lists = lists.withColumns({"_from": F.element_at("_bys", 1), "_to": F.element_at("_bys", -1)})
-    start = by.groupBy("source", "stem").agg(F.min("by").alias("_lo"))
+    chunked = by.join(paths.select("source", "by", "_peer", F.floor((F.col("_i") - 1) / CHUNK).alias("_chunk")), ["source", "by"])
+    lists = chunked.groupBy("source", "stem", "_chunk").agg(
+        F.array_sort(F.collect_list("by")).alias("items"),
+        F.collect_list(F.when(F.col("_peer"), F.col("by"))).alias("_peers"),
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.length("by") + 2).alias("_chars"),
+    )
+    lists = _written(lists.withColumn("id", F.monotonically_increasing_id().cast("string")), "lists")
+    slim = lists.select("source", "stem", "id", "_chunk", F.element_at("items", 1).alias("_from"), "_peers", "_n", "_chars")
+    start = slim.groupBy("source", "stem").agg(F.min("_chunk").alias("_lo"))
     mine = peers.select("source", F.col("rel_path").alias("of"), "peers")
     link = docs.select("source", F.col("rel_path").alias("of"), "stem").join(mine, ["source", "of"]).join(start, ["source", "stem"])
-    near = F.exists("peers", lambda p: p.between(F.col("_from"), F.col("_to")))
-    others = F.when(near, F.filter("_bys", lambda b: ~F.array_contains("peers", b))).otherwise(F.col("_bys"))
-    mentioned = link.join(lists, ["source", "stem"]).withColumn("_others", others).where(F.size("_others") > 0)
-    opens = (F.size("peers") == 0) & (F.col("_from") == F.col("_lo"))
-    also = F.concat(F.when(opens, "\n  See also: ").otherwise(", "), F.array_join("_others", ", "))
+    mentioned = link.join(slim, ["source", "stem"]).withColumn("_skip", F.array_intersect("peers", "_peers")).where(F.col("_n") > F.size("_skip"))
+    opens = (F.size("peers") == 0) & (F.col("_chunk") == F.col("_lo"))
+    left = F.col("_chars") - 2 - F.aggregate("_skip", F.lit(0), lambda n, x: n + F.length(x) + 2)
+    named = F.struct("id", F.col("_skip").alias("skip"), left.alias("chars")).cast(LIST)
+    also = piece(F.when(opens, "\n  See also: ").otherwise(", "), a=F.col("of"), b=F.concat(F.lit("1"), "_from"))
     # the stems that one text holds are no more than its length allows
     refs = found.groupBy("source", "rel_path").agg(F.array_sort(F.collect_list(F.struct("stem", "stem_path"))).alias("_refs"))
     ref = F.concat(F.lit("\n  Referenced by: "), F.array_join(F.transform("_refs", lambda x: x["stem_path"]), ", "))
-    return _union(
-        _see_also(peers),
-        _rows(mentioned, piece(also, a=F.col("of"), b=F.concat(F.lit("1"), "_from"))),
-        _rows(refs, piece(ref, a=F.col("rel_path"), b="2")),
-    )
+    plain = _union(_see_also(peers), _rows(refs, piece(ref, a=F.col("rel_path"), b="2")))
+    listed = mentioned.select("source", named.alias("_list"), F.inline(F.array(also)))
+    return Listed(listed.unionByName(plain, allowMissingColumns=True), lists.select("id", "items"))
 
 
 _file = lambda: F.array(piece(join(*_OWN), a=F.col("p")))
@@ -468,7 +490,7 @@ register_variant(
 
 
 # ---- assembling ----------------------------------------------------------
-def pieces(docs: DataFrame, names: Sequence[str]) -> DataFrame:
+def listed_pieces(docs: DataFrame, names: Sequence[str]) -> Listed:
     """All pieces of the named variants; per-document pieces come from one scan.
 
     Where more than three variants read the documents again, these are prepared once and written.
@@ -476,8 +498,7 @@ def pieces(docs: DataFrame, names: Sequence[str]) -> DataFrame:
     ready = prepare(docs)
     if sum(VARIANTS[n].more is not None for n in names) > 3:
         ready = _written(ready, "prepared")
-    tag = lambda df, n: df.select("source", F.lit(n).alias("variant"), *KEY, "text")
-    frames = []
+    frames, lists = [], []
     per_doc = [VARIANTS[n] for n in names if VARIANTS[n].per_doc]
     if per_doc:
         def label(variant: Variant) -> Column:
@@ -487,28 +508,75 @@ def pieces(docs: DataFrame, names: Sequence[str]) -> DataFrame:
         labelled = [label(x) for x in per_doc]
         every = labelled[0] if len(labelled) == 1 else F.concat(*labelled)
         flat = ready.select("source", F.explode(every).alias("e")).select("source", "e.variant", "e.x.*")
-        frames.append(flat.select("source", "variant", *KEY, "text"))
-    frames += [tag(VARIANTS[n].more(ready), n) for n in names if VARIANTS[n].more]
-    return _union(*frames)
+        frames.append(flat.select("source", "variant", *KEY, "text", F.lit(None).cast(LIST).alias("_list")))
+    for n in names:
+        more = VARIANTS[n].more(ready) if VARIANTS[n].more else None
+        if more is None:
+            continue
+        mark = F.lit(None)
+        if isinstance(more, Listed):
+            of = lambda c, n=n: F.concat(F.lit(f"{n}/"), c)
+            lists.append(more.lists.withColumn("id", of(F.col("id"))))
+            mark, more = F.when(F.col("_list").isNotNull(), F.struct(of(F.col("_list.id")).alias("id"), "_list.skip", "_list.chars")), more.rows
+        frames.append(more.select("source", F.lit(n).alias("variant"), *KEY, "text", mark.cast(LIST).alias("_list")))
+    return Listed(_union(*frames), _union(*lists) if lists else None)
+
+
+def pieces(docs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """All pieces of the named variants with their whole texts."""
+    return listed_pieces(docs, names).whole()
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _in_order(parts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pieces, written once, and per piece its number and the characters up to its end; ``_lead``: line breaks it starts with."""
-    size = lambda c: F.coalesce(F.length(c).cast("long"), F.lit(0))
+#: characters of text that a task puts together
+TASK_CHARS = 1 << 26
+
+
+def _dealt(df: DataFrame, chars: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many parts as ``chars`` characters need, if these are more than the session's."""
+    n = -(-chars // TASK_CHARS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _with_lists(rows: DataFrame, stored: DataFrame, lists: DataFrame | None) -> DataFrame:
+    """``rows`` with whole texts; ``stored`` has the same lists, and is read for how long their texts are.
+
+    The lists travel, a text is put together where it meets its list; one that very many texts end with goes to several tasks.
+    """
+    if lists is None:
+        return rows
+    of = F.col("_list.id").alias("_of")
+    used = stored.where(F.col("_list").isNotNull()).groupBy(of).agg(F.sum("_list.chars").alias("_chars"))
+    used = frozen(used.withColumn("_parts", F.greatest(F.ceil(F.col("_chars") / TASK_CHARS), F.lit(1)).cast("int")))
+    chars = used.agg(F.coalesce(F.sum("_chars"), F.lit(0))).first()[0]
+    used = used.drop("_chars")
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("text", "_list")]), F.col("_parts")).cast("int")
+    naming = rows.where(F.col("_list").isNotNull()).withColumn("_of", of).join(used, "_of").withColumn("_part", part).drop("_parts")
+    copies = lists.withColumnRenamed("id", "_of").join(used, "_of").select("_of", "items", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    both = _dealt(naming, chars, "_of", "_part").join(_dealt(copies, chars, "_of", "_part"), ["_of", "_part"])
+    skip = F.col("_list.skip")
+    items = F.when(F.size(skip) > 0, F.filter("items", lambda x: ~F.array_contains(skip, x))).otherwise(F.col("items"))
+    return rows.where(F.col("_list").isNull()).unionByName(both.withColumn("text", F.concat("text", F.array_join(items, ", "))).select(*rows.columns))
+
+
+def _in_order(parts: Listed, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pieces, written once without their lists, and per piece its number and the characters up to its end; ``_lead``: line breaks it starts with."""
+    size = lambda c: F.coalesce(F.length(c).cast("long"), F.lit(0).cast("long"))
     lead = size("text") - size(F.regexp_replace("text", "^\n+", ""))
-    sized = parts.select(*keys, *KEY, "text", size("text").alias("_len"), lead.alias("_lead")).withColumn("_id", F.monotonically_increasing_id())
+    chars = size("text") + F.coalesce(F.col("_list.chars"), F.lit(0).cast("long"))
+    rows = parts.rows if parts.lists is not None else parts.rows.withColumn("_list", F.lit(None).cast(LIST))
+    sized = rows.select(*keys, *KEY, "text", "_list", chars.alias("_len"), lead.alias("_lead")).withColumn("_id", F.monotonically_increasing_id())
     stored = _written(sized, "pieces")
     totals = {"ordinal": F.lit(1).cast("long"), "_cum": F.col("_len")}
     return stored, running(stored.select(*keys, *KEY, "_len", "_lead", "_id"), keys, KEY, totals)
 
 
-def pages(parts: DataFrame, keys: Sequence[str] = ("source", "variant"), page_chars: int = 1_000_000) -> DataFrame:
+def pages(parts: DataFrame | Listed, keys: Sequence[str] = ("source", "variant"), page_chars: int = 1_000_000) -> DataFrame:
     """Fold pieces into pages of about ``page_chars`` characters, in order.
 
     Pieces are written once; only their keys and lengths are put in order, and
@@ -516,13 +584,16 @@ def pages(parts: DataFrame, keys: Sequence[str] = ("source", "variant"), page_ch
     blank lines it would start with.
     """
     keys = list(keys)
+    parts = parts if isinstance(parts, Listed) else Listed(parts)
     stored, slim = _in_order(parts, keys)
     page = F.floor((F.col("_cum") - F.col("_len")) / page_chars).alias("page")
-    placed = stored.select(*keys, "_id", "text").join(slim.select("_id", "ordinal", page), "_id")
+    placed = stored.select(*keys, "_id", "text", "_list").join(slim.select("_id", "ordinal", page), "_id")
     text = F.when(F.col("ordinal") == 1, F.regexp_replace("text", "^\n+", "")).otherwise(F.col("text"))
+    whole = _with_lists(placed.select(*keys, "page", "ordinal", text.alias("text"), "_list"), stored, parts.lists).drop("_list")
+    if parts.lists is not None:
+        whole = _dealt(whole, stored.agg(F.coalesce(F.sum("_len"), F.lit(0))).first()[0], *keys, "page")
     return (
-        placed.select(*keys, "page", "ordinal", text.alias("text"))
-        .groupBy(*keys, "page")
+        whole.groupBy(*keys, "page")
         .agg(
             F.count(F.lit(1)).alias("pieces"),
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "").alias("content"),
@@ -531,7 +602,7 @@ def pages(parts: DataFrame, keys: Sequence[str] = ("source", "variant"), page_ch
 
 
 def render_variants(docs: DataFrame, names: Sequence[str], page_chars: int = 1_000_000) -> DataFrame:
-    return pages(pieces(docs, names), page_chars=page_chars)
+    return pages(listed_pieces(docs, names), page_chars=page_chars)
 
 
 def sizes(rendered: DataFrame, keys: Sequence[str] = ("source", "variant")) -> DataFrame:
@@ -571,14 +642,22 @@ def digests(rendered: DataFrame, keys: Sequence[str] = ("source", "variant"), bl
     return sizes(stored, keys).join(found, keys, "left").withColumn("digest", F.coalesce("_n", F.lit(0).cast("long"))).drop("_n")
 
 
+def _number(text: Column) -> Column:
+    """The number of a block whose ``text`` begins with the block's place."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+
+
 def _block_sums(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    number = F.conv(F.substring(F.md5(F.col("_t").cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
-    return blocks.groupBy(*keys).agg((F.sum(number) % F.lit(2**61)).cast("long").alias("_n"))
+    return blocks.groupBy(*keys).agg((F.sum(_number(F.col("_t"))) % F.lit(2**61)).cast("long").alias("_n"))
+
 
+def piece_digests(parts: DataFrame | Listed, keys: Sequence[str] = ("source", "variant"), block: int = DIGEST_BLOCK) -> DataFrame:
+    """``n_chars`` and ``digest`` of :func:`digests` straight from the pieces: each is cut where a block ends, no page lies between.
 
-def piece_digests(parts: DataFrame, keys: Sequence[str] = ("source", "variant"), block: int = DIGEST_BLOCK) -> DataFrame:
-    """``n_chars`` and ``digest`` of :func:`digests` straight from the pieces: each is cut where a block ends, no page lies between."""
+    A block inside one piece is hashed where the piece is; only the ends of a piece travel to the others of their blocks.
+    """
     keys = list(keys)
+    parts = parts if isinstance(parts, Listed) else Listed(parts)
     stored, slim = _in_order(parts, keys)
     # the first piece loses the line breaks it starts with, and all others move up by as much
     moved = slim.join(slim.where(F.col("ordinal") == 1).select(*keys, F.col("_lead").alias("_off")), keys)
@@ -587,25 +666,33 @@ def piece_digests(parts: DataFrame, keys: Sequence[str] = ("source", "variant"),
     start, at = F.col("_end") - F.col("_n"), F.col("_block") * block
     covered = F.sequence(F.floor(start / block), F.floor((F.col("_end") - 1) / block))
     origin = F.greatest(at, start)
+    size = F.least(at + block, F.col("_end")) - origin
+    moving = stored.select("_id", "text", "_list").join(placed.where(F.col("_n") > 0), "_id")
     cut = (
-        stored.select("_id", "text")
-        .join(placed.where(F.col("_n") > 0), "_id")
+        _with_lists(moving, stored, parts.lists)
         .withColumn("_block", F.explode(covered))
         .select(
-            *keys, "ordinal", "_block",
-            F.substring("text", (origin - start + F.col("_skip") + 1).cast("int"), (F.least(at + block, F.col("_end")) - origin).cast("int")).alias("_text"),
+            *keys, "ordinal", "_block", (size == block).alias("_full"),
+            F.substring("text", (origin - start + F.col("_skip") + 1).cast("int"), size.cast("int")).alias("_text"),
         )
     )
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "_text"))), lambda x: x["_text"]), "")
-    blocks = cut.groupBy(*keys, "_block").agg(F.concat(F.col("_block").cast("string"), F.lit(":"), whole).alias("_t"))
+    place = F.concat(F.col("_block").cast("string"), F.lit(":"))
+    held = cut.select(
+        *keys, "_block",
+        F.when(F.col("_full"), _number(F.concat(place, "_text"))).alias("_n"),
+        F.when(~F.col("_full"), F.struct("ordinal", "_text")).alias("_piece"),
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda x: x["_text"]), "")
+    blocks = held.groupBy(*keys, "_block").agg(F.coalesce(F.max("_n"), _number(F.concat(place, whole))).alias("_n"))
+    found = blocks.groupBy(*keys).agg((F.sum("_n") % F.lit(2**61)).cast("long").alias("_n"))
     total = placed.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_chars"))
-    return total.join(_block_sums(blocks, keys), keys, "left").select(*keys, "n_chars", F.coalesce("_n", F.lit(0).cast("long")).alias("digest"))
+    return total.join(found, keys, "left").select(*keys, "n_chars", F.coalesce("_n", F.lit(0).cast("long")).alias("digest"))
 
 
 def composite(docs: DataFrame, design: dict[str, Sequence[str]], page_chars: int = 1_000_000) -> DataFrame:
     """Component texts in axis order separated by a blank line, per named combination."""
     used = sorted({n for names in design.values() for n in names})
-    parts = pieces(docs, used)
+    parts = listed_pieces(docs, used)
     order = lambda names: sorted(names, key=lambda n: VARIANTS[n].axis)
     slots = F.array(
         *[
@@ -614,9 +701,9 @@ def composite(docs: DataFrame, design: dict[str, Sequence[str]], page_chars: int
             for i, n in enumerate(order(names))
         ]
     )
-    spread = parts.select("*", F.explode(F.filter(slots, lambda s: s["component"] == F.col("variant"))).alias("_slot"))
+    spread = parts.rows.select("*", F.explode(F.filter(slots, lambda s: s["component"] == F.col("variant"))).alias("_slot"))
     firsts = _components(spread)
-    return pages(firsts, page_chars=page_chars)
+    return pages(Listed(firsts, parts.lists), page_chars=page_chars)
 
 
 def _components(spread: DataFrame) -> DataFrame:
@@ -631,6 +718,7 @@ def _components(spread: DataFrame) -> DataFrame:
         F.concat(F.lpad(F.col("_slot.slot").cast("string"), 3, "0"), F.col("a")).alias("a"),
         "b", "c", "k", "path", "seq",
         F.when(key == F.col("_lo"), lead).otherwise(F.col("text")).alias("text"),
+        "_list",
     )
 
 
