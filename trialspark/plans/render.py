@@ -284,7 +284,7 @@ EVERY = [n for n in rd.VARIANTS if not n.startswith("custom")]
 @query("idx00_all_variant_sizes")
 def _(spark, sf):
     """Every registered variant of every corpus: sizes and digests of the rendered texts."""
-    return rd.piece_digests(rd.pieces(v.docs(spark, sf), EVERY))
+    return rd.piece_digests(rd.listed_pieces(v.docs(spark, sf), EVERY))
 
 
 ORACLES["idx00_all_variant_sizes"] = " UNION ALL ".join(
